@@ -30,7 +30,7 @@ Step = Callable[[pd.DataFrame, "str | None"], "tuple[pd.DataFrame, str]"]
 
 def fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step,
          schema: str) -> DataFrame:
-    """Fold ``step`` over each key in ``order``; rows need a ``_chunk`` column.
+    """Fold ``step`` over each key in ``order``; see ``with_chunks``.
 
     ``step(chunk_rows, state)`` gets one chunk sorted by ``order`` and the JSON
     state left by the previous chunk (None at the start).  It returns output
@@ -46,6 +46,13 @@ def fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step,
     full += "".join(f", {k} {key_types[k]}" for k in missing)
     columns = [*fields, CHUNK, "_state", "_mark", *missing]
 
+    def run_whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, _ = step(pdf.sort_values(order, kind="stable"), None)
+        return out[fields]
+
+    if CHUNK not in rows.columns:      # every key is bounded: one lazy pass
+        return rows.groupBy(*keys).applyInPandas(run_whole, schema)
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         state = right["_in"].iloc[0] if len(right) else None
         state = None if state is None or state != state else state

@@ -1,11 +1,17 @@
 """Order-dependent column operators that survive a hot key.
 
-``Window.partitionBy(key)`` sends every row of a key to one task, so one busy
-camera or node serialises the job.  The operators here work on *chunks* of a
-key's timeline instead.  Each chunk is windowed in parallel, each chunk is also
-pre-aggregated to one summary row, and only the summaries (one row per key and
-chunk) are windowed over the whole key to produce the carry-in of each chunk.
-The result equals the plain window exactly.
+``Window.partitionBy(key)`` sends every row of a key to one task.  That is the
+best plan while the largest key fits a task, and a serial job once one busy
+camera or node holds a large share of the rows.  ``with_chunks`` measures the
+largest key (one count per key, combined map-side) and picks the plan:
+
+* bounded keys: plain windows, one shuffle for a whole chain of operators;
+* a hot key: the timeline is cut into *chunks*.  Each chunk is windowed in
+  parallel and also pre-aggregated to one summary row; only the summaries are
+  windowed over the whole key, giving the carry-in of each chunk.  Inputs are cut
+  with a checkpoint because each is read twice.
+
+Both give exactly the same rows.
 """
 from __future__ import annotations
 
@@ -15,14 +21,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import cut
+
 CHUNK = "_chunk"
 TARGET_ROWS = 2_000_000
 _SUBS = 1 << 16          # ids per bucket; also the finest split of a hot bucket
 
 
 def with_chunks(df: DataFrame, keys: Sequence[str], position: str, width: int,
-                target_rows: int = TARGET_ROWS) -> DataFrame:
-    """Add ``_chunk``: an id that grows with ``position`` inside each key.
+                target_rows: int | None = None,
+                bound: tuple[DataFrame, Sequence[str]] | None = None) -> DataFrame:
+    """Add ``_chunk`` when some key exceeds ``target_rows``; else return ``df``.
+
+    ``bound`` names a cheaper table and keys whose largest group bounds this one.
+    ``_chunk`` is an id that grows with ``position`` inside each key.
 
     ``position`` is an integral column (epoch microseconds, frame number).  A
     bucket is ``width`` positions; a bucket above ``target_rows`` is split
@@ -30,6 +42,12 @@ def with_chunks(df: DataFrame, keys: Sequence[str], position: str, width: int,
     chunk.  The table of crowded buckets holds at most rows/target_rows entries,
     which is what makes broadcasting it safe at any input size.
     """
+    target_rows = target_rows or TARGET_ROWS
+    probe, probe_keys = bound or (df, keys)
+    largest = probe.groupBy(*probe_keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= target_rows:
+        return df.drop(CHUNK)
+    df = cut(df.drop(CHUNK))
     bucket = F.floor(F.col(position) / F.lit(width)).cast("long")
     base = df.withColumn("_bucket", bucket)
     crowded = (
@@ -63,6 +81,19 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     ``count`` (of true conditions), ``max``, ``min``, ``last`` or ``first``
     (latest / earliest non-null value).
     """
+    if CHUNK not in df.columns:
+        whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        plain = {}
+        for name, (kind, what) in outputs.items():
+            col = F.col(what) if isinstance(what, str) else what
+            if kind == "count":
+                plain[name] = F.count(F.when(col, 1)).over(whole)
+            elif kind in ("last", "first"):
+                plain[name] = getattr(F, kind)(col, ignorenulls=True).over(whole)
+            else:
+                plain[name] = getattr(F, kind)(col).over(whole)
+        return df.withColumns(plain)
+    df = cut(df)
     inner = W.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     spot = F.struct(*[F.col(o) for o in order])
@@ -107,6 +138,11 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """``lag(1)`` columns (``back``) and ``lead(1)`` columns (``ahead``)."""
     back, ahead = dict(back or {}), dict(ahead or {})
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
+    if CHUNK not in df.columns:
+        whole = W.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({**{n: F.lag(as_col(c)).over(whole) for n, c in back.items()},
+                               **{n: F.lead(as_col(c)).over(whole) for n, c in ahead.items()}})
+    df = cut(df)
     spot = F.struct(*[F.col(o) for o in order])
     inner = W.partitionBy(*keys, CHUNK).orderBy(*order)
     across = W.partitionBy(*keys).orderBy(CHUNK)
@@ -129,31 +165,38 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return _join_carry(df, carry, keys).withColumns(locals_).withColumns(finals).drop(*temp)
 
 
-def lag_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
-          outputs: Mapping[str, Column | str]) -> DataFrame:
-    """``lag(n)`` for a small fixed ``n``: the last ``n`` rows of the earlier
-    chunks are carried in an array of at most ``n`` entries per chunk.
+def lags(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+         outputs: Mapping[str, tuple[Column | str, int]]) -> DataFrame:
+    """``lag(column, n)`` for small fixed ``n``, several at once.
+
+    The newest ``max(n)`` rows of the earlier chunks travel as one short array
+    per chunk; that is all a chunk needs from its past.
     """
+    depth = max(n for _, n in outputs.values())
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
+    if CHUNK not in df.columns:
+        whole = W.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({k: F.lag(as_col(c), n).over(whole) for k, (c, n) in outputs.items()})
+    df = cut(df)
     inner = W.partitionBy(*keys, CHUNK).orderBy(*order)
-    spot = [F.col(o).alias(f"_o{i}") for i, o in enumerate(order)]
-    packed = F.struct(*spot, *[as_col(c).alias(k) for k, c in outputs.items()])
-    ranked = df.withColumns({"_pk": packed, "_rn": F.row_number().over(inner)})
-    rev = W.partitionBy(*keys, CHUNK).orderBy(*[F.col(o).desc() for o in order])
+    newest = W.partitionBy(*keys, CHUNK).orderBy(*[F.col(o).desc() for o in order])
+    packed = F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)],
+                      *[as_col(c).alias(k) for k, (c, _) in outputs.items()])
     tails = (df.select(*keys, CHUNK, *order, packed.alias("_pk"))
-             .withColumn("_rr", F.row_number().over(rev)).where(F.col("_rr") <= n)
+             .withColumn("_rr", F.row_number().over(newest)).where(F.col("_rr") <= depth)
              .groupBy(*keys, CHUNK).agg(F.collect_list("_pk").alias("_tail")))
-    # n earlier chunks always hold at least n earlier rows, if so many exist
-    prior = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(-n, -1)
-    carry = tails.select(*keys, CHUNK, F.reverse(F.array_sort(F.flatten(
-        F.collect_list("_tail").over(prior)))).alias("_before"))
-    out = _join_carry(ranked, carry, keys)
-    out = out.withColumn("_lg", F.lag("_pk", n).over(inner))
-    need = F.lit(n + 1) - F.col("_rn")
-    earlier = F.when((F.col("_rn") <= n) & (F.size(F.coalesce(F.col("_before"), F.array())) >= need),
-                     F.get(F.col("_before"), need - 1))
-    final = {k: F.when(F.col("_lg").isNotNull(), F.col("_lg")[k]).otherwise(earlier[k]) for k in outputs}
-    return out.withColumns(final).drop("_pk", "_rn", "_before", "_lg")
+    # every chunk holds a row, so `depth` earlier chunks reach far enough back
+    prior = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(-depth, -1)
+    gathered = F.reverse(F.array_sort(F.flatten(F.collect_list("_tail").over(prior))))
+    carry = tails.select(*keys, CHUNK, F.slice(gathered, 1, depth).alias("_before"))
+    out = _join_carry(df.withColumn("_pk", packed), carry, keys)
+    out = out.withColumn("_rn", F.row_number().over(inner)).withColumns(
+        {f"_lg_{k}": F.lag("_pk", n).over(inner) for k, (_, n) in outputs.items()})
+    final = {}
+    for k, (_, n) in outputs.items():
+        earlier = F.get(F.col("_before"), F.lit(n) - F.col("_rn"))
+        final[k] = F.when(F.col("_rn") > n, F.col(f"_lg_{k}")[k]).otherwise(earlier[k])
+    return out.withColumns(final).drop("_pk", "_rn", "_before", *[f"_lg_{k}" for k in outputs])
 
 
 def earliest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -175,7 +218,7 @@ def _edge_row(df, keys, order, by):
 
 def trailing_counts(df: DataFrame, keys: Sequence[str], position: str, span: int,
                     order: Sequence[str], outputs: Mapping[str, Column],
-                    width: int, target_rows: int = TARGET_ROWS) -> DataFrame:
+                    width: int, target_rows: int | None = None) -> DataFrame:
     """How many rows of the key lie in ``[position - span, position]``.
 
     Counts rows at or before the current one in ``order``.  Every row adds its
@@ -190,7 +233,7 @@ def trailing_counts(df: DataFrame, keys: Sequence[str], position: str, span: int
                           *[(-F.col(f"_w_{n}")).alias(f"_w_{n}") for n in outputs],
                           (F.col(position) + F.lit(span + 1)).alias("_at"), F.lit(0).alias("_enter")))
     both = enter.unionByName(leave, allowMissingColumns=True)
-    both = with_chunks(both, keys, "_at", width, target_rows)
+    both = with_chunks(both, keys, "_at", width, target_rows, bound=(df, keys))
     both = running(both, keys, ["_at", "_enter", *order],
                    {n: ("sum", f"_w_{n}") for n in outputs})
     return (both.where(F.col("_enter") == 1)
@@ -204,7 +247,7 @@ def trailing_distinct_marks(df: DataFrame, keys: Sequence[str], value: str, posi
     Adds ``_first`` (1 when ``value`` was not inside the window just before this
     row) and ``_final`` (1 when it does not reappear before leaving).
     """
-    sub = with_chunks(df, [*keys, value], position, width)
+    sub = with_chunks(df, [*keys, value], position, width, bound=(df, keys))
     sub = neighbours(sub, [*keys, value], order,
                      back={"_prev_at": position}, ahead={"_next_at": position})
     return sub.withColumns({
@@ -227,7 +270,7 @@ def trailing_distinct(df: DataFrame, keys: Sequence[str], value: str, position:
                           *[(-F.col(f"_w_{n}")).alias(f"_w_{n}") for n in counts],
                           (F.col(position) + F.lit(span + 1)).alias("_at"), F.lit(0).alias("_enter"),
                           (-F.col("_final")).alias("_d"))
-    both = with_chunks(enter.unionByName(leave, allowMissingColumns=True), keys, "_at", width)
+    both = with_chunks(enter.unionByName(leave, allowMissingColumns=True), keys, "_at", width, bound=(df, keys))
     both = running(both, keys, ["_at", "_enter", *order],
                    {output: ("sum", "_d"), **{n: ("sum", f"_w_{n}") for n in counts}})
     return (both.where(F.col("_enter") == 1)

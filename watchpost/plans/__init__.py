@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_functions"]
+MODULES = ["q_functions", "q_rules"]
 
 
 def load():
