@@ -100,4 +100,4 @@ def explain(factors) -> Column:
     """One line of ``name +w.ww`` parts from ``array<struct<name,weight,..>>``."""
     shown = F.filter(factors, lambda f: F.abs(f["weight"]) > 1e-6)
     parts = F.transform(shown, lambda f: F.format_string("%s %+.2f", f["name"], f["weight"]))
-    return F.when(F.size(shown) > 0, F.array_join(parts, " ")).otherwise("no contributing factors")
+    return F.coalesce(F.nullif(F.array_join(parts, " "), F.lit("")), F.lit("no contributing factors"))

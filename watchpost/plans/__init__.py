@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_functions", "q_rules"]
+MODULES = ["q_functions", "q_rules", "q_scoring"]
 
 
 def load():
