@@ -44,8 +44,7 @@ def with_chunks(df: DataFrame, keys: Sequence[str], position: str, width: int,
     """
     target_rows = target_rows or TARGET_ROWS
     probe, probe_keys = bound or (df, keys)
-    largest = probe.groupBy(*probe_keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= target_rows:
+    if largest_key(probe, probe_keys) <= target_rows:
         return df.drop(CHUNK)
     df = cut(df.drop(CHUNK))
     bucket = F.floor(F.col(position) / F.lit(width)).cast("long")
@@ -275,3 +274,41 @@ def trailing_distinct(df: DataFrame, keys: Sequence[str], value: str, position:
                    {output: ("sum", "_d"), **{n: ("sum", f"_w_{n}") for n in counts}})
     return (both.where(F.col("_enter") == 1)
             .drop("_at", "_enter", "_d", "_first", "_final", CHUNK, *[f"_w_{n}" for n in counts]))
+
+
+def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the busiest key: one map-side combined count."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], outputs: Mapping[str, tuple[str, float]],
+              largest: int | None = None, target_rows: int | None = None) -> DataFrame:
+    """Exact interpolated quantiles of columns per key, one row per key.
+
+    Bounded keys take one aggregation.  With a hot key, values are counted first (combined map-side), then a running count finds the
+    two values around each rank.  No key's values are ever held in one place.
+    ``outputs`` maps a name to ``(value column, q)``.
+    """
+    largest = largest_key(df, keys) if largest is None else largest
+    if largest <= (target_rows or TARGET_ROWS):
+        return df.groupBy(*keys).agg(*[F.percentile(v, F.lit(q)).alias(n) for n, (v, q) in outputs.items()])
+    result = None
+    for value in dict.fromkeys(v for v, _ in outputs.values()):
+        counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+        counts = counts.withColumn("_pos", F.floor(F.col(value) * 1024).cast("long"))
+        ranked = running(with_chunks(counts, keys, "_pos", 1 << 20, target_rows), keys, [value], {"_cum": ("sum", "_n")})
+        # the value at 0-based rank r is the first whose running count exceeds r
+        total = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+        ranked = ranked.join(total, list(keys))
+        wanted = {n: q for n, (v, q) in outputs.items() if v == value}
+        picks = []
+        for n, q in wanted.items():
+            rank = F.lit(q) * (F.col("_all") - 1)
+            for side, r in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
+                picks.append(F.min(F.when(F.col("_cum") > r, F.col(value))).alias(f"_{n}_{side}"))
+        got = ranked.groupBy(*keys).agg(F.max("_all").alias("_all"), *picks)
+        got = got.select(*keys, *[
+            (F.col(f"_{n}_lo") + (F.lit(q) * (F.col("_all") - 1) - F.floor(F.lit(q) * (F.col("_all") - 1)))
+             * (F.col(f"_{n}_hi") - F.col(f"_{n}_lo"))).alias(n) for n, q in wanted.items()])
+        result = got if result is None else result.join(got, list(keys), "full")
+    return result

@@ -1,10 +1,16 @@
 """Detections to tracks."""
 from __future__ import annotations
 
+import json
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..values import OBJECT_CLASSES
+from ..values import DEFAULTS, OBJECT_CLASSES, Params
+from .fold import fold
+from .metrics import overlap_matrix
 from .ordered import running, with_chunks
 from .rules import ORDER, TRACK, WIDTH_US
 
@@ -21,3 +27,100 @@ def class_vote(points: DataFrame) -> DataFrame:
                       for c in sorted(OBJECT_CLASSES)])
     return p.withColumn("voted_class", F.array_min(tally)["c"]).drop(
         "_chunk", *[f"_v_{c}" for c in OBJECT_CLASSES])
+
+
+TRACK_SCHEMA = ("camera_id string, frame long, det_id string, track_key string, object_class string, confidence double, "
+                "x1 double, y1 double, x2 double, y2 double, hits long, lost_frames long, confirmed boolean, "
+                "vx double, vy double")
+
+
+def track(detections: DataFrame, params: Params = DEFAULTS, coasted: bool = False, width: int = 100_000,
+          target_rows: int = 200_000) -> DataFrame:
+    """Two-pass tracking by detection, one state per camera.
+
+    Confident detections are matched first, then weak ones may still continue a
+    track; only confident ones start a track.  A track is named after the
+    detection that started it.  Frames without rows count as frames in which
+    nothing was seen.  With ``coasted`` the predicted boxes of lost tracks are
+    returned too (``lost_frames`` > 0, no detection id).
+
+    ``detections``: camera_id, frame, det_id, object_class, confidence, box.
+    """
+    p = params
+    rows = with_chunks(detections.select("camera_id", "frame", "det_id", "object_class", "confidence", "x1", "y1", "x2", "y2"),
+                       ["camera_id"], "frame", width, target_rows)
+
+    def pair_up(tracks, boxes, floor):
+        if not tracks or not len(boxes):
+            return []
+        ahead = np.array([t["box"] for t in tracks]) + np.array([[t["vx"], t["vy"]] * 2 for t in tracks])
+        iou = overlap_matrix(ahead, boxes)
+        ti, di = np.nonzero(iou >= floor)
+        order = np.lexsort((di, ti, -iou[ti, di]))
+        used_t, used_d, out = set(), set(), []
+        for a, b in zip(ti[order].tolist(), di[order].tolist()):
+            if a not in used_t and b not in used_d:
+                used_t.add(a)
+                used_d.add(b)
+                out.append((a, b))
+        return out
+
+    def step(pdf: pd.DataFrame, state: str | None):
+        st = json.loads(state) if state else {"frame": None, "tracks": []}
+        tracks, last = st["tracks"], st["frame"]
+        cam, out = pdf["camera_id"].iloc[0], []
+
+        def coast(t, frame):
+            t["box"] = [t["box"][0] + t["vx"], t["box"][1] + t["vy"], t["box"][2] + t["vx"], t["box"][3] + t["vy"]]
+            t["lost"] += 1
+            if coasted and t["lost"] <= p.max_lost:
+                out.append((cam, frame, None, t["key"], t["cls"], t["conf"], *t["box"], t["hits"], t["lost"],
+                            t["hits"] >= p.min_hits, t["vx"], t["vy"]))
+
+        def report(t, frame, det):
+            out.append((cam, frame, det, t["key"], t["cls"], t["conf"], *t["box"], t["hits"], 0,
+                        t["hits"] >= p.min_hits, t["vx"], t["vy"]))
+
+        frames = pdf["frame"].to_numpy()
+        box, conf = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["confidence"].to_numpy(float)
+        dets, classes = pdf["det_id"].tolist(), pdf["object_class"].tolist()
+        edges = np.flatnonzero(np.diff(frames)) + 1
+        for lo, hi in zip([0, *edges], [*edges, len(frames)]):
+            frame = int(frames[lo])
+            if last is not None and tracks:
+                for gap in range(last + 1, min(frame, last + p.max_lost + 2)):
+                    for t in tracks:
+                        coast(t, gap)
+                    tracks = [t for t in tracks if t["lost"] <= p.max_lost]
+            here = np.arange(lo, hi)
+            high, low = here[conf[here] >= p.high_confidence], here[conf[here] < p.high_confidence]
+            got = [(a, int(high[b])) for a, b in pair_up(tracks, box[high], p.match_iou)]
+            seen = {a for a, _ in got}
+            rest = [i for i in range(len(tracks)) if i not in seen]
+            got += [(rest[a], int(low[b])) for a, b in pair_up([tracks[i] for i in rest], box[low], p.low_match_iou)]
+            seen = {a for a, _ in got}
+            for a, d in got:
+                t, b = tracks[a], box[d].tolist()
+                was, now = ((t["box"][0] + t["box"][2]) / 2, t["box"][3]), ((b[0] + b[2]) / 2, b[3])
+                t["vx"], t["vy"] = 0.7 * t["vx"] + 0.3 * (now[0] - was[0]), 0.7 * t["vy"] + 0.3 * (now[1] - was[1])
+                t["box"], t["conf"], t["lost"] = b, float(conf[d]), 0
+                t["hits"] += 1
+                t["votes"][classes[d]] = t["votes"].get(classes[d], 0) + 1
+                t["cls"] = min(t["votes"], key=lambda c: (-t["votes"][c], c))
+                report(t, frame, dets[d])
+            for i, t in enumerate(tracks):
+                if i not in seen:
+                    coast(t, frame)
+            taken = {d for _, d in got}
+            for d in high.tolist():
+                if d not in taken:
+                    t = {"key": str(dets[d]), "cls": classes[d], "conf": float(conf[d]), "box": box[d].tolist(),
+                         "hits": 1, "lost": 0, "vx": 0.0, "vy": 0.0, "votes": {classes[d]: 1}}
+                    tracks.append(t)
+                    report(t, frame, dets[d])
+            tracks = [t for t in tracks if t["lost"] <= p.max_lost]
+            last = frame
+        done = pd.DataFrame(out, columns=[f.strip().split(" ")[0] for f in TRACK_SCHEMA.split(",")])
+        return done, json.dumps({"frame": last, "tracks": tracks}, sort_keys=True)
+
+    return fold(rows, ["camera_id"], ["frame", "det_id"], step, TRACK_SCHEMA)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_functions", "q_rules", "q_scoring", "q_patrol_plates", "q_ledger_sync", "q_corridor"]
+MODULES = ["q_functions", "q_rules", "q_scoring", "q_patrol_plates", "q_ledger_sync", "q_corridor", "q_profiling", "q_eval"]
 
 
 def load():
