@@ -19,7 +19,8 @@ def suppress_repeats(df: DataFrame, key: str, position: str, gap: int, tie: str,
     Keys are hashed into shards, and each shard's timeline is cut into chunks, so
     many small keys share a task and one hot key spreads over many.
     """
-    slim = df.select(key, position, tie).withColumn("_shard", F.pmod(F.xxhash64(key), F.lit(shards)))
+    stream = df.isStreaming
+    slim = (df if stream else df.select(key, position, tie)).withColumn("_shard", F.pmod(F.xxhash64(key), F.lit(shards)))
     rows = with_chunks(slim, ["_shard"], position, width, target_rows)
 
     def step(pdf: pd.DataFrame, state: str | None):
@@ -33,9 +34,10 @@ def suppress_repeats(df: DataFrame, key: str, position: str, gap: int, tie: str,
                 last[k] = at
         end = int(pdf[position].iloc[-1])
         live = {k: v for k, v in sorted(last.items()) if end - v < gap}
-        return pdf.loc[keep, [key, position, tie]], json.dumps(live)
+        return pdf.loc[keep, columns], json.dumps(live)
 
     types = dict(slim.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in (key, position, tie))
+    columns = df.columns if stream else [key, position, tie]
+    schema = ", ".join(f"{c} {types[c]}" for c in columns)
     kept = fold(rows, ["_shard"], [position, tie], step, schema)
-    return df.join(kept, [key, position, tie], "left_semi")
+    return kept if stream else df.join(kept, [key, position, tie], "left_semi")

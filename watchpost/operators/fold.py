@@ -46,6 +46,9 @@ def fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step,
     full += "".join(f", {k} {key_types[k]}" for k in missing)
     columns = [*fields, CHUNK, "_state", "_mark", *missing]
 
+    if rows.isStreaming:
+        return _fold_stream(rows, keys, order, step, schema, fields)
+
     def run_whole(pdf: pd.DataFrame) -> pd.DataFrame:
         out, _ = step(pdf.sort_values(order, kind="stable"), None)
         return out[fields]
@@ -100,6 +103,22 @@ def fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step,
     return everything.where("not _mark").select(*fields)
 
 
+def _fold_stream(rows, keys, order, step, schema, fields) -> DataFrame:
+    """The same step over a stream: its JSON state lives in the state store.
+
+    Rows of one micro-batch are put in order; a row that arrives in a later batch
+    is folded then, as a node that reconnects late would be.
+    """
+    def run(_, batches, state):
+        pdf = pd.concat(list(batches), ignore_index=True)
+        saved = state.get[0] if state.exists else None
+        out, new = step(pdf.sort_values(order, kind="stable").reset_index(drop=True), saved)
+        state.update((new,))
+        yield out[fields]
+
+    return rows.groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", "NoTimeout")
+
+
 def _split(schema: str) -> list[str]:
     out, depth, cur = [], 0, ""
     for ch in schema:

@@ -344,26 +344,27 @@ def link_regions(regions: DataFrame, min_iou: float = 0.3, width: int = 1 << 20,
     def step(pdf: pd.DataFrame, state: str | None):
         st = json.loads(state) if state else {"frame": None, "live": []}
         live, prev = st["live"], st["frame"]
-        names = {}
-        for frame, g in pdf.groupby("frame", sort=True):
+        frames, box, ids = pdf["frame"].to_numpy(), pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["id"].tolist()
+        tracks = [None] * len(ids)
+        edges = np.flatnonzero(np.diff(frames)) + 1
+        for lo, hi in zip([0, *edges], [*edges, len(frames)]):
+            frame, used, nxt = int(frames[lo]), set(), []
             if prev is not None and frame != prev + 1:
                 live = []
-            box, used, nxt = g[["x1", "y1", "x2", "y2"]].to_numpy(float), set(), []
-            over = overlap_matrix(np.array([b for _, b in live]), box) if live else np.zeros((0, len(box)))
-            ids = g["id"].tolist()
-            for r, (name, _) in enumerate(live):
-                free = [(over[r, i], i) for i in range(len(ids)) if i not in used and over[r, i] >= min_iou]
+            over = overlap_matrix(np.array([b for _, b in live]), box[lo:hi]) if live else ()
+            for (name, _), row in zip(live, over):
+                free = [(v, i) for i, v in enumerate(row.tolist()) if v >= min_iou and lo + i not in used]
                 if free:
-                    i = max(free)[1]
+                    i = lo + max(free)[1]
                     used.add(i)
-                    names[ids[i]] = name
+                    tracks[i] = name
                     nxt.append((name, box[i].tolist()))
-            for i, one in enumerate(ids):
+            for i in range(lo, hi):
                 if i not in used:
-                    names[one] = str(one)
-                    nxt.append((str(one), box[i].tolist()))
-            live, prev = nxt, int(frame)
-        out = pdf[["clip", "frame", "id"]].assign(track=pdf["id"].map(names))
+                    tracks[i] = str(ids[i])
+                    nxt.append((str(ids[i]), box[i].tolist()))
+            live, prev = nxt, frame
+        out = pdf[["clip", "frame", "id"]].assign(track=tracks)
         return out, json.dumps({"frame": prev, "live": live})
 
     return fold(rows, ["clip"], ["frame", "id"], step, "clip long, frame long, id string, track string")

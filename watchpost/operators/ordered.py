@@ -42,6 +42,8 @@ def with_chunks(df: DataFrame, keys: Sequence[str], position: str, width: int,
     chunk.  The table of crowded buckets holds at most rows/target_rows entries,
     which is what makes broadcasting it safe at any input size.
     """
+    if df.isStreaming:
+        return df
     target_rows = target_rows or TARGET_ROWS
     probe, probe_keys = bound or (df, keys)
     if largest_key(probe, probe_keys) <= target_rows:
