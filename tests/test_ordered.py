@@ -53,13 +53,13 @@ def test_quantiles_hot_equals_native(spark, sf, hot):
         assert all(abs(x - y) < 1e-9 for x, y in zip(got[k], want[k]))
 
 
-@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
 @given(times=st.lists(st.integers(0, 400), min_size=1, max_size=60), gap=st.integers(1, 60), width=st.integers(20, 90))
 def test_cooldown_fold_equals_loop(spark, times, gap, width):
     from watchpost.operators.cooldown import suppress_repeats
     rows = [(f"k{i % 2}", t, i) for i, t in enumerate(times)]
     df = spark.createDataFrame(rows, "k string, at long, i long")
-    got = {r.i for r in suppress_repeats(df, "k", "at", gap, "i", width, shards=1, target_rows=5).collect()}
+    got = {r.i for r in suppress_repeats(df, "k", "at", gap, "i", width, shards=1, target_rows=25).collect()}
     last, want = {}, set()
     for t, i, k in sorted((t, i, k) for k, t, i in rows):
         if k not in last or t - last[k] >= gap:

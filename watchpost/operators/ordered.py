@@ -25,7 +25,8 @@ from ..session import cut
 
 CHUNK = "_chunk"
 TARGET_ROWS = 2_000_000
-_SUBS = 1 << 16          # ids per bucket; also the finest split of a hot bucket
+BROADCAST_ROWS = 500_000
+_SUBS = 1 << 16          # finest split of one bucket
 
 
 def with_chunks(df: DataFrame, keys: Sequence[str], position: str, width: int,
@@ -36,11 +37,11 @@ def with_chunks(df: DataFrame, keys: Sequence[str], position: str, width: int,
     ``bound`` names a cheaper table and keys whose largest group bounds this one.
     ``_chunk`` is an id that grows with ``position`` inside each key.
 
-    ``position`` is an integral column (epoch microseconds, frame number).  A
-    bucket is ``width`` positions; a bucket above ``target_rows`` is split
-    further into equal position ranges.  Rows with the same position share a
-    chunk.  The table of crowded buckets holds at most rows/target_rows entries,
-    which is what makes broadcasting it safe at any input size.
+    ``position`` is an integral column (epoch microseconds, frame number).  Keys
+    within ``target_rows`` stay in one chunk.  A hot key's buckets of ``width``
+    positions are counted; neighbouring small buckets share a chunk of about
+    ``target_rows`` rows and a crowded bucket is split into equal position
+    ranges.  Rows with the same position always share a chunk.
     """
     if df.isStreaming:
         return df
@@ -51,22 +52,20 @@ def with_chunks(df: DataFrame, keys: Sequence[str], position: str, width: int,
     df = cut(df.drop(CHUNK))
     bucket = F.floor(F.col(position) / F.lit(width)).cast("long")
     base = df.withColumn("_bucket", bucket)
-    crowded = (
-        base.groupBy(*keys, "_bucket").count().where(F.col("count") > target_rows)
-        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                F.col("_bucket").alias("_kb"),
-                F.least(F.ceil(F.col("count") / F.lit(target_rows)),
-                        F.lit(_SUBS - 1), F.lit(width)).cast("long").alias("_parts")))
-    cond = F.col("_bucket") == F.col("_kb")
-    for i, k in enumerate(keys):
-        cond = cond & (F.col(k) == F.col(f"_k{i}"))
-    offset = F.col(position) - F.col("_bucket") * F.lit(width)
-    sub = F.coalesce(F.floor(offset.cast("double") * F.col("_parts") / F.lit(width)).cast("long"),
-                     F.lit(0).cast("long"))
-    drop = [f"_k{i}" for i in range(len(keys))] + ["_kb", "_parts", "_bucket"]
-    return (base.join(F.broadcast(crowded), cond, "left")
-            .withColumn(CHUNK, F.col("_bucket") * F.lit(_SUBS) + sub)
-            .drop(*drop))
+    hist = cut(base.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n")))
+    hot = hist.groupBy(*keys).agg(F.sum("_n").alias("_all")).where(F.col("_all") > target_rows).select(*keys)
+    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    plan = cut(hist.join(hot, list(keys)).select(
+        *keys, "_bucket", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / target_rows).cast("long").alias("_base"),
+        F.least(F.ceil(F.col("_n") / target_rows), F.lit(_SUBS - 1), F.lit(width)).cast("long").alias("_parts")))
+    # one row per bucket of a hot key: small for any sane width, but checked
+    if plan.count() <= BROADCAST_ROWS:
+        plan = F.broadcast(plan)
+    offset = (F.col(position) - F.col("_bucket") * F.lit(width)).cast("double")
+    sub = F.floor(offset * F.col("_parts") / F.lit(width)).cast("long")
+    return (base.join(plan, [*keys, "_bucket"], "left")
+            .withColumn(CHUNK, F.coalesce(F.col("_base") * F.lit(_SUBS) + sub, F.lit(0).cast("long")))
+            .drop("_base", "_parts", "_bucket").select(*df.columns, CHUNK))
 
 
 def _join_carry(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
