@@ -186,7 +186,7 @@ def test_detection_metric_cases(spark):
     assert got == {"all": (1, 1, 1), "person": (1, 0, 1), "car": (0, 1, 0)}
 
 
-def test_greedy_and_nms_rounds_equal_loops(spark):
+def test_greedy_and_nms_rounds_equal_loops(spark, monkeypatch):
     import random
     rnd = random.Random(7)
     rows = []
@@ -199,15 +199,19 @@ def test_greedy_and_nms_rounds_equal_loops(spark):
     for r in sorted(rows, key=lambda r: (-r[3], r[1])):
         if all(k[0] != r[0] or iou(k, r) <= 0.4 for k in keep):
             keep.append(r)
-    assert {r.id for r in MA.suppress_overlaps(d, ["frame"], 0.4).collect()} == {r[1] for r in keep}
+    walked = {r.id for r in MA.suppress_overlaps(d, ["frame"], 0.4).collect()}
     left, right = rows[:30], rows[30:]
     pairs = sorted((-iou(a, b), a[1], b[1]) for a in left for b in right if a[0] == b[0] and iou(a, b) >= 0.3)
     ua, ub, want = set(), set(), set()
     for _, a, b in pairs:
         if a not in ua and b not in ub:
             ua.add(a), ub.add(b), want.add((a, b))
-    got = MA.greedy_pairs(MA.overlaps(spark.createDataFrame(left, BOXES), spark.createDataFrame(right, BOXES), ["frame"], 0.3), ["frame"])
-    assert {(r.a_id, r.b_id) for r in got.collect()} == want and want
+    cand = MA.overlaps(spark.createDataFrame(left, BOXES), spark.createDataFrame(right, BOXES), ["frame"], 0.3, cell=50.0)
+    pairs_of = lambda: {(r.a_id, r.b_id) for r in MA.greedy_pairs(cand, ["frame"]).collect()}
+    assert pairs_of() == want and want and walked == {r[1] for r in keep}
+    monkeypatch.setattr(MA, "FRAME_LIMIT", 5)      # crowded frames: resolved in rounds
+    assert pairs_of() == want
+    assert {r.id for r in MA.suppress_overlaps(d, ["frame"], 0.4, cell=50.0).collect()} == walked
 
 
 def test_tracking_metrics(spark):

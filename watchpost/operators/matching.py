@@ -1,9 +1,10 @@
-"""Box matching without per-frame task groups.
+"""Greedy box matching and suppression.
 
-Overlaps are found by a grid join, and greedy one-to-one choices are resolved in
-rounds: in each round every pair that is the best choice of *both* its sides is
-final.  That is the same result as walking all pairs of a frame from best to
-worst, but a crowded frame is spread over the cluster.
+Overlaps are found by a grid join.  While every frame is small (measured first),
+a frame's candidates are walked from best to worst in one array expression.  With
+a crowded frame the choices are resolved in rounds instead: in each round every
+pair that is the best choice of *both* its sides is final, which gives the same
+result with the frame spread over the cluster.
 """
 from __future__ import annotations
 
@@ -12,10 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import box_iou
+from ..functions.geometry import box_area, box_iou
 from ..session import cut
+from .ordered import largest_key
 
 BOX = ("x1", "y1", "x2", "y2")
+FRAME_LIMIT = 2_000      # candidates of one frame that may be walked in place
 
 
 def _on_grid(boxes: DataFrame, cell: float, names: Sequence[str], out: Sequence[str]) -> DataFrame:
@@ -24,7 +27,7 @@ def _on_grid(boxes: DataFrame, cell: float, names: Sequence[str], out: Sequence[
     return boxes.withColumn(out[0], F.explode(cells(x1, x2))).withColumn(out[1], F.explode(cells(y1, y2)))
 
 
-def overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], min_iou: float, cell: float = 128.0,
+def overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], min_iou: float, cell: float = 512.0,
              strict: bool = False) -> DataFrame:
     """Pairs (``a_id``, ``b_id``, ``iou``) of the same key that overlap enough.
 
@@ -32,19 +35,40 @@ def overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], min_iou: fl
     the cell that holds the corner of its intersection; boxes that never touch
     never meet.
     """
-    a = _on_grid(left.select(*keys, F.col("id").alias("a_id"), *[F.col(c).alias(f"a{c}") for c in BOX]),
-                 cell, [f"a{c}" for c in BOX], ("_cx", "_cy"))
-    b = _on_grid(right.select(*keys, F.col("id").alias("b_id"), *[F.col(c).alias(f"b{c}") for c in BOX]),
-                 cell, [f"b{c}" for c in BOX], ("_cx", "_cy"))
-    j = a.join(b, [*keys, "_cx", "_cy"])
+    def side(boxes, p):
+        named = boxes.select(*keys, F.col("id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}{c}") for c in BOX],
+                             box_area(*[F.col(c) for c in BOX]).alias(f"{p}_area"))
+        return _on_grid(named, cell, [f"{p}{c}" for c in BOX], ("_cx", "_cy"))
+
+    # spread by cell first: the join and everything after it runs in parallel
+    a = side(left, "a").repartition(*keys, "_cx", "_cy")
+    j = a.join(side(right, "b"), [*keys, "_cx", "_cy"])
     corner = (F.floor(F.greatest("ax1", "bx1") / cell) == F.col("_cx")) & (F.floor(F.greatest("ay1", "by1") / cell) == F.col("_cy"))
-    j = j.where(corner).withColumn("iou", box_iou(tuple(F.col(f"a{c}") for c in BOX), tuple(F.col(f"b{c}") for c in BOX)))
+    # areas come with the boxes, so the pair expression stays small enough to compile
+    shared = (F.greatest(F.lit(0.0), F.least("ax2", "bx2") - F.greatest("ax1", "bx1"))
+              * F.greatest(F.lit(0.0), F.least("ay2", "by2") - F.greatest("ay1", "by1")))
+    j = j.where(corner).withColumn("_in", shared).where("_in > 0")
+    j = j.withColumn("iou", F.col("_in") / (F.col("a_area") + F.col("b_area") - F.col("_in")))
     return j.where(F.col("iou") > min_iou if strict else F.col("iou") >= min_iou).select(*keys, "a_id", "b_id", "iou")
 
 
 def greedy_pairs(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One-to-one pairs, best IoU first; ties go to the smaller ids."""
     keys = list(keys)
+    pairs = cut(pairs)
+    if largest_key(pairs, keys) <= FRAME_LIMIT:
+        kinds = dict(pairs.dtypes)
+        none = f"struct<a:array<{kinds['a_id']}>,b:array<{kinds['b_id']}>,won:array<struct<o:double,a_id:{kinds['a_id']},b_id:{kinds['b_id']}>>>"
+        start = F.struct(F.array().alias("a"), F.array().alias("b"), F.array().alias("won")).cast(none)
+
+        def walk(acc, p):
+            free = ~F.array_contains(acc["a"], p["a_id"]) & ~F.array_contains(acc["b"], p["b_id"])
+            return F.when(free, F.struct(F.array_append(acc["a"], p["a_id"]).alias("a"), F.array_append(acc["b"], p["b_id"]).alias("b"),
+                                         F.array_append(acc["won"], p).alias("won"))).otherwise(acc)
+        best_first = F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("o"), "a_id", "b_id")))
+        won = pairs.groupBy(*keys).agg(best_first.alias("_p")).select(
+            *keys, F.explode(F.aggregate("_p", start, walk, lambda acc: acc["won"])).alias("w"))
+        return won.select(*keys, "w.a_id", "w.b_id", (-F.col("w.o")).alias("iou"))
     alive = cut(pairs.withColumn("_r", F.struct((-F.col("iou")).alias("o"), "a_id", "b_id")))
     taken = None
     while True:
@@ -59,13 +83,22 @@ def greedy_pairs(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
             return taken
 
 
-def suppress_overlaps(boxes: DataFrame, keys: Sequence[str], max_iou: float, cell: float = 128.0) -> DataFrame:
+def suppress_overlaps(boxes: DataFrame, keys: Sequence[str], max_iou: float, cell: float = 512.0) -> DataFrame:
     """Greedy non-maximum suppression: keep a box unless a kept, better-scored box
     of the same key overlaps it by more than ``max_iou``.
 
     Round by round: boxes nobody alive beats are kept and their victims go.
     """
     keys = list(keys)
+    if largest_key(boxes, keys) <= FRAME_LIMIT:
+        rest = [c for c in boxes.columns if c not in (*keys, "score", "id")]
+        row = F.struct((-F.col("score")).alias("_o"), "id", *rest)
+        shape = boxes.select(row.alias("r")).schema["r"].dataType.simpleString()
+        hits = lambda k, b: box_iou(tuple(k[c] for c in BOX), tuple(b[c] for c in BOX)) > max_iou
+        kept = F.aggregate("_b", F.array().cast(f"array<{shape}>"), lambda acc, b: F.when(
+            F.exists(acc, lambda k: hits(k, b)), acc).otherwise(F.array_append(acc, b)))
+        walked = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_b")).select(*keys, F.explode(kept).alias("_k"))
+        return walked.select(*keys, "_k.*").withColumn("score", -F.col("_o")).select(*boxes.columns)
     rank = boxes.select(*keys, "id", "score")
     e = overlaps(boxes, boxes, keys, max_iou, cell, strict=True).where("a_id <> b_id")
     e = e.join(rank.select(*keys, F.col("id").alias("a_id"), F.col("score").alias("_sa")), [*keys, "a_id"]).join(

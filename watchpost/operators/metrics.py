@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .fold import fold
 from .matching import greedy_pairs, overlaps
 from .ordered import neighbours, running, with_chunks
@@ -62,11 +63,11 @@ def average_precision(pred: DataFrame, truth: DataFrame, min_iou: float = 0.5) -
     d = d.where(F.col("_tp").isNotNull() | F.col("_ig").isNull()).select(
         F.lit(0).alias("k"), "score", "frame", "a_id", F.coalesce("_tp", F.lit(False)).alias("tp"))
     d = d.withColumn("_at", (-F.round(F.col("score") * 1_000_000)).cast("long")).withColumn("_neg", -F.col("score"))
-    d = with_chunks(d, ["k"], "_at", 1000)
+    d = with_chunks(d, ["k"], "_at", 1000, bound=(pred, []))
     d = running(d, ["k"], ["_at", "_neg", "frame", "a_id"], {"ctp": ("count", F.col("tp")), "n": ("count", F.lit(True))})
     n_true = truth.where("NOT ignored").agg(F.count("*").alias("n_true"))
     d = d.withColumns({"precision_at": F.col("ctp") / F.col("n"), "_back": -F.col("n")}).drop("_chunk")
-    d = with_chunks(d, ["k"], "_back", 1_000_000)
+    d = with_chunks(d, ["k"], "_back", 1_000_000, bound=(pred, []))
     d = running(d, ["k"], ["_back"], {"env": ("max", "precision_at")})
     s = d.groupBy("k").agg(F.count(F.when(F.col("tp"), 1)).alias("tp"), F.count("*").alias("detections"),
                            F.sum(F.when(F.col("tp"), F.col("env")).otherwise(0.0)).alias("_area"))
@@ -162,7 +163,16 @@ def mot_matches(truth: DataFrame, pred: DataFrame, min_iou: float = 0.5, width:
             rg, rp = sorted(free_g), sorted(free_p)
             if rg and rp:
                 sub = iou[np.ix_(rg, rp)]
-                got += [(rg[r], rp[c]) for r, c in _assign(sub) if sub[r, c] >= min_iou]
+                touch = sub > 0
+                rows_, cols_ = touch.sum(axis=1), touch.sum(axis=0)
+                # two boxes that touch nothing else are matched in any optimum
+                alone = touch & (rows_ == 1)[:, None] & (cols_ == 1)[None, :]
+                picked = list(zip(*np.nonzero(alone)))
+                r_left = np.flatnonzero((rows_ > 0) & ~alone.any(axis=1))
+                c_left = np.flatnonzero((cols_ > 0) & ~alone.any(axis=0))
+                if len(r_left) and len(c_left):
+                    picked += [(r_left[r], c_left[c]) for r, c in _assign(sub[np.ix_(r_left, c_left)])]
+                got += [(rg[r], rp[c]) for r, c in picked if sub[r, c] >= min_iou]
             for g, p in got:
                 before = last.get(gid[g])
                 out.append((frames[lo], gid[g], pid[p], iou[g, p], before is not None and before != pid[p]))
@@ -309,16 +319,16 @@ def region_curves(pred: DataFrame, truth: DataFrame, min_iou: float = 0.1) -> Da
     wrong = pred.join(hit, ["frame", "id"], "left_anti").groupBy("score").agg(F.count("*").alias("f"))
     grid = pred.select("score").distinct().join(gains, "score", "left").join(wrong, "score", "left").fillna(0)
     grid = grid.withColumns({"k": F.lit(0), "_at": (-F.round(F.col("score") * 1_000_000)).cast("long"), "_neg": -F.col("score")})
-    grid = running(with_chunks(grid, ["k"], "_at", 1000), ["k"], ["_at", "_neg"], {"cr": ("sum", "r"), "ct": ("sum", "t"), "cf": ("sum", "f")})
+    grid = running(with_chunks(grid, ["k"], "_at", 1000, bound=(pred, [])), ["k"], ["_at", "_neg"], {"cr": ("sum", "r"), "ct": ("sum", "t"), "cf": ("sum", "f")})
     frames = pred.agg(F.count_distinct("frame").alias("_nf"))
     return grid.drop("_chunk").crossJoin(tracks).crossJoin(frames).select(
-        "k", "_at", "_neg", "score", (F.col("cr") / F.col("_nr")).alias("region_tpr"), (F.col("ct") / F.col("_nt")).alias("track_tpr"),
+        "k", "_at", "_neg", (F.col("cr") / F.col("_nr")).alias("region_tpr"), (F.col("ct") / F.col("_nt")).alias("track_tpr"),
         (F.col("cf") / F.greatest(F.col("_nf"), F.lit(1))).alias("fp_rate"))
 
 
 def rbdc_tbdc(curve: DataFrame, cap: float = 1.0) -> DataFrame:
     """Areas under both curves on [0, cap] false positives per frame, over cap."""
-    c = with_chunks(curve, ["k"], "_at", 1000)
+    c = with_chunks(cut(curve), ["k"], "_at", 1000)   # one row per threshold, read twice
     c = neighbours(c, ["k"], ["_at", "_neg"], back={"_x": "fp_rate", "_r": "region_tpr", "_t": "track_tpr"})
     x0, x1 = F.coalesce("_x", F.lit(0.0)), F.col("fp_rate")
     end = F.least(x1, F.lit(cap))
@@ -408,18 +418,19 @@ def similarity_rows(queries: DataFrame, gallery: DataFrame, kind: str = "embeddi
     return pairs.mapInPandas(product, "q_id long, q_identity int, q_camera int, g_id long, g_identity int, g_camera int, sim double")
 
 
-def reid_scores(sims: DataFrame, junk: bool = True, group: Sequence[str] = ()) -> DataFrame:
+def reid_scores(sims: DataFrame, junk: bool = True, group: Sequence[str] = (), gallery: DataFrame | None = None) -> DataFrame:
     """Rank-1 and mean average precision per ``group`` of queries.
 
     With ``junk``, same identity on the same camera and the distractor identities
     0 and -1 leave the ranking.  Queries with no right answer are not scored.
+    ``gallery``, when given, bounds the ranking length without ranking twice.
     """
     s = sims
     if junk:
         s = s.where("NOT (g_identity = q_identity AND g_camera = q_camera) AND g_identity NOT IN (0, -1)")
     key = [*group, "q_id"]
     s = s.withColumns({"_hit": F.col("g_identity") == F.col("q_identity"), "_at": (-F.round(F.col("sim") * 1_000_000)).cast("long"), "_neg": -F.col("sim")})
-    s = running(with_chunks(s, key, "_at", 1000), key, ["_at", "_neg", "g_id"], {"rank": ("count", F.lit(True)), "hits": ("count", F.col("_hit"))})
+    s = running(with_chunks(s, key, "_at", 1000, bound=None if gallery is None else (gallery, [])), key, ["_at", "_neg", "g_id"], {"rank": ("count", F.lit(True)), "hits": ("count", F.col("_hit"))})
     per = s.where("_hit").groupBy(*key).agg(F.min("rank").alias("_first"), F.avg(F.col("hits") / F.col("rank")).alias("_ap"))
     agg = [F.count("*").alias("queries"), F.avg(F.when(F.col("_first") == 1, 1.0).otherwise(0.0)).alias("rank1"), F.avg("_ap").alias("map")]
     return per.groupBy(*group).agg(*agg) if group else per.agg(*agg)

@@ -34,38 +34,41 @@ def with_chunks(df: DataFrame, keys: Sequence[str], position: str, width: int,
                 bound: tuple[DataFrame, Sequence[str]] | None = None) -> DataFrame:
     """Add ``_chunk`` when some key exceeds ``target_rows``; else return ``df``.
 
-    ``bound`` names a cheaper table and keys whose largest group bounds this one.
+    ``bound`` names a cheaper table and keys (none: all rows) whose largest group
+    bounds this one; only when that is too large is ``df`` itself counted.
     ``_chunk`` is an id that grows with ``position`` inside each key.
 
     ``position`` is an integral column (epoch microseconds, frame number).  Keys
     within ``target_rows`` stay in one chunk.  A hot key's buckets of ``width``
     positions are counted; neighbouring small buckets share a chunk of about
-    ``target_rows`` rows and a crowded bucket is split into equal position
-    ranges.  Rows with the same position always share a chunk.
+    ``target_rows`` rows and a crowded bucket is split into equal ranges of the
+    positions it really holds.  Rows with the same position always share a chunk.
     """
     if df.isStreaming:
         return df
     target_rows = target_rows or TARGET_ROWS
-    probe, probe_keys = bound or (df, keys)
-    if largest_key(probe, probe_keys) <= target_rows:
+    if bound is not None and largest_key(*bound) <= target_rows:
+        return df.drop(CHUNK)
+    if largest_key(df, keys) <= target_rows:
         return df.drop(CHUNK)
     df = cut(df.drop(CHUNK))
     bucket = F.floor(F.col(position) / F.lit(width)).cast("long")
     base = df.withColumn("_bucket", bucket)
-    hist = cut(base.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n")))
+    hist = cut(base.groupBy(*keys, "_bucket").agg(
+        F.count("*").alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi")))
     hot = hist.groupBy(*keys).agg(F.sum("_n").alias("_all")).where(F.col("_all") > target_rows).select(*keys)
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     plan = cut(hist.join(hot, list(keys)).select(
-        *keys, "_bucket", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / target_rows).cast("long").alias("_base"),
-        F.least(F.ceil(F.col("_n") / target_rows), F.lit(_SUBS - 1), F.lit(width)).cast("long").alias("_parts")))
+        *keys, "_bucket", "_lo", (F.col("_hi") - F.col("_lo") + 1).alias("_span"), F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / target_rows).cast("long").alias("_base"),
+        F.least(F.ceil(F.col("_n") / target_rows), F.lit(_SUBS - 1)).cast("long").alias("_parts")))
     # one row per bucket of a hot key: small for any sane width, but checked
     if plan.count() <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
-    offset = (F.col(position) - F.col("_bucket") * F.lit(width)).cast("double")
-    sub = F.floor(offset * F.col("_parts") / F.lit(width)).cast("long")
+    offset = (F.col(position) - F.col("_lo")).cast("double")
+    sub = F.floor(offset * F.col("_parts") / F.col("_span")).cast("long")
     return (base.join(plan, [*keys, "_bucket"], "left")
             .withColumn(CHUNK, F.coalesce(F.col("_base") * F.lit(_SUBS) + sub, F.lit(0).cast("long")))
-            .drop("_base", "_parts", "_bucket").select(*df.columns, CHUNK))
+            .select(*df.columns, CHUNK))
 
 
 def _join_carry(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -279,6 +282,8 @@ def trailing_distinct(df: DataFrame, keys: Sequence[str], value: str, position:
 
 def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows of the busiest key: one map-side combined count."""
+    if not keys:
+        return df.count()
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 

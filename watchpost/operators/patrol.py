@@ -133,7 +133,7 @@ def assess(observations: DataFrame, profiles: DataFrame, params: Params = DEFAUL
     out = out.withColumn("_strong", F.coalesce(strong, F.lit(False)))
 
     spend = out.where("_strong").select("event_id", "ts_us", "occurrence", "limit")
-    spend = with_chunks(spend, ["occurrence"], "ts_us", DAY_US)
+    spend = with_chunks(spend, ["occurrence"], "ts_us", DAY_US, bound=(observations, []))
     spend = running(spend, ["occurrence"], ["ts_us", "event_id"], {"_nth": ("count", F.lit(True))})
     within = spend.where(c("_nth") <= c("limit")).select("event_id", F.lit(True).alias("_paid"))
     out = out.join(within, "event_id", "left")

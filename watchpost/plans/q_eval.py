@@ -281,14 +281,14 @@ def _shown(df, *group):
 @query("eval_reid_junk_rules", _reid_sql("a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0", "NOT (gi = qi AND gc = qc) AND gi NOT IN (0, -1)"))
 def eval_reid_junk_rules(spark, sf):
     c = X.crops(spark, sf)
-    return _shown(M.reid_scores(M.similarity_rows(c.where("vec_id % 5 = 0"), c.where("vec_id % 5 <> 0"))))
+    return _shown(M.reid_scores(M.similarity_rows(c.where("vec_id % 5 = 0"), c.where("vec_id % 5 <> 0")), gallery=c))
 
 
 @query("eval_reid_first_query", _reid_sql(
     "a.vec_id IN (SELECT min(vec_id) FROM crops GROUP BY identity) AND b.vec_id NOT IN (SELECT min(vec_id) FROM crops GROUP BY identity)", "TRUE"))
 def eval_reid_first_query(spark, sf):
     q, g = M.first_as_query(X.crops(spark, sf))
-    return _shown(M.reid_scores(M.similarity_rows(q, g), junk=False))
+    return _shown(M.reid_scores(M.similarity_rows(q, g), junk=False, gallery=g))
 
 
 @query("eval_reid_cross_modal", _reid_sql("a.camera % 2 <> b.camera % 2", "TRUE", "direction"))
@@ -298,7 +298,7 @@ def eval_reid_cross_modal(spark, sf):
     even, odd = c.where("camera % 2 = 0"), c.where("camera % 2 = 1")
     s = M.similarity_rows(even, odd).withColumn("direction", F.lit("visible_to_thermal")).unionByName(
         M.similarity_rows(odd, even).withColumn("direction", F.lit("thermal_to_visible")))
-    return _shown(M.reid_scores(s, junk=False, group=["direction"]), "direction")
+    return _shown(M.reid_scores(s, junk=False, group=["direction"], gallery=c), "direction")
 
 
 @query("eval_similarity_best", X.with_sql(X.CROPS, SIM.replace("{where}", "a.vec_id % 7 = 0 AND b.vec_id % 7 <> 0")) + """SELECT q AS q_id, count(*) AS compared,

@@ -7,6 +7,7 @@ from ..operators import events as EV
 from ..operators import ledger as LG
 from ..operators import notary as NT
 from ..operators import sync as SY
+from ..session import cut
 from ..values import Params
 from . import fixtures as X
 from .registry import query
@@ -26,7 +27,8 @@ def _sealed(spark, sf):
 
 
 def _chain(spark, sf):
-    return LG.append(_sealed(spark, sf))
+    # several queries read the chain more than once: link it once
+    return cut(LG.append(_sealed(spark, sf)))
 
 
 _Q = lambda e: f"CASE WHEN {e} IS NULL THEN 'null' ELSE '\"' || {e} || '\"' END"

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,24 +33,29 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for cut lineage: the cluster's ``spark.checkpoint.dir`` when it names
+    one.  Only a local session (tests) gets a folder of its own.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if shared:
-        sc.setCheckpointDir(shared)
-        return
+        return shared
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="watchpost-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+    """Write ``df`` to the shared folder and read it back: lineage ends here.
 
-    Used between the rounds of iterative operators, so a lost executor costs one
-    re-read of the checkpoint and never a replay of the earlier rounds.
+    Used where a table feeds several branches and between the rounds of iterative
+    operators, so a lost executor costs one re-read and never a replay of earlier
+    work.  A written table is computed once (a checkpoint computes twice) and has
+    sizes the optimizer can plan joins with.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
