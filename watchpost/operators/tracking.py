@@ -50,10 +50,9 @@ def track(detections: DataFrame, params: Params = DEFAULTS, coasted: bool = Fals
     rows = with_chunks(detections.select("camera_id", "frame", "det_id", "object_class", "confidence", "x1", "y1", "x2", "y2"),
                        ["camera_id"], "frame", width, target_rows)
 
-    def pair_up(tracks, boxes, floor):
-        if not tracks or not len(boxes):
+    def pair_up(ahead, boxes, floor):
+        if not len(ahead) or not len(boxes):
             return []
-        ahead = np.array([t["box"] for t in tracks]) + np.array([[t["vx"], t["vy"]] * 2 for t in tracks])
         iou = overlap_matrix(ahead, boxes)
         ti, di = np.nonzero(iou >= floor)
         order = np.lexsort((di, ti, -iou[ti, di]))
@@ -66,61 +65,75 @@ def track(detections: DataFrame, params: Params = DEFAULTS, coasted: bool = Fals
         return out
 
     def step(pdf: pd.DataFrame, state: str | None):
-        st = json.loads(state) if state else {"frame": None, "tracks": []}
-        tracks, last = st["tracks"], st["frame"]
+        st = json.loads(state) if state else {"frame": None, "meta": [], "box": [], "vel": [], "seen": []}
+        # a lost track moves on with its velocity: its box at any frame follows
+        # from the last observed one, so nothing is updated while it is lost
+        meta, last = st["meta"], st["frame"]
+        box = np.array(st["box"], dtype=float).reshape(-1, 4)
+        vel = np.array(st["vel"], dtype=float).reshape(-1, 2)
+        seen = np.array(st["seen"], dtype=np.int64)
         cam, out = pdf["camera_id"].iloc[0], []
 
-        def coast(t, frame):
-            t["box"] = [t["box"][0] + t["vx"], t["box"][1] + t["vy"], t["box"][2] + t["vx"], t["box"][3] + t["vy"]]
-            t["lost"] += 1
-            if coasted and t["lost"] <= p.max_lost:
-                out.append((cam, frame, None, t["key"], t["cls"], t["conf"], *t["box"], t["hits"], t["lost"],
-                            t["hits"] >= p.min_hits, t["vx"], t["vy"]))
+        def report(i, frame, det, at, lost):
+            m = meta[i]
+            out.append((cam, frame, det, m["key"], m["cls"], m["conf"], *at, m["hits"], lost, m["hits"] >= p.min_hits,
+                        float(vel[i, 0]), float(vel[i, 1])))
 
-        def report(t, frame, det):
-            out.append((cam, frame, det, t["key"], t["cls"], t["conf"], *t["box"], t["hits"], 0,
-                        t["hits"] >= p.min_hits, t["vx"], t["vy"]))
+        def report_lost(frame, skip=()):
+            for i in np.flatnonzero((seen < frame) & (frame - seen <= p.max_lost)).tolist():
+                if i not in skip:
+                    lost = int(frame - seen[i])
+                    report(i, frame, None, (box[i] + np.tile(vel[i], 2) * lost).tolist(), lost)
 
         frames = pdf["frame"].to_numpy()
-        box, conf = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["confidence"].to_numpy(float)
+        boxes, conf = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["confidence"].to_numpy(float)
         dets, classes = pdf["det_id"].tolist(), pdf["object_class"].tolist()
         edges = np.flatnonzero(np.diff(frames)) + 1
         for lo, hi in zip([0, *edges], [*edges, len(frames)]):
             frame = int(frames[lo])
-            if last is not None and tracks:
+            if coasted and last is not None:
                 for gap in range(last + 1, min(frame, last + p.max_lost + 2)):
-                    for t in tracks:
-                        coast(t, gap)
-                    tracks = [t for t in tracks if t["lost"] <= p.max_lost]
+                    report_lost(gap)
+            keep = frame - 1 - seen <= p.max_lost
+            if not keep.all():
+                meta = [m for m, k in zip(meta, keep.tolist()) if k]
+                box, vel, seen = box[keep], vel[keep], seen[keep]
+            lost = (frame - 1 - seen)[:, None]
+            drift = np.hstack([vel, vel])
+            ahead = box + drift * (lost + 1)
             here = np.arange(lo, hi)
-            high, low = here[conf[here] >= p.high_confidence], here[conf[here] < p.high_confidence]
-            got = [(a, int(high[b])) for a, b in pair_up(tracks, box[high], p.match_iou)]
-            seen = {a for a, _ in got}
-            rest = [i for i in range(len(tracks)) if i not in seen]
-            got += [(rest[a], int(low[b])) for a, b in pair_up([tracks[i] for i in rest], box[low], p.low_match_iou)]
-            seen = {a for a, _ in got}
+            strong = conf[here] >= p.high_confidence
+            high, low = here[strong], here[~strong]
+            got = [(a, int(high[b])) for a, b in pair_up(ahead, boxes[high], p.match_iou)]
+            if len(low):
+                matched = {a for a, _ in got}
+                rest = np.array([i for i in range(len(meta)) if i not in matched], dtype=int)
+                got += [(int(rest[a]), int(low[b])) for a, b in pair_up(ahead[rest], boxes[low], p.low_match_iou)]
             for a, d in got:
-                t, b = tracks[a], box[d].tolist()
-                was, now = ((t["box"][0] + t["box"][2]) / 2, t["box"][3]), ((b[0] + b[2]) / 2, b[3])
-                t["vx"], t["vy"] = 0.7 * t["vx"] + 0.3 * (now[0] - was[0]), 0.7 * t["vy"] + 0.3 * (now[1] - was[1])
-                t["box"], t["conf"], t["lost"] = b, float(conf[d]), 0
-                t["hits"] += 1
-                t["votes"][classes[d]] = t["votes"].get(classes[d], 0) + 1
-                t["cls"] = min(t["votes"], key=lambda c: (-t["votes"][c], c))
-                report(t, frame, dets[d])
-            for i, t in enumerate(tracks):
-                if i not in seen:
-                    coast(t, frame)
+                m, was, now = meta[a], box[a] + drift[a] * lost[a], boxes[d]
+                vel[a, 0] = 0.7 * vel[a, 0] + 0.3 * ((now[0] + now[2]) / 2 - (was[0] + was[2]) / 2)
+                vel[a, 1] = 0.7 * vel[a, 1] + 0.3 * (now[3] - was[3])
+                box[a], seen[a] = now, frame
+                m["conf"] = float(conf[d])
+                m["hits"] += 1
+                m["votes"][classes[d]] = m["votes"].get(classes[d], 0) + 1
+                m["cls"] = min(m["votes"], key=lambda c: (-m["votes"][c], c))
+                report(a, frame, dets[d], now.tolist(), 0)
+            if coasted:
+                report_lost(frame, {a for a, _ in got})
             taken = {d for _, d in got}
-            for d in high.tolist():
-                if d not in taken:
-                    t = {"key": str(dets[d]), "cls": classes[d], "conf": float(conf[d]), "box": box[d].tolist(),
-                         "hits": 1, "lost": 0, "vx": 0.0, "vy": 0.0, "votes": {classes[d]: 1}}
-                    tracks.append(t)
-                    report(t, frame, dets[d])
-            tracks = [t for t in tracks if t["lost"] <= p.max_lost]
+            fresh = [d for d in high.tolist() if d not in taken]
+            if fresh:
+                box, vel = np.vstack([box, boxes[fresh]]), np.vstack([vel, np.zeros((len(fresh), 2))])
+                seen = np.concatenate([seen, np.full(len(fresh), frame)])
+                for d in fresh:
+                    meta.append({"key": str(dets[d]), "cls": classes[d], "conf": float(conf[d]), "hits": 1, "votes": {classes[d]: 1}})
+                    report(len(meta) - 1, frame, dets[d], boxes[d].tolist(), 0)
             last = frame
+        live = last - seen <= p.max_lost
         done = pd.DataFrame(out, columns=[f.strip().split(" ")[0] for f in TRACK_SCHEMA.split(",")])
-        return done, json.dumps({"frame": last, "tracks": tracks}, sort_keys=True)
+        return done, json.dumps({
+            "frame": last, "meta": [m for m, k in zip(meta, live.tolist()) if k], "box": box[live].tolist(),
+            "vel": vel[live].tolist(), "seen": seen[live].tolist()}, sort_keys=True)
 
     return fold(rows, ["camera_id"], ["frame", "det_id"], step, TRACK_SCHEMA)
