@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, shuffle_shards, token_files
+from . import decontaminate, exact_dedup, licenses, packing, shuffle_shards, token_files
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen shards of equal counts by a two-pass external shuffle."""
     return shuffle_shards.shard_rows(read(spark, sf_dir, "documents"), n_shards=16)
+
+
+@query()
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten-word windows of benchmark items in suffix arrays of the documents."""
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), n=10)
+
+
+@query()
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases, and notices by a set-similarity join with their templates."""
+    return licenses.scan(read(spark, sf_dir, "documents"))
