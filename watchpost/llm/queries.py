@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, licenses, packing, shuffle_shards, token_files
+from . import decontaminate, exact_dedup, language, licenses, packing, quality, shuffle_shards, token_files
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,17 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases, and notices by a set-similarity join with their templates."""
     return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by error-correcting output codes."""
+    docs = read(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
+@query()
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a factorisation machine."""
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))

@@ -39,7 +39,7 @@ class Encoder:
             self.old, self.young = young, {}
             young, old = self.young, self.old
         new = []
-        for p in pieces:
+        for p in pieces - young.keys():
             if (got := old.get(p)) is not None:
                 young[p] = got
             else:
@@ -79,7 +79,7 @@ class Encoder:
         need: set[str] = set()
         for _, pieces in group:
             need.update(pieces)
-        self._learn(need - self.young.keys())
+        self._learn(need)
         get = self.young.__getitem__
         for at, pieces in group:
             out[at] = np.frombuffer(b"".join(map(get, pieces)), self.dtype)
