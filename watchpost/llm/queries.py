@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language, licenses, packing, quality, shuffle_shards, token_files
+from . import decontaminate, exact_dedup, language, licenses, packing, quality, shuffle_shards, simhash, token_files
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by a factorisation machine."""
     docs = read(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
+@query()
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of fingerprints within 4 bits, by anchors of covering codes."""
+    return simhash.simhash_components(read(spark, sf_dir, "documents"), threshold=4, size=4, seed=42)
