@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language, licenses, packing, quality, shuffle_shards, simhash, token_files
+from . import decontaminate, exact_dedup, language, licenses, packing, quality, shuffle_shards, simhash, suffix_dedup, token_files
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of fingerprints within 4 bits, by anchors of covering codes."""
     return simhash.simhash_components(read(spark, sf_dir, "documents"), threshold=4, size=4, seed=42)
+
+
+@query()
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that repeat a smaller document removed, by a merge sort of suffixes."""
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
