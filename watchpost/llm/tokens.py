@@ -10,8 +10,8 @@ _LETTER, _DIGIT, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", r"\t-
 #: The pieces byte-level BPE cuts a text into before it merges, for texts of Latin characters.
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+"
                     f"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-#: Texts with other characters, or with a special token, are encoded whole.
-_WHOLE = re.compile("[^\x00-ɏ]|<\\|")
+#: Texts with other characters, or maybe with a special token, are encoded whole.
+_FAR = re.compile("[^\x00-ɏ]")
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -24,7 +24,7 @@ class Encoder:
     """ids of texts.  Merges never cross pieces, so each different piece is encoded once
     while it stays in one of the two generations of the cache (``room`` pieces each)."""
 
-    def __init__(self, path: str, room: int = 250_000):
+    def __init__(self, path: str, room: int = 400_000):
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
@@ -38,21 +38,20 @@ class Encoder:
         if len(young) > self.room:
             self.old, self.young = young, {}
             young, old = self.young, self.old
-        new = []
+        plain, rest = [], []
         for p in pieces - young.keys():
             if (got := old.get(p)) is not None:
                 young[p] = got
+            elif p[0] == " " and p[1:].isalpha():
+                plain.append(p)
             else:
-                new.append(p)
-        plain = [p for p in new if p[0] == " " and p[1:].isalpha()]
+                rest.append(p)
         for at in range(0, len(plain), 20_000):
             part = plain[at:at + 20_000]
             code = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ids, word = np.array(code.ids, self.dtype), np.array(code.word_ids, np.int64)
-            cuts = np.searchsorted(word, np.arange(len(part) + 1))
-            for p, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()):
-                young[p] = ids[a:b].tobytes()
-        rest = [p for p in new if not (p[0] == " " and p[1:].isalpha())]
+            ids, word = np.array(code.ids, self.dtype).tobytes(), np.array(code.word_ids, np.int64)
+            cuts = (np.searchsorted(word, np.arange(len(part) + 1)) * self.dtype.itemsize).tolist()
+            young.update(zip(part, [ids[a:b] for a, b in zip(cuts, cuts[1:])]))
         for p, code in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             young[p] = np.array(code.ids, self.dtype).tobytes()
 
@@ -64,12 +63,12 @@ class Encoder:
         for at, text in enumerate(texts):
             if not text:
                 out[at] = np.zeros(0, self.dtype)
-            elif _WHOLE.search(text):
+            elif "<|" in text or (not text.isascii() and _FAR.search(text)):
                 out[at] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
             else:
                 group.append((at, _PIECE.findall(text)))
                 size += len(text)
-                if size > 1 << 20:
+                if size > 1 << 18:
                     self._resolve(group, out)
                     group, size = [], 0
         self._resolve(group, out)
@@ -80,7 +79,7 @@ class Encoder:
         for _, pieces in group:
             need.update(pieces)
         self._learn(need)
-        get = self.young.__getitem__
+        get = {p: self.young[p] for p in need}.__getitem__  # small enough to stay in the processor's cache
         for at, pieces in group:
             out[at] = np.frombuffer(b"".join(map(get, pieces)), self.dtype)
 
