@@ -3,22 +3,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchpost.llm import exact_dedup, packing
+from watchpost.llm import decontaminate, exact_dedup, packing, quality, simhash
 from watchpost.llm.common import read, written
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine scores 0.7 or more; it learns from the labelled ones among them."""
+    return quality.keep_good(docs, quality.train(docs, read(spark, sf_dir, "labels")), threshold=0.7)
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each different text stays, that of the largest doc_id."""
     return exact_dedup.drop_exact_copies(docs, keep="largest")
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that SimHash over 5-word shingles finds 0.8 similar or more."""
+    return simhash.drop_near_copies(docs, simhash.SIMILAR)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no ten-word window of a benchmark item stands."""
+    return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"), n=10)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the kept documents and their places in sequences."""
+    """Pieces of the kept documents and their places in sequences of 1024 tokens."""
     return packing.pack(docs, room=1024)
 
 
-STAGES = [("exact dedup", exact_copies), ("packing", packed)]
-#: Trained scores and token ids are beyond SQL; tests compare with a brute-force version.
+STAGES = [("quality classifier", good_quality), ("exact dedup", exact_copies), ("SimHash near-dedup", near_copies),
+          ("benchmark decontamination", benchmark_free), ("best-fit packing", packed)]
+#: Trained scores, fingerprints and token ids are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

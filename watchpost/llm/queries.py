@@ -75,7 +75,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of fingerprints within 4 bits, by anchors of covering codes."""
-    return simhash.simhash_components(read(spark, sf_dir, "documents"), threshold=4, size=4, seed=42)
+    return simhash.simhash_components(read(spark, sf_dir, "documents"))
 
 
 @query()

@@ -1,21 +1,31 @@
 """SimHash near-deduplication by covering with anchor points.
 
-The 64 bits of a fingerprint hold three fields with a perfect or good covering code each:
-two of 23 bits (Golay code, every word within 3 of a codeword) and one of 17 bits
-(quadratic-residue code, also within 3).  Codewords are the anchors.  Two fingerprints at
-``threshold`` or fewer bits differ in at most threshold // 3 bits in some one field, or in
-2 * threshold // 3 in some two fields (``fields=2``: more anchors for larger corpora, same
-result).  For such a choice of fields a fingerprint is at home at its nearest anchor and is
-copied to every anchor within covering radius plus those bits; so a pair meets at the home
-of either.  Per anchor, homes are compared with copies.
-
-Equal fingerprints are one row.  A crowded anchor is dealt in tiles of at most
+A field is a run of bits with a covering code: 23 bits with the Golay code (every word
+within 3 of exactly one codeword) or 17 bits with the quadratic-residue code (within 3).
+Codewords are the anchors.  A fingerprint is at home at its nearest anchor of a field, and
+is copied to the anchors within covering radius plus ``spare`` bits that precede its home.
+Two fingerprints that differ in at most ``spare`` bits of the field then meet at the
+lesser of their homes: both lie within that distance of it.  Per anchor, homes are compared
+with homes and copies.
+
+``EXACT``: 64 bits in three fields (23, 23 and 17 bits) for links at 4 or fewer bits.  Such
+a pair differs in at most 4 // 3 = 1 bit in some field, so one spare bit loses nothing.  With
+``together=2`` an anchor is a pair of codewords of two fields (2 spare bits between them):
+more anchors with fewer rows each, for corpora where an anchor of one field grows too large.
+
+``SIMILAR``: for a similarity of 0.8 or more of 5-word shingles, where 64 bits differ in
+about ten.  Twenty fields of further hash bits find the pairs (at a Jaccard similarity of 0.8
+a pair shares some field up to one bit with probability 0.92, at 0.9 above 0.99), and 128
+bits of their own decide: at most 24 may differ.
+
+Equal fingerprints are one row.  A crowded anchor is dealt in tiles of at most about
 ``tile_rows`` homes and copies, and a tile returns a spanning forest of its links, never all
 its pairs, so a large group of near copies costs rows in proportion to its size.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
 
@@ -29,27 +39,63 @@ from pyspark.sql import types as T
 from .common import pick, texts, written
 from .components import components
 
-#: Length of each field, its code's generator polynomial and covering radius.
-FIELDS = ((23, 0b101011100011, 3), (23, 0b101011100011, 3), (17, 0b100111001, 3))
+#: Length of a field, its code's generator polynomial and covering radius.
+GOLAY = (23, 0b101011100011, 3)
+RESIDUE = (17, 0b100111001, 3)
 
 
-def fingerprint(text: bytes | None, size: int = 4, seed: int = 42) -> int:
-    """Bits set in over half of the XXH64 hashes of the text's ``size``-word shingles."""
-    own = (text or b"").lower().split()
+@dataclass(frozen=True)
+class Scheme:
+    """Words of 64 bits in a fingerprint, fields as (word, first bit, code), and what links."""
+
+    words: int
+    fields: tuple
+    check: tuple[int, ...]  # words whose bits decide
+    threshold: int
+    spare: int
+    size: int  # words in a shingle
+    together: int = 1
+    seed: int = 42
+
+
+EXACT = Scheme(1, ((0, 0, GOLAY), (0, 23, GOLAY), (0, 46, RESIDUE)), (0,), 4, 1, 4)
+EXACT_TWO = Scheme(1, EXACT.fields, (0,), 4, 2, 4, together=2)
+SIMILAR = Scheme(12, tuple((w, b, GOLAY) for w in range(2, 12) for b in (0, 23)), (0, 1), 24, 1, 5)
+
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+
+
+def fingerprint(text: bytes | None, scheme: Scheme = EXACT) -> np.ndarray:
+    """Bits set in over half of the hashes of the text's shingles.
+
+    A hash is XXH64; schemes of more than a word mix it anew for each word.
+    """
+    own, size, one = (text or b"").lower().split(), scheme.size, xxhash.xxh64_intdigest
     if not own:
-        return 0
-    if len(own) <= size:
-        return xxhash.xxh64_intdigest(b" ".join(own), seed)
+        return np.zeros(scheme.words, np.uint64)
     joined = b" ".join(own)
-    end = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
-    start = np.concatenate([[0], end[:-size] + 1]).tolist()
-    one = xxhash.xxh64_intdigest
-    h = np.array([one(joined[a:b], seed) for a, b in zip(start, end[size - 1:].tolist())], "<u8")
-    bits = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 14):
-        part = h[at:at + (1 << 14)]
-        bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(h), bitorder="little").view("<u8")[0])
+    if len(own) <= size:
+        h = np.array([one(joined, scheme.seed)], np.uint64)
+    else:
+        end = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
+        start = [0, *(end[:-size] + 1).tolist()]
+        h = np.array([one(joined[a:b], scheme.seed) for a, b in zip(start, end[size - 1:].tolist())], np.uint64)
+    lane = np.arange(8 * scheme.words) * 256
+    seen = np.zeros(2048 * scheme.words, np.int64)
+    for at in range(0, len(h), 1 << 12):
+        part = h[at:at + (1 << 12)]
+        if scheme.words > 1:
+            part = _mixed(part, scheme.words)
+        seen += np.bincount((part.astype("<u8").view(np.uint8).reshape(-1, len(lane)) + lane).ravel(), minlength=len(seen))
+    bits = seen.reshape(-1, 256) @ _BITS
+    return np.packbits((2 * bits > len(h)).ravel(), bitorder="little").view("<u8")
+
+
+def _mixed(h: np.ndarray, words: int) -> np.ndarray:
+    x = h[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 @lru_cache(maxsize=None)
@@ -81,116 +127,113 @@ def _syndromes(words: np.ndarray, column: np.ndarray) -> np.ndarray:
     return s
 
 
-def _near(words: np.ndarray, field: int, weight: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, codeword, distance) for all codewords of a field within ``weight`` of each word."""
-    length, generator, _ = FIELDS[field]
-    column, patterns, _ = coset_table(length, generator, weight)
-    s = _syndromes(words, column)
+def _near(values: np.ndarray, code: tuple, weight: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, codeword, distance) for all codewords within ``weight`` of each value, and each value's nearest."""
+    column, patterns, lightest = coset_table(code[0], code[1], weight)
+    s = _syndromes(values, column)
     counts = np.array([len(p) for p in patterns])
     flat, first = np.concatenate(patterns), np.cumsum(counts) - counts
-    row = np.repeat(np.arange(len(words)), counts[s])
+    row = np.repeat(np.arange(len(values)), counts[s])
     inside = np.arange(len(row)) - np.repeat(np.cumsum(counts[s]) - counts[s], counts[s])
     error = flat[np.repeat(first[s], counts[s]) + inside]
-    return row, words[row] ^ error, np.bitwise_count(error).astype(np.int64)
-
-
-def anchors(fp: np.ndarray, fields: int, threshold: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per choice of fields: (choice, row, anchor, at home) of all anchors of these fingerprints."""
-    start = np.cumsum([0, *[n for n, _, _ in FIELDS]])
-    part = [((fp >> np.uint64(start[k])) & np.uint64((1 << FIELDS[k][0]) - 1)).astype(np.int64) for k in range(3)]
-    out = []
-    for choice, chosen in enumerate(combinations(range(3), fields)):
-        spare = fields * threshold // 3
-        row, anchor, home = np.arange(len(fp)), np.zeros(len(fp), np.int64), np.ones(len(fp), bool)
-        over = np.zeros(len(fp), np.int64)
-        for k in chosen:
-            length, generator, radius = FIELDS[k]
-            r, word, distance = _near(part[k], k, radius + spare)
-            _, _, lightest = coset_table(length, generator, radius + spare)
-            nearest = part[k] ^ lightest[_syndromes(part[k], coset_table(length, generator, radius + spare)[0])]
-            counts = np.bincount(r, minlength=len(fp))
-            first = np.cumsum(counts) - counts
+    return row, values[row] ^ error, np.bitwise_count(error).astype(np.int64), values ^ lightest[s]
+
+
+def anchors(prints: np.ndarray, scheme: Scheme) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per choice of fields: (choice, row, anchor, at home) of fingerprints, a row each."""
+    for choice, chosen in enumerate(combinations(scheme.fields, scheme.together)):
+        n = len(prints)
+        row, anchor, over, home = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for word, bit, code in chosen:
+            value = ((prints[:, word] >> np.uint64(bit)) & np.uint64((1 << code[0]) - 1)).astype(np.int64)
+            r, codeword, distance, nearest = _near(value, code, code[2] + scheme.spare)
+            counts = np.bincount(r, minlength=n)
             took = counts[row]
-            at = np.repeat(first[row], took) + np.arange(took.sum()) - np.repeat(np.cumsum(took) - took, took)
-            anchor = np.repeat(anchor, took) << length | word[at]
-            home = np.repeat(home, took) & (word[at] == nearest[r[at]])
-            over = np.repeat(over, took) + np.maximum(0, distance[at] - radius)
+            at = np.repeat((np.cumsum(counts) - counts)[row], took) + np.arange(took.sum()) - np.repeat(np.cumsum(took) - took, took)
+            anchor = np.repeat(anchor, took) << code[0] | codeword[at]
+            over = np.repeat(over, took) + np.maximum(0, distance[at] - code[2])
             row = np.repeat(row, took)
-            fits = over <= spare
-            row, anchor, home, over = row[fits], anchor[fits], home[fits], over[fits]
-        out.append((np.full(len(row), choice, np.int64), row, anchor, home))
-    return out
+            home = home << code[0] | nearest
+            fits = over <= scheme.spare
+            row, anchor, over = row[fits], anchor[fits], over[fits]
+        fits = anchor <= home[row]
+        yield choice, row[fits], anchor[fits], anchor[fits] == home[row[fits]]
 
 
-def _forest(home: np.ndarray, copy: np.ndarray, threshold: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links between homes and copies (positions in home + copy)."""
-    label = np.arange(len(home) + len(copy))
+def _forest(bits: np.ndarray, n_homes: int, threshold: int, by: int = 256) -> tuple[list[int], list[int]]:
+    """A spanning forest of the links of the first ``n_homes`` rows with all rows."""
+    label = np.arange(len(bits))
     a, b = [], []
-    for at in range(0, len(home), 256):
-        block = home[at:at + 256]
-        linked = np.bitwise_count(block[:, None] ^ copy[None]) <= threshold
+    for at in range(0, n_homes, by):
+        block = bits[at:min(at + by, n_homes)]
+        apart = sum(np.bitwise_count(block[:, k, None] ^ bits[None, :, k]).astype(np.int16) for k in range(bits.shape[1]))
+        linked = apart <= threshold
+        linked[np.arange(len(block)), at + np.arange(len(block))] = False
         for i in np.flatnonzero(linked.any(1)).tolist():
-            near = np.flatnonzero(linked[i]) + len(home)
-            roots, first = np.unique(label[near], return_index=True)
+            near = np.flatnonzero(linked[i])
             own = label[at + i]
+            roots, first = np.unique(label[near], return_index=True)
             other = roots != own
             if other.any():
-                for k in first[other].tolist():
-                    a.append(at + i)
-                    b.append(int(near[k]))
-                merge = np.append(roots, own)
-                label[np.isin(label, merge)] = merge.min()
+                a.extend([at + i] * int(other.sum()))
+                b.extend(near[first[other]].tolist())
+                label[np.isin(label, roots)] = own
     return a, b
 
 
-def near_links(prints: DataFrame, threshold: int = 4, fields: int = 1, tile_rows: int = 2048) -> DataFrame:
-    """Links a < b of the different fingerprints in column ``fp``, enough to connect what is within ``threshold``."""
+def near_links(prints: DataFrame, scheme: Scheme = EXACT, tile_rows: int = 2048) -> DataFrame:
+    """Links a < b between the nodes of ``prints`` (node, fp: distinct fingerprints), enough to connect all that is near."""
+    check = [f"c{k}" for k in range(len(scheme.check))]
+    bits = ", ".join(f"{c} long" for c in check)
+
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                fp = batch.column("fp").slice(at, 2000).to_numpy()
-                for choice, row, anchor, home in anchors(fp.view(np.uint64), fields, threshold):
-                    for a in range(0, len(row), 50_000):
-                        cut = slice(a, a + 50_000)
-                        yield pa.RecordBatch.from_pydict({"choice": pa.array(choice[cut]), "anchor": pa.array(anchor[cut]), "fp": pa.array(fp[row[cut]]),
-                                                          "home": pa.array(home[cut])})
-    covered = prints.select("fp").mapInArrow(cover, "choice long, anchor long, fp long, home boolean")
-    n_homes, n_copies = F.count_if("home"), F.count(F.lit(1))
-    crowd = covered.groupBy("choice", "anchor").agg(n_homes.alias("homes"), n_copies.alias("copies"))
-    crowd = crowd.where("homes > 0 AND copies > 1")
+                part = batch.slice(at, 2000)
+                node = part.column("node").to_numpy()
+                fp = np.frombuffer(b"".join(part.column("fp").to_pylist()), "<u8").reshape(-1, scheme.words)
+                for choice, row, anchor, home in anchors(fp, scheme):
+                    yield pa.RecordBatch.from_pydict({"choice": pa.array(np.full(len(row), choice, np.int64)), "anchor": pa.array(anchor), "node": pa.array(node[row]),
+                                                      **{c: pa.array(fp[row, w].view(np.int64)) for c, w in zip(check, scheme.check)}, "home": pa.array(home)})
+    covered = prints.select("node", "fp").mapInArrow(cover, f"choice long, anchor long, node long, {bits}, home boolean")
+    sizes = covered.groupBy("choice", "anchor").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("all_n"))
     side = lambda c: F.ceil(F.col(c) / tile_rows).cast("int")
-    dealt = covered.join(crowd.select("choice", "anchor", side("homes").alias("i_n"), side("copies").alias("j_n")), ["choice", "anchor"])
-    i, j = F.pmod(F.xxhash64("fp"), F.col("i_n")).cast("int"), F.pmod(F.xxhash64("fp", F.lit(1)), F.col("j_n")).cast("int")
-    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    homes = dealt.where("home").select("choice", "anchor", "fp", F.lit(True).alias("home"), i.alias("i"), F.explode(all_of("j_n")).alias("j"))
-    copies = dealt.select("choice", "anchor", "fp", F.lit(False).alias("home"), F.explode(all_of("i_n")).alias("i"), j.alias("j"))
-    tiles = homes.unionByName(copies).repartition("choice", "anchor", "i", "j").sortWithinPartitions("choice", "anchor", "i", "j", "home")
+    crowd = sizes.where(F.col("all_n") > tile_rows).select("choice", "anchor", side("homes").alias("i_n"), side("all_n").alias("j_n"))
+    if scheme.together == 1:  # at most 4096 anchors a field: at most 2 MB in all
+        crowd = F.broadcast(crowd)
+    dealt = covered.join(crowd, ["choice", "anchor"], "left").withColumns({"i_n": F.greatest(F.coalesce("i_n", F.lit(1)), F.lit(1)), "j_n": F.coalesce("j_n", F.lit(1))})
+    i, j = F.pmod(F.xxhash64("node"), F.col("i_n")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("j_n")).cast("int")
+    # tile (i, j) compares homes of part i with all rows of part j; a home serves as both
+    places = F.when(F.col("home"), F.array_distinct(F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("j_n") - 1), lambda k: F.struct(i.alias("i"), k.alias("j"), F.lit(True).alias("as_home"))),
+        F.transform(F.sequence(F.lit(0), F.col("i_n") - 1), lambda k: F.struct(k.alias("i"), j.alias("j"), (k == i).alias("as_home")))))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("i_n") - 1), lambda k: F.struct(k.alias("i"), j.alias("j"), F.lit(False).alias("as_home"))))
+    tiles = dealt.withColumn("tile", F.explode(places)).select("choice", "anchor", "node", *check, "tile.i", "tile.j", F.col("tile.as_home").alias("home"))
+    keys = ["choice", "anchor", "i", "j"]
+    tiles = tiles.repartition(*keys).sortWithinPartitions(*keys, F.col("home").desc())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[np.ndarray] = []  # rows of the last, maybe unfinished tile
 
         def work(rows: list[np.ndarray]) -> pa.RecordBatch:
-            key, fp, home = rows[:4], rows[4].view(np.uint64), rows[5].astype(bool)
-            change = np.zeros(len(fp), bool)
+            node, home, fp = rows[4], rows[5].astype(bool), np.stack(rows[6:], 1).view(np.uint64)
+            change = np.zeros(len(node), bool)
             change[0] = True
-            for k in key:
+            for k in rows[:4]:
                 change[1:] |= k[1:] != k[:-1]
-            cuts = np.append(np.flatnonzero(change), len(fp))
-            a, b = [], []
+            cuts = np.append(np.flatnonzero(change), len(node))
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                own = home[s:e]
-                m = e - s - int(own.sum())
-                if m and m < e - s:
-                    one, two = _forest(fp[s + m:e], fp[s:s + m], threshold)  # copies sort before homes
-                    pool = np.concatenate([fp[s + m:e], fp[s:s + m]]).view(np.int64)
-                    a.append(pool[one])
-                    b.append(pool[two])
-            none = np.zeros(0, np.int64)
-            a, b = np.concatenate([none, *a]), np.concatenate([none, *b])
+                n_homes = int(home[s:e].sum())
+                if n_homes and e - s > 1:
+                    one, two = _forest(fp[s:e], n_homes, scheme.threshold)
+                    a.append(node[s:e][one])
+                    b.append(node[s:e][two])
+            a, b = np.concatenate(a), np.concatenate(b)
             real = a != b
             return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)[real]), "b": pa.array(np.maximum(a, b)[real])})
         for batch in batches:
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("choice", "anchor", "i", "j", "fp", "home")]
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*keys, "node", "home", *check)]
             rows = [np.concatenate([x, y]) for x, y in zip(left, rows)] if left else rows
             if not len(rows[0]):
                 continue
@@ -206,62 +249,66 @@ def near_links(prints: DataFrame, threshold: int = 4, fields: int = 1, tile_rows
     return tiles.mapInArrow(compare, "a long, b long")
 
 
-def fingerprints(df: DataFrame, size: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (64 bits as a long) of whole texts; null and empty texts have fingerprint zero."""
+def _fingerprints(batch: pa.RecordBatch, scheme: Scheme, text_col: str = "text") -> tuple[pa.Array, pa.Array]:
+    """Fingerprints as bytes, and the nodes that stand for them."""
+    found = [fingerprint(t, scheme).tobytes() for t in texts(batch, text_col)]
+    whole = (lambda f: int.from_bytes(f, "little", signed=True)) if scheme.words == 1 else \
+        (lambda f: int.from_bytes(xxhash.xxh64_digest(f), "little", signed=True))
+    return pa.array(found, pa.binary()), pa.array([whole(f) for f in found], pa.int64())
+
+
+def fingerprints(df: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (bytes), node (a long for it: the fingerprint itself where it has 64 bits) of whole texts.
+
+    Null and empty texts have fingerprint zero.
+    """
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t, size, seed) for t in texts(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fp)], names=["doc_id", "fp"])
-    return pick(df, doc_id=id_col, text=text_col).mapInArrow(make, "doc_id long, fp long")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *_fingerprints(batch, scheme)], names=["doc_id", "fp", "node"])
+    return pick(df, doc_id=id_col, text=text_col).mapInArrow(make, "doc_id long, fp binary, node long")
 
 
-def near_groups(df: DataFrame, threshold: int = 4, size: int = 4, seed: int = 42, fields: int = 1,
-                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, fp, root (of its fingerprint's group), component_id (smallest doc_id of the group).
+def near_groups(df: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, node, root (of its group), component_id (smallest doc_id of the group).
 
     Null ids belong to groups but name none; a group without an id has component_id null.
     Rows of equal id are rows of their own; other columns are ignored.
     """
-    rows = written(fingerprints(df, size, seed, id_col, text_col), "prints")
-    each = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    links = written(near_links(each, threshold, fields), "near")
-    found = components(links)
-    member = each.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rows = written(fingerprints(df, scheme, id_col, text_col), "prints")
+    each = rows.groupBy("node", "fp").agg(F.min("doc_id").alias("low"))
+    found = components(written(near_links(each, scheme), "near"))
+    member = each.join(found, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     named = written(member, "members")
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.join(named.join(least, "root").select("fp", "root", "component_id"), "fp")
+    return rows.select("doc_id", "node").join(named.join(least, "root").select("node", "root", "component_id"), "node")
 
 
-def simhash_components(df: DataFrame, **options) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id."""
-    found = near_groups(df, **options)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+def simhash_components(df: DataFrame, **columns) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id: links at 4 or fewer of 64 bits."""
+    found = near_groups(df, EXACT, **columns)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_near_copies(df: DataFrame, scheme: Scheme = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group stays, that of the smallest id, with all its columns.
 
     Where a group has only null ids, or its smallest id on several rows, the row of the
     smallest text among those stays.
     """
-    found = near_groups(df, id_col=id_col, text_col=text_col, **options)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    names = {"doc_id": "__id", "root": "__root", "rows": "__rows"}
-    keep = stays.groupBy("doc_id", "root").agg(F.count(F.lit(1)).alias("rows")).withColumnsRenamed(names)
-    several = keep.groupBy("__id").agg(F.max("__rows").alias("__rows"), F.count(F.lit(1)).alias("__groups"))
-    simple = several.where("__rows = 1 AND __groups = 1 AND __id IS NOT NULL").select("__id")
+    found = near_groups(df, scheme, id_col=id_col, text_col=text_col)
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("__rows")).withColumnRenamed("doc_id", "__id")
+    simple = stays.where("__rows = 1 AND __id IS NOT NULL").select("__id")
+    odd = stays.where("__rows > 1 OR __id IS NULL").select("__id")
     once = df.join(simple, df[id_col] == simple["__id"], "left_semi")
-    odd = several.where("__rows > 1 OR __groups > 1 OR __id IS NULL").select("__id")
     rest = df.join(odd, df[id_col].eqNullSafe(odd["__id"]), "left_semi")
-    prints = stays.join(odd, stays["doc_id"].eqNullSafe(odd["__id"]), "left_semi").select(F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t, options.get("size", 4), options.get("seed", 42)) for t in texts(batch, text_col)], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, "__fp"])
-    marked = rest.mapInArrow(mark, T.StructType([*df.schema.fields, T.StructField("__fp", T.LongType())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, _fingerprints(batch, scheme, text_col)[1]], names=[*batch.schema.names, "__node"])
+    roots = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("node").alias("__node"), F.col("root").alias("__root")).distinct()
+    marked = rest.mapInArrow(mark, T.StructType([*df.schema.fields, T.StructField("__node", T.LongType())]))
     order = F.row_number().over(Window.partitionBy("__root").orderBy(F.col(f"`{text_col}`")))
-    least = marked.join(prints, "__fp").withColumn("__at", order).where("__at = 1")
+    least = marked.join(roots, "__node").withColumn("__at", order).where("__at = 1")
     columns = [F.col(f"`{c}`") for c in df.columns]
     return once.select(*columns).unionByName(least.select(*columns))
-
