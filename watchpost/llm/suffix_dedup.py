@@ -52,9 +52,7 @@ def _slide(x: np.ndarray, n: int, best) -> np.ndarray:
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash, never zero, of the GRAM bytes from every place on."""
-    power = {1: np.uint64(_BASE)}
-    for w in (2, 4, 8):
-        power[w] = power[w // 2] * power[w // 2]
+    power = {w: np.uint64(pow(_BASE, w, 1 << 64)) for w in (1, 2, 4, 8)}
     h = data.astype(np.uint64) + np.uint64(1)
     of = {1: h}
     for w in (1, 2, 4, 8):
