@@ -27,8 +27,8 @@ def identity_split(crops: DataFrame, stride: int = 1, min_w: float = 32, min_h:
     return ok.join(_hold_out(ids, val_fraction, None), "identity")
 
 
-def cross_camera_split(crops: DataFrame, min_cameras: int = 2, min_crops: int = 4, val_cap: int = 50) -> DataFrame:
-    """Identities seen on several cameras; at most 10 % and ``val_cap`` held out."""
+def cross_camera_split(crops: DataFrame, min_cameras: int = 2, min_crops: int = 4, val_cap: int | None = None) -> DataFrame:
+    """Identities seen on several cameras; 10 % (with ``val_cap``: at most so many) held out."""
     ids = crops.where("identity NOT IN (0, -1)").groupBy("identity").agg(
         F.count("*").alias("n"), F.count_distinct("camera").alias("cams")).where(
         (F.col("n") >= min_crops) & (F.col("cams") >= min_cameras))

@@ -1,13 +1,14 @@
 """Camera self-calibration from observed people, and capability certificates."""
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import dori_density, dori_of_density
-from ..session import cut
 from ..values import CAPABILITY_RULES, DEFAULTS, ROLE_CAPABILITIES, Params
-from .ordered import quantiles, running, with_chunks
+from .ordered import quantiles
 
 
 # --- measurements -------------------------------------------------------------------
@@ -63,38 +64,68 @@ def readiness(frames: DataFrame, lever: DataFrame, params: Params = DEFAULTS) ->
 
 
 def line_fit(samples: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Median of pairwise slopes, then median intercept, per camera.
+    """Median of the slopes of all pairs of samples, then median intercept, per camera.
 
-    A camera with more than ``max_pairs`` pairs uses that many pseudo-random
-    ones, as the estimator is defined.  Pairs are drawn by index, never by
-    joining a camera with itself.
+    Samples are first counted by (foot row, height) with partial sums, so repeats on the pixel
+    grid cost nothing.  No pair is listed: for a trial slope the pairs that are no steeper
+    are counted by sorting, and bisection closes in on the middle one to the last bits.  A
+    task holds the different points of one camera.
     """
-    s = samples.groupBy("camera_id", "foot_v", "px_height").agg(F.count("*").alias("_dup"))
-    s = s.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_dup").cast("int"))))
-    s = s.withColumn("_pos", F.floor(F.col("foot_v") * 1024).cast("long"))
-    s = running(with_chunks(s, ["camera_id"], "_pos", 1 << 20), ["camera_id"], ["foot_v", "px_height", "_copy"],
-                {"_i": ("count", F.lit(True))})
-    s = cut(s.select("camera_id", (F.col("_i") - 1).alias("_i"), "foot_v", "px_height"))
-    sizes = s.groupBy("camera_id").agg(F.count("*").alias("n")).where("n >= 2")
-    pairs = F.col("n") * (F.col("n") - 1) / 2
-    k = sizes.withColumn("_m", F.least(pairs, F.lit(params.max_pairs)).cast("long")).withColumn("_all", pairs <= params.max_pairs)
-    k = k.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
-    n2 = 2 * F.col("n") - 1
-    row = F.floor((n2 - F.sqrt((n2 * n2 - 8 * F.col("_k")).cast("double"))) / 2).cast("long")
-    col = (F.col("_k") - (row * (2 * F.col("n") - row - 1) / 2).cast("long") + row + 1).cast("long")
-    drawn_i = F.pmod(F.pmod(F.col("_k") * 2654435761, F.lit(4294967296)), F.col("n"))
-    drawn_j = F.pmod(F.pmod((F.col("_k") + 1) * 1597334677, F.lit(4294967296)), F.col("n"))
-    k = k.select("camera_id", F.when(F.col("_all"), row).otherwise(drawn_i).alias("_a"),
-                 F.when(F.col("_all"), col).otherwise(drawn_j).alias("_b"))
-    a = s.select("camera_id", F.col("_i").alias("_a"), F.col("foot_v").alias("_va"), F.col("px_height").alias("_pa"))
-    b = s.select("camera_id", F.col("_i").alias("_b"), F.col("foot_v").alias("_vb"), F.col("px_height").alias("_pb"))
-    dx = F.col("_vb") - F.col("_va")
-    slopes = k.join(a, ["camera_id", "_a"]).join(b, ["camera_id", "_b"]).where(F.abs(dx) > 1e-6).select(
-        "camera_id", ((F.col("_pb") - F.col("_pa")) / F.nullif(dx, F.lit(0.0))).alias("_slope"))
-    # a camera has at most max_pairs slopes, and the fit is one small row per camera
-    slope = cut(quantiles(slopes, ["camera_id"], {"slope": ("_slope", 0.5)}, largest=params.max_pairs))
-    rest = s.join(slope, "camera_id").withColumn("_rest", F.col("px_height") - F.col("slope") * F.col("foot_v"))
-    return slope.join(quantiles(rest, ["camera_id"], {"intercept": ("_rest", 0.5)}), "camera_id")
+    points = samples.groupBy("camera_id", "foot_v", "px_height").agg(F.count("*").alias("n"))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values(["foot_v", "px_height"], kind="stable")
+        x, y, n = p["foot_v"].to_numpy(float), p["px_height"].to_numpy(float), p["n"].to_numpy(np.int64)
+        slope = median_slope(x, y, n)
+        out = pd.DataFrame({"camera_id": p["camera_id"].iloc[:1]})
+        return out.assign(slope=slope, intercept=weighted_median(y - slope * x, n)) if slope is not None else out.iloc[:0].assign(slope=0.0, intercept=0.0)
+    kind = samples.schema["camera_id"].dataType.simpleString()
+    return points.groupBy("camera_id").applyInPandas(fit, f"camera_id {kind}, slope double, intercept double")
+
+
+def weighted_median(values: np.ndarray, n: np.ndarray) -> float:
+    """Middle value (mean of the two middle ones) of values that occur ``n`` times."""
+    order = np.argsort(values, kind="stable")
+    upto = np.cumsum(n[order])
+    low, high = (int(upto[-1]) - 1) // 2, int(upto[-1]) // 2
+    return float(values[order][np.searchsorted(upto, low, "right")] + values[order][np.searchsorted(upto, high, "right")]) / 2
+
+
+def no_steeper(x: np.ndarray, y: np.ndarray, n: np.ndarray, slope: float) -> int:
+    """How many pairs of samples with different ``x`` (points in order of x, then y) have at most this slope."""
+    rest, total, width = y - slope * x, 0, 1
+    _, rank = np.unique(rest, return_inverse=True)
+    place = np.arange(len(x))
+    while width < len(x):
+        block, right = place // (2 * width), (place // width) % 2 == 1
+        order = np.lexsort((~right, rank, block))  # of equal rests the right one counts for the left one
+        seen = np.cumsum(np.where(right[order], n[order], 0))
+        start = np.concatenate([[0], seen])[np.searchsorted(block[order], block[order], "left")]
+        left = ~right[order]
+        total += int((n[order][left] * (seen - start)[left]).sum())
+        width *= 2
+    return total
+
+
+def median_slope(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float | None:
+    """Median of the slopes of all pairs with different ``x``; None where there is no such pair."""
+    _, first = np.unique(x, return_index=True)
+    per_x = np.add.reduceat(n, first).astype(object)
+    pairs = int((int(n.sum()) ** 2 - int((per_x ** 2).sum())) // 2)
+    if not pairs:
+        return None
+
+    def nth(k: int) -> float:
+        low, high = -1.0, 1.0
+        while no_steeper(x, y, n, low) >= k:
+            low *= 4
+        while no_steeper(x, y, n, high) < k:
+            high *= 4
+        while high - low > 1e-13 * max(1.0, abs(low), abs(high)):
+            middle = (low + high) / 2
+            low, high = (low, middle) if no_steeper(x, y, n, middle) >= k else (middle, high)
+        return high
+    return nth((pairs + 1) // 2) if pairs % 2 else (nth(pairs // 2) + nth(pairs // 2 + 1)) / 2
 
 
 def ground_plane(samples: DataFrame, params: Params = DEFAULTS) -> DataFrame:

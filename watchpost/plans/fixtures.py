@@ -144,8 +144,8 @@ def boxes_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boxes_gt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """True boxes: shifted by the line number, lines flagged N or R; R is ignored area."""
-    b = _box_base(spark, sf_dir).where(F.col("l_returnflag") != "A")
+    """True boxes of all lines, shifted by the line number so that some are missed; R is ignored area."""
+    b = _box_base(spark, sf_dir)
     d = F.col("l_linenumber") * 4.0
     return b.select("frame", F.concat(F.lit("g"), "box_id").alias("gt_id"), "clip", "obj",
                     F.when(F.col("l_linenumber") == 3, "car").otherwise(F.col("object_class")).alias("gt_class"),
@@ -165,7 +165,7 @@ GT = """gt AS (SELECT frame, 'g' || box_id AS gt_id, clip, obj,
  CASE WHEN l_linenumber = 3 THEN 'car' ELSE object_class END AS gt_class,
  x1 + l_linenumber * 4e0 AS gx1, y1 + l_linenumber * 4e0 AS gy1,
  x2 + l_linenumber * 4e0 AS gx2, y2 + l_linenumber * 4e0 AS gy2,
- l_returnflag = 'R' AS ignored FROM boxes WHERE l_returnflag <> 'A')"""
+ l_returnflag = 'R' AS ignored FROM boxes)"""
 
 
 def sql_iou(a: tuple, b: tuple) -> str:
@@ -247,14 +247,14 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVENT_KINDS = ["line_crossing", "zone_intrusion", "loitering", "vehicle_movement",
-               "night_movement", "suspicious_activity", "camera_tamper"]
+               "night_movement", "suspicious_activity", "camera_tamper", "wrong_direction"]
 LOG = """log AS (SELECT *, CASE WHEN score >= 0.85 THEN 4 WHEN score >= 0.65 THEN 3
    WHEN score >= 0.45 THEN 2 WHEN score >= 0.25 THEN 1 ELSE 0 END AS rank,
    (event_id % 4 = 0) AND score >= 0.25 AS alerted,
    CASE WHEN score >= 0.45 THEN event_id % 997 * 1000 ELSE 0 END AS evidence_bytes
  FROM (SELECT *, camera_id AS node_id, (event_id * 37 % 1000) / 1000 AS score,
    CASE event_id % 3 WHEN 0 THEN camera_id || '-Z1' WHEN 1 THEN camera_id || '-Z2' END AS zone_id,
-   (""" + str(EVENT_KINDS) + """)[event_id % 7 + 1] AS event_kind,
+   (""" + str(EVENT_KINDS) + """)[event_id % 8 + 1] AS event_kind,
    CASE WHEN event_id % 11 < 3 THEN 'pending' WHEN event_id % 11 = 3 THEN 'failed'
         WHEN event_id % 11 = 4 THEN 'evidence_evicted' ELSE 'synced' END AS sync_state,
    event_id % 6 = 0 AS acknowledged, event_id % 13 <> 0 AS sealed FROM obs))"""

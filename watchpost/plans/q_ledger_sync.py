@@ -208,15 +208,21 @@ def sync_queue_bytes(spark, sf):
     return SY.queue_bytes(_log(spark, sf))
 
 
-@query("sync_link_mode", LOGQ + """, s AS (SELECT node_id, count(*) FILTER (sync_state = 'pending' AND (node_id <> 'purchase' OR event_id < 60)) AS pending,
- CAST(sum(CASE WHEN sync_state <> 'synced' AND (node_id <> 'purchase' OR event_id < 60) THEN evidence_bytes ELSE 0 END) AS BIGINT) AS bytes FROM log
- WHERE node_id <> 'purchase' OR event_id < 60 GROUP BY node_id)
-SELECT node_id, pending, bytes, CASE WHEN node_id = 'view' THEN 'offline' WHEN pending > 25 THEN 'syncing'
- WHEN least(1, bytes / 50000000) > 0.75 THEN 'event_only' ELSE 'online' END AS link_mode FROM s""")
+LINK_SETTINGS = {"as shipped": (25, 50_000_000), "large batches": (1_000_000_000, 50_000_000), "large queue": (1_000_000_000, 1_000_000_000_000_000)}
+
+
+@query("sync_link_mode", LOGQ + "," + X.values_sql("settings", "setting, batch, cap", [(k, *v) for k, v in LINK_SETTINGS.items()]) + """, s AS (
+ SELECT node_id, count(*) FILTER (sync_state = 'pending') AS pending, CAST(sum(CASE WHEN sync_state <> 'synced' THEN evidence_bytes ELSE 0 END) AS BIGINT) AS bytes
+ FROM log GROUP BY node_id)
+SELECT setting, node_id, pending, bytes, CASE WHEN node_id = 'view' THEN 'offline' WHEN pending > batch THEN 'syncing'
+ WHEN least(1, bytes / cap) > 0.75 THEN 'event_only' ELSE 'online' END AS link_mode FROM s, settings""")
 def sync_link_mode(spark, sf):
-    log = _log(spark, sf).where("node_id <> 'purchase' OR event_id < 60")
+    """Posture of every node over its whole backlog, under three settings of the link."""
+    log = _log(spark, sf)
     reach = spark.createDataFrame([(c, c != "view") for c in X.CAMERAS], "node_id string, reachable boolean")
-    return SY.link_mode(log, reach, Params(queue_cap_bytes=50_000_000)).select("node_id", "pending", "bytes", "link_mode")
+    each = [SY.link_mode(log, reach, Params(sync_batch=b, queue_cap_bytes=c)).select(F.lit(k).alias("setting"), "node_id", "pending", "bytes", "link_mode")
+            for k, (b, c) in LINK_SETTINGS.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 @query("sync_evictions", LOGQ + """, h AS (SELECT node_id, event_id, evidence_bytes, sum(evidence_bytes) OVER (PARTITION BY node_id) AS total,

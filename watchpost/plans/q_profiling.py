@@ -58,14 +58,8 @@ opt AS (SELECT camera_id, count(*) AS frames, max(claimed_fps) AS claimed_fps, a
  quantile_cont(sharpness, 0.5) AS sharpness, quantile_cont(eff_res, 0.5) AS eff, quantile_cont(blockiness, 0.5) AS block, quantile_cont(noise, 0.5) AS noise FROM fr GROUP BY camera_id)"""
 PLANE = """lev AS (SELECT camera_id, count(*) AS samples, quantile_cont(foot_v, 0.05) AS vlo, quantile_cont(foot_v, 0.95) AS vhi,
  quantile_cont(px_height, 0.05) AS plo, quantile_cont(px_height, 0.95) AS phi FROM gs GROUP BY camera_id),
-ix AS (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY foot_v, px_height) - 1 AS i FROM gs),
-ks AS (SELECT camera_id, samples AS n, unnest(range(CAST(least(samples * (samples - 1) / 2, 20000) AS BIGINT))) AS k FROM lev),
-pr AS (SELECT camera_id, CASE WHEN n * (n - 1) / 2 > 20000 THEN ((k * 2654435761) % 4294967296) % n END AS a,
- CASE WHEN n * (n - 1) / 2 > 20000 THEN (((k + 1) * 1597334677) % 4294967296) % n END AS b FROM ks),
-sl AS (SELECT p.camera_id, (y.px_height - x.px_height) / (y.foot_v - x.foot_v) AS slope FROM pr p
- JOIN ix x ON x.camera_id = p.camera_id AND x.i = p.a JOIN ix y ON y.camera_id = p.camera_id AND y.i = p.b WHERE p.a IS NOT NULL AND abs(y.foot_v - x.foot_v) > 1e-6
- UNION ALL SELECT x.camera_id, (y.px_height - x.px_height) / (y.foot_v - x.foot_v) FROM ix x JOIN ix y ON x.camera_id = y.camera_id AND x.i < y.i
- JOIN lev l ON l.camera_id = x.camera_id WHERE l.samples * (l.samples - 1) / 2 <= 20000 AND abs(y.foot_v - x.foot_v) > 1e-6),
+pt AS (SELECT camera_id, foot_v, px_height FROM gs),
+sl AS (SELECT x.camera_id, (y.px_height - x.px_height) / (y.foot_v - x.foot_v) AS slope FROM pt x JOIN pt y ON x.camera_id = y.camera_id AND x.foot_v < y.foot_v),
 ms AS (SELECT camera_id, quantile_cont(slope, 0.5) AS slope FROM sl GROUP BY camera_id),
 fit AS (SELECT m.camera_id, any_value(m.slope) AS slope, quantile_cont(g.px_height - m.slope * g.foot_v, 0.5) AS intercept FROM ms m JOIN gs g USING (camera_id) GROUP BY m.camera_id),
 pl AS (SELECT l.*, f.slope, -f.intercept / f.slope AS hy, 1.7e0 / f.slope AS ch, CASE WHEN samples < 9 THEN 'too few observations'
@@ -80,13 +74,14 @@ def profile_ground_samples(spark, sf):
 
 @query("profile_optics", X.with_sql(OPTICS) + """SELECT camera_id, frames, round(mean_luma, 4) AS mean_luma, round(measured_fps, 4) AS measured_fps,
  round(sharpness, 4) AS sharpness, round(eff, 5) AS effective_resolution, round(block, 5) AS blockiness, round(noise, 4) AS noise_sigma, mean_luma < 55 AS is_low_light,
- CAST((1 - measured_fps / claimed_fps > 0.25)::INT + (eff < 0.06)::INT + (block > 0.35)::INT + (noise > 8)::INT + (mean_luma < 55)::INT AS INT) AS notes FROM opt""")
+ concat_ws('; ', CASE WHEN 1 - measured_fps / claimed_fps > 0.25 THEN 'frame rate well below claim' END, CASE WHEN eff < 0.06 THEN 'far less detail than the frame size implies' END,
+ CASE WHEN block > 0.35 THEN 'heavy block artifacts' END, CASE WHEN noise > 8 THEN 'high sensor noise' END, CASE WHEN mean_luma < 55 THEN 'low-light scene' END) AS notes FROM opt""")
 def profile_optics(spark, sf):
-    o = P.optics(frames(spark, sf))
+    o = P.optics(frames(spark, sf)).withColumn("notes", F.array_join("notes", "; "))
     return o.select("camera_id", "frames", F.round("mean_luma", 4).alias("mean_luma"), F.round("measured_fps", 4).alias("measured_fps"),
                     F.round("sharpness", 4).alias("sharpness"), F.round("effective_resolution", 5).alias("effective_resolution"),
                     F.round("blockiness", 5).alias("blockiness"), F.round("noise_sigma", 4).alias("noise_sigma"), "is_low_light",
-                    F.size("notes").alias("notes"))
+                    "notes")
 
 
 @query("profile_leverage", X.with_sql(PEOPLE, PLANE) + """SELECT camera_id, samples, round(vlo, 4) AS v_lo, round(vhi, 4) AS v_hi,

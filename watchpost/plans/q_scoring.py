@@ -114,7 +114,7 @@ def _suppressed(spark, sf):
 
 
 SUPPRESS = "," + X.CAMS + """, sup AS (SELECT j.*, (c.profile = 'fenced' AND event_kind IN
- ('line_crossing', 'zone_intrusion')) OR NOT is_routine AS kept FROM judged j JOIN cams c USING (camera_id))"""
+ ('line_crossing', 'zone_intrusion', 'wrong_direction')) OR NOT is_routine AS kept FROM judged j JOIN cams c USING (camera_id))"""
 
 
 @query("normalcy_suppression", LOGSQL + SUPPRESS + " SELECT event_id, kept FROM sup")
@@ -228,15 +228,15 @@ def score_events(spark, sf):
 
 
 @query("score_factor_totals", LOGSQL + SCORED + """, u AS (SELECT unnest([{'n': 'event type', 'w': f1}, {'n': 'object class', 'w': f2},
- {'n': 'night conditions', 'w': f3}, {'n': 'operator feedback', 'w': f5}, {'n': 'outside certified region', 'w': f7},
+ {'n': 'night conditions', 'w': f3}, {'n': CASE WHEN f4 > 0 THEN 'unusual for this time' ELSE 'routine for this camera' END, 'w': f4},
+ {'n': 'operator feedback', 'w': f5}, {'n': 'detection confidence', 'w': f6}, {'n': 'outside certified region', 'w': f7},
  {'n': 'group size', 'w': f8}, {'n': 'extended dwell', 'w': f9}, {'n': 'high speed', 'w': f10},
  {'n': 'proximity to boundary', 'w': f11}, {'n': 'low-profile posture', 'w': f12}, {'n': 'inbound crossing', 'w': f13}]) AS f FROM parts)
 SELECT f.n AS factor, count(*) AS events, round(sum(f.w), 3) AS total_weight FROM u WHERE abs(f.w) > 1e-6 GROUP BY f.n""")
 def score_factor_totals(spark, sf):
     """How often each factor of the explanation applied, and its total weight."""
     f = scored(spark, sf).select(F.explode_outer("factors").alias("f"))
-    shown = f.where("abs(f.weight) > 1e-6 AND f.name NOT IN ('unusual for this time', 'routine for this camera', "
-                    "'detection confidence', 'pattern of life')")
+    shown = f.where("abs(f.weight) > 1e-6")
     return shown.groupBy(F.col("f.name").alias("factor")).agg(
         F.count("*").alias("events"), F.round(F.sum("f.weight"), 3).alias("total_weight"))
 

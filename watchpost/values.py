@@ -7,16 +7,9 @@ from dataclasses import dataclass
 OBJECT_CLASSES = ["person", "bicycle", "car", "motorcycle", "bus", "truck",
                   "boat", "cattle", "uav", "unknown"]
 VEHICLES = ["car", "motorcycle", "bus", "truck"]
-EVENT_TYPES = ["line_crossing", "zone_intrusion", "wrong_direction", "loitering",
-               "group_movement", "vehicle_movement", "off_route_movement",
-               "temporal_anomaly", "repeat_entity", "corridor_dropout",
-               "night_movement", "suspicious_activity", "camera_tamper",
-               "camera_offline", "stream_replay_suspected"]
 PRIORITIES = ["info", "low", "medium", "high", "critical"]
-SYNC_STATES = ["pending", "in_flight", "synced", "evidence_evicted", "failed"]
 COMPASS = ["East", "North-East", "North", "North-West",
            "West", "South-West", "South", "South-East"]
-WEEKDAYS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 
 # --- Fixed values: model class index -> object class -------------------------
 CLASS_OF_INDEX = {0: "person", 1: "bicycle", 2: "car", 3: "motorcycle", 5: "bus",
@@ -50,7 +43,7 @@ CLASS_WEIGHT = {"person": 0.10, "truck": 0.09, "car": 0.06, "motorcycle": 0.07,
 ROUTINE_MOVEMENT = ["line_crossing", "zone_intrusion", "wrong_direction",
                     "off_route_movement", "vehicle_movement", "group_movement",
                     "suspicious_activity", "loitering"]
-HARD_TRIPWIRES = ["line_crossing", "zone_intrusion"]
+HARD_TRIPWIRES = ["line_crossing", "zone_intrusion", "wrong_direction"]
 
 # --- Fixed values: capability rules ------------------------------------------
 # capability, pixel-density band it needs, needs fine detail
@@ -124,7 +117,6 @@ class Params:
     appearance_min: float = 0.40
     timing_only_min: float = 0.60
     sigmas: float = 2.5
-    exit_retention_s: float = 240.0
     # plates
     plate_px: float = 90.0
     plate_window_h: float = 168.0
@@ -146,7 +138,6 @@ class Params:
     deadline_factor: int = 15
     aspect_min: float = 1.15
     aspect_max: float = 9.0
-    max_pairs: int = 20000
     coarse_resolution: float = 0.018
     fine_resolution: float = 0.070
     max_blockiness: float = 0.45
