@@ -496,10 +496,11 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = df.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = pick(df, doc_id=id_col, text=text_col)
-    rows = rows.withColumn("row", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("row"))
     sent = rows.select("row", "text").mapInArrow(lambda it: _send_grams(it, buckets), _SENT).repartition("bucket")
     told = sent.mapInArrow(lambda it: _shared_grams(it, buckets), _SENT).groupBy("row").agg(F.collect_list("body").alias("answers"))
-    left = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text", "row").join(told, "row")
+    # both joins take the same rows by the same key, so the texts are shuffled once
+    left = rows.join(told, "row").withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
     runs = left.mapInArrow(lambda it: _send_runs(it, buckets), _SENT).repartition("bucket")
     spans = runs.mapInArrow(_merge, _SENT).groupBy("row").agg(F.collect_list("body").alias("spans"))
     return rows.join(spans, "row", "left")
