@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -12,6 +13,10 @@ _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{
                     f"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Texts with other characters, or maybe with a special token, are encoded whole.
 _FAR = re.compile("[^\x00-ɏ]")
+#: Byte-level BPE shows printing bytes as themselves and the others, in order, as characters from 256 on.
+_PRINTS = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+_SHOWN = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTS)))}
+_BLANK = chr(_SHOWN[32])
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -30,30 +35,23 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.kind = "H" if self.dtype.itemsize == 2 else "I"
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # ours comes first
         self.room, self.young, self.old = room, {}, {}
 
     def _learn(self, pieces: set[str]) -> None:
-        """Put pieces into the young generation.  Runs of " word" pieces are encoded as one text, cut by word."""
+        """Put pieces into the young generation, by the model itself where they are new."""
         young, old = self.young, self.old
         if len(young) > self.room:
             self.old, self.young = young, {}
             young, old = self.young, self.old
-        plain, rest = [], []
+        tokenize, kind = self.tokenizer.model.tokenize, self.kind
         for p in pieces - young.keys():
-            if (got := old.get(p)) is not None:
-                young[p] = got
-            elif p[0] == " " and p[1:].isalpha():
-                plain.append(p)
-            else:
-                rest.append(p)
-        for at in range(0, len(plain), 20_000):
-            part = plain[at:at + 20_000]
-            code = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ids, word = np.array(code.ids, self.dtype).tobytes(), np.array(code.word_ids, np.int64)
-            cuts = (np.searchsorted(word, np.arange(len(part) + 1)) * self.dtype.itemsize).tolist()
-            young.update(zip(part, [ids[a:b] for a, b in zip(cuts, cuts[1:])]))
-        for p, code in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            young[p] = np.array(code.ids, self.dtype).tobytes()
+            if (got := old.get(p)) is None:
+                shown = p.replace(" ", _BLANK) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_SHOWN)
+                got = array(kind, [t.id for t in tokenize(shown)]).tobytes()
+            young[p] = got
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """One array of ids a text; null counts as empty."""
