@@ -52,7 +52,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # large star: neighbours above a node move to the smallest node around it
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        large = contract(both.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")))
         # small star: a node and its smaller neighbours move to the smallest of them
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"))
