@@ -83,13 +83,13 @@ def config_rows(table: DataFrame, camera_id: str | None = None, active: bool | N
 def as_of(events: DataFrame, versions: DataFrame, key: str, valid_from: str, payload: list[str]) -> DataFrame:
     """Latest version of ``key`` in force at each event (null before the first).
 
-    Versions become intervals [from, next) and join on key plus range, so an event
-    meets one version only and no per-key list is built.
+    Events and versions share one timeline per key and the last version seen is carried
+    along, so no event meets a version that is not its own.  A version counts from its own
+    instant on; of versions of one instant the greatest payload does.
     """
-    from .ordered import neighbours, with_chunks
-    v = with_chunks(versions, [key], valid_from, 86_400_000_000)
-    v = neighbours(v, [key], [valid_from], ahead={"_until": valid_from}).select(
-        key, F.col(valid_from).alias("_from"), "_until", *payload)
-    on = [events[key] == v[key], events["ts_us"] >= v["_from"],
-          v["_until"].isNull() | (events["ts_us"] < v["_until"])]
-    return events.join(v, on, "left").drop(v[key]).drop("_from", "_until")
+    from .ordered import running, with_chunks
+    rows = events.select(F.col(key).alias("_key"), F.col("ts_us").alias("_at"), F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in events.columns]).alias("_event"))
+    news = versions.select(F.col(key).alias("_key"), F.col(valid_from).alias("_at"), F.struct(*payload).alias("_version")).groupBy("_key", "_at").agg(F.max("_version").alias("_version"))
+    rows = rows.unionByName(news.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    rows = running(with_chunks(rows, ["_key"], "_at", 86_400_000_000), ["_key"], ["_at", "_side"], {"_now": ("last", F.col("_version"))})
+    return rows.where("_side = 1").select("_event.*", *[F.col("_now")[c].alias(c) for c in payload])

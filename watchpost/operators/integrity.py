@@ -104,10 +104,14 @@ def tamper_events(verdicts: DataFrame) -> DataFrame:
                     F.concat_ws(":", "camera_id", F.lit("tamper"), "kind").alias("dedupe_key"))
 
 
-def outages(frames: DataFrame, silent_s: float = 5.0) -> DataFrame:
-    """Gaps longer than ``silent_s``: when a camera went offline and came back."""
+def outages(frames: DataFrame, silent_s: float = 5.0, as_of_us: int | None = None) -> DataFrame:
+    """Gaps longer than ``silent_s``: when a camera went offline and came back.
+
+    With ``as_of_us`` a camera that is still silent then is reported with no return.
+    """
     f = with_chunks(frames, CAM, "ts_us", WIDTH_US)
     f = neighbours(f, CAM, ORDER, ahead={"_next": "ts_us"})
-    gap = (F.col("_next") - F.col("ts_us")) / 1e6
+    until = F.col("_next") if as_of_us is None else F.coalesce("_next", F.lit(as_of_us))
+    gap = (until - F.col("ts_us")) / 1e6
     return f.where(gap > silent_s).select("camera_id", (F.col("ts_us") + F.lit(int(silent_s * 1e6))).alias("offline_us"),
                                           F.col("_next").alias("online_us"), F.lit("camera_offline").alias("event_type"))

@@ -29,12 +29,17 @@ def with_body(events: DataFrame) -> DataFrame:
 def append(events: DataFrame, heads: DataFrame | None = None, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Give each event of a node its index, predecessor and entry hash.
 
-    ``heads`` (node_id, ledger_index, entry_hash) continues existing chains.
+    An event is sealed once: rows that have an index come back as they are, and where no
+    ``heads`` (node_id, ledger_index, entry_hash) are given the chains go on from theirs.
     Body digests and indexes are computed in parallel.  Only the link itself is
     serial by design of a hash chain, so a long append is linked in segments of
     bounded size: each round links the next segment of every node and hands its
     head on through a checkpoint.
     """
+    sealed = None
+    if {"ledger_index", "prev_hash", "entry_hash"} <= set(events.columns):
+        sealed, events = events.where("ledger_index > 0"), events.where("coalesce(ledger_index, 0) <= 0")
+        heads = heads_of(sealed) if heads is None else heads
     rows = with_chunks(with_body(events), ["node_id"], "ts_us", WIDTH_US)
     rows = running(rows, ["node_id"], ["ts_us", "event_id"], {"_n": ("count", F.lit(True))}).drop("_chunk")
     if heads is None:
@@ -61,7 +66,7 @@ def append(events: DataFrame, heads: DataFrame | None = None, segment_rows: int
     if longest <= segment_rows:
         linked = slim.groupBy("node_id").applyInPandas(link, schema)
     else:
-        slim, parts, head = cut(slim), [], None
+        slim, parts, head = cut(slim, by="_seg"), [], None
         for seg in range((longest - 1) // segment_rows + 1):
             part = slim.where(F.col("_seg") == seg)
             if head is not None:
@@ -71,7 +76,8 @@ def append(events: DataFrame, heads: DataFrame | None = None, segment_rows: int
             parts.append(done)
         linked = reduce(DataFrame.unionByName, parts)
     keep = [c for c in events.columns if c not in ("ledger_index", "prev_hash", "entry_hash")]
-    return events.select(*keep).join(linked, ["node_id", "event_id"])
+    done = events.select(*keep).join(linked, ["node_id", "event_id"])
+    return done if sealed is None else done.unionByName(sealed.select(*done.columns))
 
 
 def heads(chain: DataFrame) -> DataFrame:
@@ -80,6 +86,9 @@ def heads(chain: DataFrame) -> DataFrame:
         F.max("ledger_index").alias("ledger_index"), F.max_by("entry_hash", "ledger_index").alias("entry_hash"))
 
 
+heads_of = heads
+
+
 def checked(chain: DataFrame) -> DataFrame:
     """Per entry: does the link hold, and does the content still hash the same?"""
     c = with_chunks(with_body(chain), ["node_id"], "ledger_index", 1_000_000)

@@ -109,9 +109,9 @@ def integrity_moved(spark, sf):
 
 
 @query("integrity_outages", X.with_sql(X.OBS) + """, n AS (SELECT camera_id, ts_us, lead(ts_us) OVER (PARTITION BY camera_id ORDER BY ts_us, event_id) AS nx FROM obs)
-SELECT camera_id, ts_us + 3600000000 AS offline_us, nx AS online_us, 'camera_offline' AS event_type FROM n WHERE (nx - ts_us) / 1e6 > 3600""")
+SELECT camera_id, ts_us + 3600000000 AS offline_us, nx AS online_us, 'camera_offline' AS event_type FROM n WHERE (coalesce(nx, 1706659200000000) - ts_us) / 1e6 > 3600""")
 def integrity_outages(spark, sf):
-    return IN.outages(X.obs(spark, sf).withColumn("frame_id", F.col("event_id")), 3600.0)
+    return IN.outages(X.obs(spark, sf).withColumn("frame_id", F.col("event_id")), 3600.0, as_of_us=1_706_659_200_000_000)
 
 
 # --- detection metrics ------------------------------------------------------------------

@@ -48,13 +48,23 @@ BASE = X.with_sql(X.OBS, X.ZONES, X.CAMS, FEATURES, MEMBERS)
 SHOWN = ["camera_id", "track_id", "zone_id", "event_type", "event_id", "dedupe_key", "extra", "group_size"]
 
 
-def _points(spark, sf):
-    site = X.cameras(spark).select("camera_id", "profile", "is_night", "direction_granted")
-    return R.track_features(X.obs(spark, sf), TUNED).join(site, "camera_id")
+def _watched(spark, sf, where="TRUE"):
+    """Track points of the cameras that a rule looks at, before anything is worked out over them."""
+    site = X.cameras(spark).where(where).select("camera_id", "profile", "is_night", "direction_granted")
+    return X.obs(spark, sf).join(site, "camera_id")
 
 
-def _members(spark, sf):
-    return R.membership(_points(spark, sf), X.zones(spark), TUNED)
+def _points(spark, sf, where="TRUE"):
+    return R.track_features(_watched(spark, sf, where), TUNED)
+
+
+def _members(spark, sf, where="TRUE", zones="TRUE"):
+    return R.membership(_points(spark, sf, where), X.zones(spark).where(zones), TUNED)
+
+
+def fenced_visits(spark, sf):
+    """Membership of restricted zones on fenced cameras: all that an intrusion needs."""
+    return R.membership(_watched(spark, sf, "profile = 'fenced'"), X.zones(spark).where("kind = 'polygon' AND NOT is_lawful_route"), TUNED)
 
 
 def _show(cands):
@@ -141,22 +151,22 @@ SQL_GROUP = """SELECT a.camera_id, a.track_id, a.zone_id, 'group_movement' AS ev
 
 @query("rule_zone_intrusion", BASE + SQL_INTRUSION)
 def rule_zone_intrusion(spark, sf):
-    return _show(R.intrusions(_members(spark, sf).where("profile = 'fenced'")))
+    return _show(R.intrusions(fenced_visits(spark, sf)))
 
 
 @query("rule_line_crossing", BASE + CROSS + SQL_CROSS)
 def rule_line_crossing(spark, sf):
-    return _show(R.line_crossings(_points(spark, sf).where("profile = 'fenced'"), X.zones(spark), TUNED))
+    return _show(R.line_crossings(_points(spark, sf, "profile = 'fenced'"), X.zones(spark), TUNED))
 
 
 @query("rule_wrong_direction", BASE + SQL_WRONG)
 def rule_wrong_direction(spark, sf):
-    return _show(R.wrong_direction(_members(spark, sf).where("profile = 'fenced'"), TUNED))
+    return _show(R.wrong_direction(_members(spark, sf, "profile = 'fenced'"), TUNED))
 
 
 @query("rule_off_route", BASE + OFF + SQL_OFF)
 def rule_off_route(spark, sf):
-    return _show(R.off_route(_points(spark, sf).where("profile <> 'fenced'"), X.zones(spark), TUNED))
+    return _show(R.off_route(_points(spark, sf, "profile <> 'fenced'"), X.zones(spark), TUNED))
 
 
 @query("rule_loitering", BASE + SQL_LOITER)
@@ -171,7 +181,7 @@ def rule_group_movement(spark, sf):
 
 @query("rule_night_movement", BASE + NIGHT + SQL_NIGHT)
 def rule_night_movement(spark, sf):
-    return _show(R.night_movement(_points(spark, sf), TUNED))
+    return _show(R.night_movement(_points(spark, sf, "is_night"), TUNED))
 
 
 @query("rule_suspicious_movement", BASE + NIGHT + SQL_SUSPECT)

@@ -10,7 +10,7 @@ from ..operators import rules as R
 from ..operators import scoring as SC
 from ..values import BASE_WEIGHT, CLASS_WEIGHT, ROUTINE_MOVEMENT, Params
 from . import fixtures as X
-from .q_rules import BASE, TUNED, _members, _points
+from .q_rules import BASE, TUNED, _members, _points, fenced_visits
 from .registry import query
 
 RECENT_S = 6 * 3600
@@ -258,7 +258,7 @@ SELECT camera_id, track_id, zone_id, event_id, ts_us,
  round(greatest(0e0, least(1e0, raw)), 3) AS score FROM s""")
 def scored_intrusions(spark, sf):
     """Track points -> settled zone membership -> intrusions -> scores."""
-    hits = R.intrusions(_members(spark, sf).where("profile = 'fenced'"))
+    hits = R.intrusions(fenced_visits(spark, sf))
     hits = hits.join(X.cameras(spark).select("camera_id", "is_night"), "camera_id")
     return SC.score(hits).select("camera_id", "track_id", "zone_id", "event_id", "ts_us", "event_type", "score")
 

@@ -47,15 +47,15 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
     Used where a table feeds several branches and between the rounds of iterative
     operators, so a lost executor costs one re-read and never a replay of earlier
     work.  A written table is computed once (a checkpoint computes twice) and has
-    sizes the optimizer can plan joins with.
+    sizes the optimizer can plan joins with.  ``by`` lays it out in a folder per value.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write if by is None else df.write.partitionBy(by)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,6 +1,6 @@
 """Structured Streaming jobs around the batch operators.
 
-Order-dependent operators (governor, tracker, cooldown, corridor) accept a
+Order-dependent operators (governor, tracker, cooldown) accept a
 streaming DataFrame directly: their fold keeps its state in the state store.
 This module adds what only exists on streams: timers, watermarks and sinks.
 """
@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import notary as NT
 from ..operators import sync as SY
 from ..operators.rules import zone_readings
+from ..session import cut
 from ..sources.sinks import exists, upsert
 from ..values import DEFAULTS, Params
 
@@ -33,26 +34,30 @@ def ingest_events(batches: DataFrame, store: str, checkpoints: str, rejected: st
     def handle(batch: DataFrame, batch_no: int) -> None:
         spark = batch.sparkSession
         events = SY.correct_clock(SY.flatten(batch), params)
-        events = events.groupBy("event_id").agg(F.min_by(F.struct(*[c for c in events.columns if c != "event_id"]), "sent_us").alias("r")).select("event_id", "r.*")
         events = events.withColumn("date", F.to_date(F.timestamp_micros("node_ts_us")))
         if exists(spark, store):
             days = events.select("node_id", "date").distinct()
-            known = spark.read.parquet(store).join(days, ["node_id", "date"], "left_semi").select("event_id", "sync_state")
+            known = spark.read.parquet(store).join(days, ["node_id", "date"], "left_semi").select("event_id", "sync_state", "entry_hash")
         else:
-            known = spark.createDataFrame([], "event_id long, sync_state string")
+            known = spark.createDataFrame([], "event_id long, sync_state string, entry_hash string")
         seen = spark.read.parquet(checkpoints) if exists(spark, checkpoints) else spark.createDataFrame([], NT.CHECKPOINT)
+        kept = cut(known.select("event_id", "entry_hash"))
         out = SY.classify(events, known, seen)
-        fresh = out.where("outcome = 'accepted'").drop("outcome").withColumns(
-            {"sync_state": F.lit("synced"), "synced_us": F.col("received_us")})
+        # every copy is judged by itself; of the accepted ones the first sent is kept
+        fresh = out.where("outcome = 'accepted'").drop("outcome")
+        fresh = fresh.groupBy("event_id").agg(F.min_by(F.struct(*[c for c in fresh.columns if c != "event_id"]), "sent_us").alias("r")).select("event_id", "r.*")
+        fresh = cut(fresh.withColumns({"sync_state": F.lit("synced"), "synced_us": F.col("received_us")}))
         refused = out.where("outcome = 'rejected'").withColumn("batch_no", F.lit(batch_no))
         refused.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_no").parquet(rejected)
         upsert(store, fresh, ["event_id"], "synced_us", ["date", "node_id"])
-        if exists(spark, store):
-            heads = spark.read.parquet(store).join(batch.select("node_id").distinct(), "node_id", "left_semi").where("ledger_index > 0")
-            stamp = batch.agg(F.max("received_us")).first()[0]
-            signed = NT.witness(heads.select("node_id", "ledger_index", "entry_hash"), seen, str(stamp), secret)
-            signed = signed.withColumn("version", F.col("ledger_index"))
-            upsert(checkpoints, signed, ["node_id", "ledger_index"], "version", ["node_id"])
+        # the head can only move to an entry just accepted, or accepted by a run of this batch that
+        # broke off before it signed: history is not read again
+        again = out.where("outcome = 'duplicate'").join(kept, ["event_id", "entry_hash"], "left_semi")
+        heads = fresh.select("node_id", "ledger_index", "entry_hash").unionByName(again.select("node_id", "ledger_index", "entry_hash")).where("ledger_index > 0")
+        stamp = batch.agg(F.max("received_us")).first()[0]
+        signed = NT.witness(heads.select("node_id", "ledger_index", "entry_hash"), seen, str(stamp), secret)
+        signed = signed.withColumn("version", F.col("ledger_index"))
+        upsert(checkpoints, signed, ["node_id", "ledger_index"], "version", ["node_id"])
 
     writer = batches.writeStream.foreachBatch(handle).option("checkpointLocation", progress)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
