@@ -69,12 +69,12 @@ def flat(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndar
     return np.frombuffer(data, np.uint8, starts[-1] - starts[0], starts[0]), starts - starts[0]
 
 
-def portions(batch: pa.RecordBatch, name: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of at most ``limit`` text bytes (or one row), to bound scratch memory."""
+def portions(batch: pa.RecordBatch, name: str = "text", limit: int = 4 << 20, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``limit`` text bytes (or one row) and ``rows`` rows, to bound scratch memory."""
     _, starts = flat(batch, name)
     row = 0
     while row < batch.num_rows:
-        upto = max(row + 1, int(np.searchsorted(starts, starts[row] + limit, "right")) - 1)
+        upto = min(row + rows, max(row + 1, int(np.searchsorted(starts, starts[row] + limit, "right")) - 1))
         yield batch.slice(row, upto - row)
         row = upto
 

@@ -93,7 +93,7 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in portions(whole):
+            for batch in portions(whole, limit=2 << 20, rows=500):
                 x = grams(*flat(batch)).astype(np.float16)
                 yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
     rows = sorted((r["lang"], bytes(r["x"])) for r in sample.mapInArrow(features, "lang string, x binary").limit(2 * sample_rows).collect())
@@ -114,7 +114,7 @@ def identify(docs: DataFrame, model: CodeModel | None, id_col: str = "doc_id", t
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in portions(whole):
+            for batch in portions(whole, limit=2 << 20, rows=500):
                 lettered = np.array([t is not None and _LETTER.search(t) is not None for t in batch.column("text").to_pylist()], bool)
                 names, score, close = np.full(len(lettered), "und", object), np.zeros(len(lettered)), np.zeros(len(lettered), bool)
                 if model is not None:

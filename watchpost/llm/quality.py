@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in portions(whole, limit=2 << 20):
+            for batch in portions(whole, limit=2 << 20, rows=500):
                 x = features(*flat(batch)).astype(np.float16)
                 yield pa.RecordBatch.from_pydict({"label": batch.column("label").cast(pa.int32()), "x": pa.array([r.tobytes() for r in x], pa.binary())})
     rows = sorted((r["label"], bytes(r["x"])) for r in known.mapInArrow(gather, "label int, x binary").limit(2 * sample_rows).collect())
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
 def _scores(batch: pa.RecordBatch, model: FactorisationMachine | None, text_col: str) -> np.ndarray:
     found = [np.zeros(0)]
-    for part in portions(batch, text_col, 2 << 20):
+    for part in portions(batch, text_col, 2 << 20, 500):
         found.append(model.score(features(*flat(part, text_col))) if model is not None else np.ones(part.num_rows))
     return np.concatenate(found)
 
