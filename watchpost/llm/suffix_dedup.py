@@ -101,16 +101,59 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-_SENT = "bucket int, row long, body binary"
+_SENT = "bucket int, kind int, body binary"
+WORK, LETTER = 0, 1  # what a reducer works on; what it only passes on to a document
 
 
-def _rows(found: list[tuple[int, int | None, bytes]]) -> pa.RecordBatch:
-    b, r, x = zip(*found)
-    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(r, pa.int64()), pa.array(x, pa.binary())], names=["bucket", "row", "body"])
+def _rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    b, k, x = zip(*found)
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(x, pa.binary())], names=["bucket", "kind", "body"])
+
+
+def _letters(row: np.ndarray, item: np.ndarray, routes: list[int]) -> Iterator[pa.RecordBatch]:
+    """Items of eight bytes for documents, packed by where the documents meet their letters."""
+    if not len(row):
+        return
+    to = row % len(routes)
+    order = np.lexsort((row, to))
+    row, item, to = row[order], item[order], to[order]
+    out = []
+    for d in np.unique(to).tolist():
+        i, j = np.searchsorted(to, [d, d + 1])
+        edge = np.flatnonzero(np.concatenate([[True], row[i + 1:j] != row[i:j - 1]]))
+        out.append((routes[d], LETTER, _pack(row[i:j][edge], np.diff(np.append(edge, j - i)).astype(np.uint32), item[i:j])))
+    yield _rows(out)
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a document: row, items."""
+    rows, items = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for batch in batches:
+        for body in batch.column("body").to_pylist():
+            row, count, item = _unpack(body, "<i8", "<u4", "<u8")
+            rows.append(np.repeat(row, count))
+            items.append(item)
+    row, item = np.concatenate(rows), np.concatenate(items)
+    order = np.argsort(row, kind="stable")
+    row, item = row[order], item[order]
+    edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+    cuts = [*edge.tolist(), len(row)]
+    for at in range(0, len(edge), 5_000):
+        part = range(at, min(at + 5_000, len(edge)))
+        yield pa.RecordBatch.from_arrays([pa.array(row[edge[at:at + 5_000]]), pa.array([item[cuts[k]:cuts[k + 1]].tobytes() for k in part], pa.binary())], names=["row", "items"])
+
+
+def _routes(spark, n: int) -> list[int]:
+    """For each of n partitions a key that Spark's hash partitioning sends there, so that none holds two buckets."""
+    key = F.col("id").cast("int")
+    found = spark.range(60 * n).groupBy(F.pmod(F.hash(key), F.lit(n)).alias("p")).agg(F.min(key).alias("k")).collect()
+    at = {r["p"]: r["k"] for r in found}
+    return [at.get(p, p) for p in range(n)]
 
 
 # --- 1: anchors whose gram stands in a second document -------------------------------
-def _send_grams(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _send_grams(batches: Iterator[pa.RecordBatch], routes: list[int]) -> Iterator[pa.RecordBatch]:
+    buckets = len(routes)
     for batch in batches:
         data, starts = flat(batch)
         row_of = batch.column("row").to_numpy()
@@ -132,7 +175,7 @@ def _send_grams(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
         r = row_of[d]
         low, high = np.minimum.reduceat(r, np.flatnonzero(first)), np.maximum.reduceat(r, np.flatnonzero(first))
         shared = (low != high)[group]
-        yield from _answers(g[shared], r[shared], buckets)
+        yield from _letters(r[shared], _coded(*_split(g[shared], buckets)), routes)
         # one sign a batch that a shared gram exists, without a document; lone grams with theirs
         told = g[first & shared]
         lone = ~shared
@@ -148,7 +191,7 @@ def _send_grams(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
             p, q = np.searchsorted(sign_slot, [s, s + 1])
             edge = np.flatnonzero(np.concatenate([[True], owner[i + 1:j] != owner[i:j - 1]])) if j > i else np.zeros(0, np.int64)
             counts = np.diff(np.append(edge, j - i)).astype(np.uint32)
-            out.append((s, None, _pack(owner[i:j][edge], counts, _five(key[i:j]), _five(sign[p:q]))))
+            out.append((routes[s], WORK, _pack(np.array([s]), owner[i:j][edge], counts, _five(key[i:j]), _five(sign[p:q]))))
         if out:
             yield _rows(out)
 
@@ -168,36 +211,24 @@ def _from_five(raw: np.ndarray) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def _answers(key: np.ndarray, row: np.ndarray, buckets: int, coded: bool = False) -> Iterator[pa.RecordBatch]:
-    """For each row the shared grams it has, as bucket << 40 | 40 bits."""
-    if not len(key):
-        return
-    if not coded:
-        k, slot = _split(key, buckets)
-        key = slot.astype(np.uint64) << np.uint64(40) | k
-    order = np.argsort(row, kind="stable")
-    key, row = key[order], row[order]
-    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    found = [(int(row[a] % buckets), int(row[a]), key[a:b].tobytes()) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(row)])]
-    for at in range(0, len(found), 20_000):
-        yield _rows(found[at:at + 20_000])
+def _coded(key: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Bucket and the 40 bits within it as one number."""
+    return slot.astype(np.uint64) << np.uint64(40) | key
 
 
-def _shared_grams(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _shared_grams(batches: Iterator[pa.RecordBatch], routes: list[int]) -> Iterator[pa.RecordBatch]:
+    """Letters that tell each document which of its grams stand in another."""
     keys, rows, signs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for batch in batches:
-        done = []
-        for bucket, row, body in zip(*(batch.column(c).to_pylist() for c in ("bucket", "row", "body"))):
-            if row is not None:
-                done.append((bucket, row, body))
-                continue
-            owner, counts, key, sign = _unpack(body, "<i8", "<u4", "u1", "u1")
-            high = np.uint64(bucket) << np.uint64(40)
+        kind = batch.column("kind").to_numpy()
+        if (kind == LETTER).any():
+            yield batch.filter(pa.array(kind == LETTER))
+        for body in batch.filter(pa.array(kind == WORK)).column("body").to_pylist():
+            slot, owner, counts, key, sign = _unpack(body, "<i8", "<i8", "<u4", "u1", "u1")
+            high = np.uint64(slot[0]) << np.uint64(40)
             keys.append(_from_five(key) | high)
             rows.append(np.repeat(owner, counts))
             signs.append(_from_five(sign) | high)
-        if done:
-            yield _rows(done)
     key, row, sign = np.concatenate(keys), np.concatenate(rows), np.unique(np.concatenate(signs))
     order = np.argsort(key, kind="stable")
     key, row = key[order], row[order]
@@ -208,15 +239,14 @@ def _shared_grams(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
     at = np.minimum(np.searchsorted(sign, key[first]), max(0, len(sign) - 1))
     shared = (low != high) | ((sign[at] == key[first]) if len(sign) else False)
     shared = np.repeat(shared, np.diff(np.append(first, len(key))))
-    yield from _answers(key[shared], row[shared], buckets, coded=True)
+    yield from _letters(row[shared], key[shared], routes)
 
 
 # --- 2: entries, runs ---------------------------------------------------------------
 def _entries(batch: pa.RecordBatch, buckets: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, anchor, first and last window start, bucket) of every run of windows that may repeat."""
     data, starts = flat(batch)
-    answers = batch.column("answers").to_pylist()
-    shared = [np.frombuffer(b"".join(a), np.uint64) if a else np.zeros(0, np.uint64) for a in answers]
+    shared = [np.frombuffer(a, np.uint64) if a else np.zeros(0, np.uint64) for a in batch.column("items").to_pylist()]
     count = np.array([len(s) for s in shared])
     order_key = np.concatenate([np.zeros(0, np.uint64), *shared])
     order_doc = np.repeat(np.arange(len(shared)), count)
@@ -227,7 +257,7 @@ def _entries(batch: pa.RecordBatch, buckets: int) -> Iterator[tuple[int, int, in
             continue
         doc = np.searchsorted(starts, anchor + a, "right") - 1
         k, slot = _split(h[anchor], buckets)
-        key = slot.astype(np.uint64) << np.uint64(40) | k
+        key = _coded(k, slot)
         may = np.zeros(len(anchor), bool)
         edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])).tolist()
         for i, j in zip(edges, [*edges[1:], len(doc)]):
@@ -259,22 +289,22 @@ def _entries(batch: pa.RecordBatch, buckets: int) -> Iterator[tuple[int, int, in
         yield from zip(doc[t[new]].tolist(), (q + a).tolist(), (window[new] + a).tolist(), (window[last] + a).tolist(), slot[t[new]].tolist())
 
 
-def _send_runs(batches: Iterator[pa.RecordBatch], buckets: int, room: int = 64 << 20) -> Iterator[pa.RecordBatch]:
+def _send_runs(batches: Iterator[pa.RecordBatch], routes: list[int], room: int = 40 << 20) -> Iterator[pa.RecordBatch]:
+    buckets = len(routes)
     held: dict[tuple, tuple[int, int, list[int]]] = {}
     size, settled = 0, {}
 
     def give() -> Iterator[pa.RecordBatch]:
         nonlocal size
-        done = [(int(r % buckets), r, np.array(x, np.int32).tobytes()) for r, x in settled.items()]
-        for at in range(0, len(done), 20_000):
-            yield _rows(done[at:at + 20_000])
+        row = np.repeat(np.fromiter(settled, np.int64, len(settled)), np.fromiter((len(x) // 2 for x in settled.values()), np.int64, len(settled)))
+        yield from _letters(row, np.array([p for x in settled.values() for p in x], np.int32).view(np.uint64), routes)
         by: dict[int, list] = {}
         for (content, left, bucket, *_), (ident, row, places) in held.items():
             by.setdefault(bucket, []).append((content[left:], content[:left], ident, row, places))
         out, weight = [], 0
         for bucket, run in by.items():
             run.sort(key=lambda e: e[0])
-            out.append((bucket, None, _front_code(run)))
+            out.append((routes[bucket], WORK, _front_code(run)))
             weight += len(out[-1][2])
             if weight > 4 << 20:
                 yield _rows(out)
@@ -425,14 +455,14 @@ def lost_windows(shared: np.ndarray, sizes: np.ndarray, lefts: list[bytes], ids:
     return lost
 
 
-def _merge(batches: Iterator[pa.RecordBatch], chunk: int = 40_000) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch], routes: list[int], chunk: int = 40_000) -> Iterator[pa.RecordBatch]:
+    """Letters that tell each document which of its bytes go."""
     runs, extra = [], []
     for batch in batches:
-        done = []
-        for bucket, row, body in zip(*(batch.column(c).to_pylist() for c in ("bucket", "row", "body"))):
-            if row is not None:
-                done.append((bucket, row, body))
-                continue
+        kind = batch.column("kind").to_numpy()
+        if (kind == LETTER).any():
+            yield batch.filter(pa.array(kind == LETTER))
+        for body in batch.filter(pa.array(kind == WORK)).column("body").to_pylist():
             shared, size, rest, left_size, left, ids, rows, n_places, places = _unpack(body, "u1", "u1", "u1", "u1", "u1", "<i8", "<i8", "<u4", "<u4")
             raw, at, before, run = rest.tobytes(), 0, b"", []
             for m, n in zip(shared.tolist(), size.tolist()):
@@ -442,8 +472,6 @@ def _merge(batches: Iterator[pa.RecordBatch], chunk: int = 40_000) -> Iterator[p
             runs.append(run)
             extra.append((left.tobytes(), np.concatenate([[0], np.cumsum(left_size, dtype=np.int64)]).tolist(), ids.tolist(), rows.tolist(), places,
                           np.concatenate([[0], np.cumsum(n_places, dtype=np.int64)]).tolist()))
-        if done:
-            yield _rows(done)
     held: list[tuple[int, int, int]] = []
     group = 0  # where the last group of equal grams begins in held
     for entry in merge_runs(runs) if runs else ():
@@ -451,16 +479,16 @@ def _merge(batches: Iterator[pa.RecordBatch], chunk: int = 40_000) -> Iterator[p
             if len(held) - group < 2:
                 del held[group:]  # alone with its gram
             if len(held) >= chunk:
-                yield from _settle(held, runs, extra)
+                yield from _settle(held, runs, extra, routes)
                 held = []
             group = len(held)
         held.append(entry)
     if len(held) - group < 2:
         del held[group:]
-    yield from _settle(held, runs, extra)
+    yield from _settle(held, runs, extra, routes)
 
 
-def _settle(held, runs, extra) -> Iterator[pa.RecordBatch]:
+def _settle(held, runs, extra, routes: list[int]) -> Iterator[pa.RecordBatch]:
     if not held:
         return
     shared = np.array([m for _, _, m in held])
@@ -468,21 +496,22 @@ def _settle(held, runs, extra) -> Iterator[pa.RecordBatch]:
     lefts = [extra[r][0][extra[r][1][i]:extra[r][1][i + 1]] for r, i, _ in held]
     ids = np.array([extra[r][2][i] for r, i, _ in held], np.int64)
     lost = lost_windows(shared, sizes, lefts, ids)
-    spans: dict[int, list] = {}
-    for e in np.flatnonzero(lost.any(1)).tolist():
-        r, i, _ = held[e]
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], lost[e].view(np.int8), [0]]))).reshape(-1, 2).tolist()
-        own = spans.setdefault(extra[r][3][i], [])
-        for p in extra[r][4][extra[r][5][i]:extra[r][5][i + 1]].tolist():
-            for a, b in edge:  # distances a .. b - 1
-                own += [p - b + 1, p - a + LENGTH]
-    if spans:
-        yield _rows([(0, row, np.array(x, np.int32).tobytes()) for row, x in spans.items()])
-
-
-def merged_spans(blobs: list[bytes]) -> np.ndarray:
-    """Maximal runs of removed bytes from spans in any order."""
-    spans = np.frombuffer(b"".join(blobs), np.int32).reshape(-1, 2)
+    edge = np.diff(np.pad(lost.view(np.int8), ((0, 0), (1, 1))), axis=1)
+    entry, a = np.nonzero(edge == 1)  # distances a .. b - 1 of an entry are lost
+    _, b = np.nonzero(edge == -1)
+    if not len(entry):
+        return
+    where = [(extra[held[e][0]], held[e][1]) for e in entry.tolist()]
+    count = np.array([x[5][i + 1] - x[5][i] for x, i in where])
+    place = np.concatenate([x[4][x[5][i]:x[5][i + 1]] for x, i in where]).astype(np.int64)
+    row = np.repeat(np.array([x[3][i] for x, i in where], np.int64), count)
+    spans = np.stack([place - np.repeat(b, count) + 1, place - np.repeat(a, count) + LENGTH], 1).astype(np.int32)
+    yield from _letters(row, np.ascontiguousarray(spans).view(np.uint64).reshape(-1), routes)
+
+
+def merged_spans(found: bytes | None) -> np.ndarray:
+    """Maximal runs of removed bytes from spans (pairs of 32-bit places) in any order."""
+    spans = np.frombuffer(found or b"", np.int32).reshape(-1, 2)
     if not len(spans):
         return spans
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
@@ -492,18 +521,21 @@ def merged_spans(blobs: list[bytes]) -> np.ndarray:
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, row and ``spans``, the list of removed byte ranges of each row (32-bit pairs, unmerged)."""
+    """doc_id, text, row and ``spans``, the removed byte ranges of each row (32-bit pairs, unmerged)."""
     spark = df.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    routes = _routes(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = pick(df, doc_id=id_col, text=text_col)
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("row"))
-    sent = rows.select("row", "text").mapInArrow(lambda it: _send_grams(it, buckets), _SENT).repartition("bucket")
-    told = sent.mapInArrow(lambda it: _shared_grams(it, buckets), _SENT).groupBy("row").agg(F.collect_list("body").alias("answers"))
+
+    def exchange(sent: DataFrame, work) -> DataFrame:
+        """What tasks send, by bucket; what reducers answer, by document."""
+        told = sent.repartition("bucket").mapInArrow(lambda it: work(it, routes), _SENT)
+        return told.repartition("bucket").mapInArrow(_gather, "row long, items binary")
+    shared = exchange(rows.select("row", "text").mapInArrow(lambda it: _send_grams(it, routes), _SENT), _shared_grams)
     # both joins take the same rows by the same key, so the texts are shuffled once
-    left = rows.join(told, "row").withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
-    runs = left.mapInArrow(lambda it: _send_runs(it, buckets), _SENT).repartition("bucket")
-    spans = runs.mapInArrow(_merge, _SENT).groupBy("row").agg(F.collect_list("body").alias("spans"))
-    return rows.join(spans, "row", "left")
+    left = rows.join(shared, "row").withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
+    spans = exchange(left.mapInArrow(lambda it: _send_runs(it, routes), _SENT), _merge)
+    return rows.join(spans.withColumnRenamed("items", "spans"), "row", "left")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -516,7 +548,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             kept, counts = [], []
             for text, blobs in zip(texts(batch), batch.column("spans").to_pylist()):
-                text, spans = text or b"", merged_spans(blobs or [])
+                text, spans = text or b"", merged_spans(blobs)
                 at, parts = 0, []
                 for a, b in spans.tolist():
                     parts.append(text[at:a])
