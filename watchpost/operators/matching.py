@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.geometry import box_area, box_iou
 from ..session import cut
@@ -114,3 +115,22 @@ def suppress_overlaps(boxes: DataFrame, keys: Sequence[str], max_iou: float, cel
         edges = cut(edges.join(out.withColumnRenamed("id", "a_id"), [*keys, "a_id"], "left_anti").join(
             out.withColumnRenamed("id", "b_id"), [*keys, "b_id"], "left_anti"))
     return boxes if gone is None else boxes.join(gone, [*keys, "id"], "left_anti")
+
+
+def take_turns(candidates: DataFrame) -> DataFrame:
+    """taker, item: takers in order of ``turn`` take the item of least ``wish`` that is left.
+
+    ``candidates`` has taker, turn, item, wish; turns and wishes are sortable and all
+    different for a taker.  Instead of a loop all takers ask for their best item at once; an
+    item refuses everyone later than its earliest asker, for good, and the refused ask again.
+    Items rank takers by turn alone, so this ends in the outcome of the loop.
+    """
+    left = cut(candidates.select("taker", "turn", "item", "wish"))
+    while True:
+        asked = left.withColumn("_asks", F.col("wish") == F.min("wish").over(W.partitionBy("taker")))
+        asked = asked.withColumn("_first", F.min(F.when(F.col("_asks"), F.col("turn"))).over(W.partitionBy("item")))
+        asked = cut(asked.where(F.col("_first").isNull() | (F.col("turn") <= F.col("_first"))).withColumn("_held", F.col("_asks") & (F.col("turn") == F.col("_first"))))
+        # settled once every taker's wish is held
+        if asked.groupBy("taker").agg(F.max("_held").alias("held")).where("NOT held").isEmpty():
+            return asked.where("_held").select("taker", "item")
+        left = asked.drop("_asks", "_first", "_held")

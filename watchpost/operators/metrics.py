@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .fold import fold
-from .matching import greedy_pairs, overlaps
+from .matching import greedy_pairs, overlaps, take_turns
 from .ordered import neighbours, running, with_chunks
 
 
@@ -19,6 +19,14 @@ def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
     return F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(empty))
 
 
+_LOW = 40
+
+
+def _place(first, then) -> Column:
+    """One sortable number from a value within some millions and a number that settles its ties."""
+    return first.cast("long") * (1 << _LOW) + F.least(F.greatest(then, F.lit(0)), F.lit((1 << _LOW) - 1)).cast("long")
+
+
 # --- detection ------------------------------------------------------------------------
 def detection_outcomes(pred: DataFrame, truth: DataFrame, min_iou: float = 0.4) -> DataFrame:
     """One row per counted outcome: ``object_class`` and tp / fp / fn.
@@ -47,23 +55,39 @@ def detection_scores(outcomes: DataFrame) -> DataFrame:
                     F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(ratio(2 * p * r, p + r), 4).alias("f1"))
 
 
-def average_precision(pred: DataFrame, truth: DataFrame, min_iou: float = 0.5) -> DataFrame:
+def average_precision(pred: DataFrame, truth: DataFrame, min_iou: float = 0.5, rule: str = "widest") -> DataFrame:
     """All-point AP with ignore regions.  ``truth`` carries ``ignored``.
 
-    A detection goes for the true box it overlaps most.  The strongest claimant
-    is a hit; other claimants are misses unless they cover an ignored region.
+    ``widest``: a detection goes for the true box it overlaps most and the strongest claimant
+    is a hit.  ``free``: detections from the strongest on take the box they overlap most among
+    those not taken yet.  Others are misses unless they cover an ignored region.
     """
     pos = pred.select("frame", F.col("id").alias("a_id"), "score")
     real = overlaps(pred, truth.where("NOT ignored"), ["frame"], min_iou)
+    if rule == "free":
+        asks = real.join(pos, ["frame", "a_id"]).select(
+            F.struct("frame", "a_id").alias("taker"), F.struct((-F.col("score")).alias("s"), "frame", "a_id").alias("turn"),
+            F.struct("frame", "b_id").alias("item"), F.struct((-F.col("iou")).alias("o"), "b_id").alias("wish"))
+        best = take_turns(asks).select("taker.frame", "taker.a_id", F.lit(True).alias("_tp"))
+    else:
+        best = _strongest(real, pos)
+    return _all_point(pred, truth, pos, best, min_iou)
+
+
+def _strongest(real: DataFrame, pos: DataFrame) -> DataFrame:
     claim = real.groupBy("frame", "a_id").agg(F.min_by("b_id", F.struct((-F.col("iou")).alias("o"), "b_id")).alias("b_id"))
-    best = claim.join(pos, ["frame", "a_id"]).groupBy("frame", "b_id").agg(
+    return claim.join(pos, ["frame", "a_id"]).groupBy("frame", "b_id").agg(
         F.min_by("a_id", F.struct((-F.col("score")).alias("s"), "a_id")).alias("a_id")).select("frame", "a_id", F.lit(True).alias("_tp"))
+
+
+def _all_point(pred: DataFrame, truth: DataFrame, pos: DataFrame, best: DataFrame, min_iou: float) -> DataFrame:
     shade = overlaps(pred, truth.where("ignored"), ["frame"], min_iou).select("frame", "a_id").distinct().withColumn("_ig", F.lit(True))
     d = pos.join(best, ["frame", "a_id"], "left").join(shade, ["frame", "a_id"], "left")
     d = d.where(F.col("_tp").isNotNull() | F.col("_ig").isNull()).select(
         F.lit(0).alias("k"), "score", "frame", "a_id", F.coalesce("_tp", F.lit(False)).alias("tp"))
-    d = d.withColumn("_at", (-F.round(F.col("score") * 1_000_000)).cast("long")).withColumn("_neg", -F.col("score"))
-    d = with_chunks(d, ["k"], "_at", 1000, bound=(pred, []))
+    # score first, then frame: detections of one score still fall into chunks
+    d = d.withColumn("_at", _place(-F.round(F.col("score") * 1_000_000), F.col("frame"))).withColumn("_neg", -F.col("score"))
+    d = with_chunks(d, ["k"], "_at", 1000 << _LOW, bound=(pred, []))
     d = running(d, ["k"], ["_at", "_neg", "frame", "a_id"], {"ctp": ("count", F.col("tp")), "n": ("count", F.lit(True))})
     n_true = truth.where("NOT ignored").agg(F.count("*").alias("n_true"))
     d = d.withColumns({"precision_at": F.col("ctp") / F.col("n"), "_back": -F.col("n")}).drop("_chunk")
@@ -429,8 +453,8 @@ def reid_scores(sims: DataFrame, junk: bool = True, group: Sequence[str] = (), g
     if junk:
         s = s.where("NOT (g_identity = q_identity AND g_camera = q_camera) AND g_identity NOT IN (0, -1)")
     key = [*group, "q_id"]
-    s = s.withColumns({"_hit": F.col("g_identity") == F.col("q_identity"), "_at": (-F.round(F.col("sim") * 1_000_000)).cast("long"), "_neg": -F.col("sim")})
-    s = running(with_chunks(s, key, "_at", 1000, bound=None if gallery is None else (gallery, [])), key, ["_at", "_neg", "g_id"], {"rank": ("count", F.lit(True)), "hits": ("count", F.col("_hit"))})
+    s = s.withColumns({"_hit": F.col("g_identity") == F.col("q_identity"), "_at": _place(-F.round(F.col("sim") * 1_000_000), F.col("g_id")), "_neg": -F.col("sim")})
+    s = running(with_chunks(s, key, "_at", 1000 << _LOW, bound=None if gallery is None else (gallery, [])), key, ["_at", "_neg", "g_id"], {"rank": ("count", F.lit(True)), "hits": ("count", F.col("_hit"))})
     per = s.where("_hit").groupBy(*key).agg(F.min("rank").alias("_first"), F.avg(F.col("hits") / F.col("rank")).alias("_ap"))
     agg = [F.count("*").alias("queries"), F.avg(F.when(F.col("_first") == 1, 1.0).otherwise(0.0)).alias("rank1"), F.avg("_ap").alias("map")]
     return per.groupBy(*group).agg(*agg) if group else per.agg(*agg)
@@ -441,3 +465,14 @@ def first_as_query(crops: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = crops.groupBy("identity").agg(F.min("vec_id").alias("_f"), F.count("*").alias("_n")).where("_n >= 2")
     j = crops.join(firsts, "identity")
     return j.where("vec_id = _f").drop("_f", "_n"), j.where("vec_id <> _f").drop("_f", "_n")
+
+
+def modality_gap(scores: DataFrame, base: str, other: str, group: str) -> DataFrame:
+    """Loss of rank-1 and mean average precision from the ``base`` row of ``group`` to the ``other``."""
+    of = lambda value, column: F.max(F.when(F.col(group) == value, F.col(column)))
+    return scores.agg(*[(of(base, c) - of(other, c)).alias(f"{c}_drop") for c in ("rank1", "map")])
+
+
+def mean_of_trials(scores: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Average of rank-1 and mean average precision over the trials of each group."""
+    return scores.groupBy(*group).agg(F.count("*").alias("trials"), F.avg("rank1").alias("rank1"), F.avg("map").alias("map"))

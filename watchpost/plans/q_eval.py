@@ -1,6 +1,9 @@
 """Queries for tracking, camera integrity and evaluation metrics."""
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -148,6 +151,26 @@ def eval_average_precision(spark, sf):
     return a.select("detections", "tp", "n_true", *[X.r6(F.col(c)).alias(c) for c in ("ap", "recall", "precision")])
 
 
+@query("eval_average_precision_free", X.with_sql(X.BOXES, X.GT).replace("WITH ", "WITH RECURSIVE ", 1) + f""", pr AS (SELECT a.frame, a.box_id, a.score, b.gt_id, b.ignored, {X.sql_iou(B, G)} AS iou FROM boxes a JOIN gt b ON a.frame = b.frame),
+rk AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, box_id, iou DESC, gt_id) AS n FROM pr WHERE NOT ignored AND iou >= 0.5),
+gm(frame, n, ps, gs, box_id, ok) AS (SELECT frame, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), '', FALSE FROM rk WHERE n = 1
+ UNION ALL SELECT r.frame, r.n, CASE WHEN list_contains(ps, r.box_id) OR list_contains(gs, r.gt_id) THEN ps ELSE list_append(ps, r.box_id) END,
+  CASE WHEN list_contains(ps, r.box_id) OR list_contains(gs, r.gt_id) THEN gs ELSE list_append(gs, r.gt_id) END, r.box_id,
+  NOT (list_contains(ps, r.box_id) OR list_contains(gs, r.gt_id)) FROM gm JOIN rk r ON r.frame = gm.frame AND r.n = gm.n + 1),
+tp AS (SELECT box_id FROM gm WHERE ok),
+det AS (SELECT box_id, frame, score, box_id IN (SELECT box_id FROM tp) AS hit FROM boxes WHERE box_id IN (SELECT box_id FROM tp)
+ OR box_id NOT IN (SELECT box_id FROM pr WHERE ignored AND iou >= 0.5)),
+cu AS (SELECT *, row_number() OVER w AS n, count(*) FILTER (hit) OVER w AS c FROM det WINDOW w AS (ORDER BY score DESC, frame, box_id ROWS UNBOUNDED PRECEDING)),
+ev AS (SELECT *, max(c / n) OVER (ORDER BY n DESC ROWS UNBOUNDED PRECEDING) AS env FROM cu)
+SELECT count(*) AS detections, count(*) FILTER (hit) AS tp, (SELECT count(*) FROM gt WHERE NOT ignored) AS n_true,
+ round(sum(CASE WHEN hit THEN env ELSE 0 END) / (SELECT count(*) FROM gt WHERE NOT ignored), 6) AS ap,
+ round(count(*) FILTER (hit) / (SELECT count(*) FROM gt WHERE NOT ignored), 6) AS recall, round(count(*) FILTER (hit) / count(*), 6) AS precision FROM ev""")
+def eval_average_precision_free(spark, sf):
+    """Detections take the best box that is still free, strongest first."""
+    a = M.average_precision(pred(spark, sf), truth(spark, sf), rule="free")
+    return a.select("detections", "tp", "n_true", *[X.r6(F.col(c)).alias(c) for c in ("ap", "recall", "precision")])
+
+
 @query("eval_frame_auc", X.with_sql(X.BOXES) + """, f AS (SELECT frame, max(score) AS score, CAST(max(l_linenumber) >= 6 AS INT) AS label FROM boxes GROUP BY frame),
 r AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rk FROM f)
 SELECT round((sum(CASE WHEN label = 1 THEN rk ELSE 0 END) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * sum(1 - label)), 6) AS auc,
@@ -297,11 +320,42 @@ def eval_reid_first_query(spark, sf):
 @query("eval_reid_cross_modal", _reid_sql("a.camera % 2 <> b.camera % 2", "TRUE", "direction"))
 def eval_reid_cross_modal(spark, sf):
     """Both directions between two modalities, no camera rule."""
+    return _shown(_cross_modal(spark, sf), "direction")
+
+
+MODAL = _reid_sql("a.camera % 2 <> b.camera % 2", "TRUE", "direction")
+
+
+def _cross_modal(spark, sf):
     c = X.crops(spark, sf)
     even, odd = c.where("camera % 2 = 0"), c.where("camera % 2 = 1")
-    s = M.similarity_rows(even, odd).withColumn("direction", F.lit("visible_to_thermal")).unionByName(
-        M.similarity_rows(odd, even).withColumn("direction", F.lit("thermal_to_visible")))
-    return _shown(M.reid_scores(s, junk=False, group=["direction"], gallery=c), "direction")
+    return M.reid_scores(M.similarity_rows(even, odd).withColumn("direction", F.lit("visible_to_thermal")).unionByName(
+        M.similarity_rows(odd, even).withColumn("direction", F.lit("thermal_to_visible"))), junk=False, group=["direction"], gallery=c)
+
+
+@query("eval_modality_gap", f"""WITH s AS ({MODAL.replace('round(avg(CASE WHEN f = 1 THEN 1 ELSE 0 END), 6) AS rank1, round(avg(ap), 5) AS "map"', 'avg(CASE WHEN f = 1 THEN 1 ELSE 0 END) AS rank1, avg(ap) AS "map"')})
+SELECT round(a.rank1 - b.rank1, 4) AS rank1_drop, round(a."map" - b."map", 4) AS map_drop FROM s a, s b
+WHERE a.direction = 'visible_to_thermal' AND b.direction = 'thermal_to_visible'""")
+def eval_modality_gap(spark, sf):
+    """What is lost between the two directions of matching across modalities."""
+    g = M.modality_gap(_cross_modal(spark, sf), "visible_to_thermal", "thermal_to_visible", "direction")
+    return g.select(F.round("rank1_drop", 4).alias("rank1_drop"), F.round("map_drop", 4).alias("map_drop"))
+
+
+TRIALS = 3
+
+
+@query("eval_reid_trials", X.with_sql(X.CROPS, SIM.replace("{where}", f"a.camera % 2 = 0 AND b.camera % 2 = 1 AND a.vec_id % {TRIALS} = b.vec_id % {TRIALS}")) + f""", rk AS (SELECT *, q % {TRIALS} AS trial, gi = qi AS hit FROM sm),
+r2 AS (SELECT *, row_number() OVER w AS n, count(*) FILTER (hit) OVER w AS h FROM rk WINDOW w AS (PARTITION BY q ORDER BY round(sim, 6) DESC, sim DESC, g ROWS UNBOUNDED PRECEDING)),
+pq AS (SELECT trial, q, min(n) AS f, avg(h / n) AS ap FROM r2 WHERE hit GROUP BY trial, q), t AS (SELECT trial, avg(CASE WHEN f = 1 THEN 1 ELSE 0 END) AS r, avg(ap) AS m FROM pq GROUP BY trial)
+SELECT count(*) AS trials, round(avg(r), 4) AS rank1, round(avg(m), 4) AS "map" FROM t""")
+def eval_reid_trials(spark, sf):
+    """The protocol of repeated trials: each crop belongs to one, scores are averaged over them."""
+    c = X.crops(spark, sf)
+    of = lambda t, side: c.where((F.col("vec_id") % TRIALS == t) & (F.col("camera") % 2 == side))
+    sims = reduce(DataFrame.unionByName, [M.similarity_rows(of(t, 0), of(t, 1)).withColumn("trial", F.lit(t)) for t in range(TRIALS)])
+    m = M.mean_of_trials(M.reid_scores(sims, junk=False, group=["trial"], gallery=c).withColumn("all_trials", F.lit(1)), ["all_trials"])
+    return m.select("trials", F.round("rank1", 4).alias("rank1"), F.round("map", 4).alias("map"))
 
 
 @query("eval_similarity_best", X.with_sql(X.CROPS, SIM.replace("{where}", "a.vec_id % 7 = 0 AND b.vec_id % 7 <> 0")) + """SELECT q AS q_id, count(*) AS compared,

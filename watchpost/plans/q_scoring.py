@@ -10,7 +10,7 @@ from ..operators import rules as R
 from ..operators import scoring as SC
 from ..values import BASE_WEIGHT, CLASS_WEIGHT, ROUTINE_MOVEMENT, Params
 from . import fixtures as X
-from .q_rules import BASE, TUNED, _members, _points, fenced_visits
+from .q_rules import BASE, _members, _points, fenced_visits
 from .registry import query
 
 RECENT_S = 6 * 3600
