@@ -38,49 +38,37 @@ class Encoder:
         self.kind = "H" if self.dtype.itemsize == 2 else "I"
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # ours comes first
+        self.tokenize = self.tokenizer.model.tokenize
         self.room, self.young, self.old = room, {}, {}
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Put pieces into the young generation, by the model itself where they are new."""
-        young, old = self.young, self.old
-        if len(young) > self.room:
-            self.old, self.young = young, {}
-            young, old = self.young, self.old
-        tokenize, kind = self.tokenizer.model.tokenize, self.kind
-        for p in pieces - young.keys():
-            if (got := old.get(p)) is None:
-                shown = p.replace(" ", _BLANK) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_SHOWN)
-                got = array(kind, [t.id for t in tokenize(shown)]).tobytes()
-            young[p] = got
+    def _ids(self, piece: str) -> bytes:
+        """ids of a piece that is not in the young generation, which it joins."""
+        got = self.old.get(piece)
+        if got is None:
+            shown = piece.replace(" ", _BLANK) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_SHOWN)
+            got = array(self.kind, [t.id for t in self.tokenize(shown)]).tobytes()
+        self.young[piece] = got
+        return got
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """One array of ids a text; null counts as empty."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        at, size = 0, 0
-        group: list[tuple[int, list[str]]] = []
-        for at, text in enumerate(texts):
+        out = []
+        for text in texts:
             if not text:
-                out[at] = np.zeros(0, self.dtype)
+                out.append(np.zeros(0, self.dtype))
             elif "<|" in text or (not text.isascii() and _FAR.search(text)):
-                out[at] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype))
             else:
-                group.append((at, _PIECE.findall(text)))
-                size += len(text)
-                if size > 1 << 18:
-                    self._resolve(group, out)
-                    group, size = [], 0
-        self._resolve(group, out)
+                pieces = _PIECE.findall(text)
+                found = list(map(self.young.get, pieces))
+                if None in found:
+                    get, ids = self.young.get, self._ids
+                    found = [x if x is not None else get(p) or ids(p) for p, x in zip(pieces, found)]
+                    if len(self.young) > self.room:
+                        self.old, self.young = self.young, {}
+                out.append(np.frombuffer(b"".join(found), self.dtype))
         return out
 
-    def _resolve(self, group, out) -> None:
-        need: set[str] = set()
-        for _, pieces in group:
-            need.update(pieces)
-        self._learn(need)
-        get = {p: self.young[p] for p in need}.__getitem__  # small enough to stay in the processor's cache
-        for at, pieces in group:
-            out[at] = np.frombuffer(b"".join(map(get, pieces)), self.dtype)
-
 
 def encoder(path: str) -> Encoder:
     """The encoder of this Python worker; a reused worker keeps its cache."""
