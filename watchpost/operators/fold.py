@@ -15,10 +15,11 @@ two or three rounds settle it.  Rounds are cut with a checkpoint.
 """
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -29,13 +30,19 @@ Step = Callable[[pd.DataFrame, "str | None"], "tuple[pd.DataFrame, str]"]
 
 
 def fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step,
-         schema: str) -> DataFrame:
+         schema: str, part: Column | None = None) -> DataFrame:
     """Fold ``step`` over each key in ``order``; see ``with_chunks``.
 
     ``step(chunk_rows, state)`` gets one chunk sorted by ``order`` and the JSON
     state left by the previous chunk (None at the start).  It returns output
     rows matching ``schema`` (keys included) and its own JSON state.  Equal
     states must serialise to equal text.
+
+    A state that never forgets, like the last match of every identity, would pass
+    each early change on to all later chunks.  With ``part`` (a string column, null
+    where a row touches no part) the state is a JSON object by part: a chunk gets
+    the latest value of the parts its own rows name, returns only those it set,
+    and runs again only when one of *them* changed.
     """
     keys, order = list(keys), list(order)
     names = [*keys, CHUNK]
@@ -47,7 +54,7 @@ def fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step,
     columns = [*fields, CHUNK, "_state", "_mark", *missing]
 
     if rows.isStreaming:
-        return _fold_stream(rows, keys, order, step, schema, fields)
+        return _fold_stream(rows, keys, order, step, schema, fields, part is not None)
 
     def run_whole(pdf: pd.DataFrame) -> pd.DataFrame:
         out, _ = step(pdf.sort_values(order, kind="stable"), None)
@@ -74,6 +81,7 @@ def fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step,
         return pd.concat([out[columns].astype(object), tail.astype(object)], ignore_index=True)
 
     rows = cut(rows)
+    held = None if part is None else cut(rows.select(*names, part.alias("_part")).where("_part IS NOT NULL").distinct())
     todo = rows.select(*names).distinct().withColumn("_in", F.lit(None).cast("string"))
     todo = cut(todo)
     parts, states, round_no = [], None, 0
@@ -87,8 +95,11 @@ def fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step,
                  .join(todo, names))
         states = fresh if states is None else states.unionByName(fresh)
         now = states.groupBy(*names).agg(F.max_by(F.struct("_in", "_state"), "_round").alias("_s"))
-        linked = now.select(*names, F.col("_s._in").alias("_used"),
-                            F.lag("_s._state").over(W.partitionBy(*keys).orderBy(CHUNK)).alias("_in"))
+        if held is None:
+            linked = now.select(*names, F.col("_s._in").alias("_used"),
+                                F.lag("_s._state").over(W.partitionBy(*keys).orderBy(CHUNK)).alias("_in"))
+        else:
+            linked = now.select(*names, F.col("_s._in").alias("_used")).join(_carried(held, now, keys, names), names, "left")
         nxt = linked.where(~F.col("_used").eqNullSafe(F.col("_in"))).select(*names, "_in")
         todo = cut(nxt)
         if todo.isEmpty():
@@ -103,7 +114,16 @@ def fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step,
     return everything.where("not _mark").select(*fields)
 
 
-def _fold_stream(rows, keys, order, step, schema, fields) -> DataFrame:
+def _carried(held: DataFrame, now: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Per chunk, as JSON, the values that earlier chunks left for the parts it holds."""
+    left = now.select(*names, F.explode(F.from_json("_s._state", "map<string,string>")).alias("_part", "_value"))
+    before = W.partitionBy(*keys, "_part").orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    seen = held.join(left, [*names, "_part"], "left").withColumn("_before", F.last("_value", ignorenulls=True).over(before))
+    entries = F.array_sort(F.collect_list(F.when(F.col("_before").isNotNull(), F.struct("_part", "_before"))))
+    return seen.groupBy(*names).agg(entries.alias("_e")).select(*names, F.when(F.size("_e") > 0, F.to_json(F.map_from_entries("_e"))).alias("_in"))
+
+
+def _fold_stream(rows, keys, order, step, schema, fields, by_part=False) -> DataFrame:
     """The same step over a stream: its JSON state lives in the state store.
 
     Rows of one micro-batch are put in order; a row that arrives in a later batch
@@ -113,6 +133,8 @@ def _fold_stream(rows, keys, order, step, schema, fields) -> DataFrame:
         pdf = pd.concat(list(batches), ignore_index=True)
         saved = state.get[0] if state.exists else None
         out, new = step(pdf.sort_values(order, kind="stable").reset_index(drop=True), saved)
+        if by_part and saved:
+            new = json.dumps({**json.loads(saved), **json.loads(new)}, sort_keys=True)
         state.update((new,))
         yield out[fields]
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .corridor import components
 from .fold import fold
 from .matching import greedy_pairs, overlaps, take_turns
 from .ordered import neighbours, running, with_chunks
@@ -165,7 +166,8 @@ def mot_matches(truth: DataFrame, pred: DataFrame, min_iou: float = 0.5, width:
     rows = with_chunks(side(truth, 0).unionByName(side(pred, 1)), ["sequence"], "frame", width, target_rows)
 
     def step(pdf: pd.DataFrame, state: str | None):
-        last = {int(k): v for k, v in json.loads(state).items()} if state else {}
+        last = {int(k): int(v) for k, v in json.loads(state).items()} if state else {}
+        mine = {}
         box = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
         ids, frames, sides = pdf["obj_id"].to_numpy(), pdf["frame"].to_numpy(), pdf["side"].to_numpy()
         edges = np.flatnonzero(np.diff(frames)) + 1
@@ -200,12 +202,14 @@ def mot_matches(truth: DataFrame, pred: DataFrame, min_iou: float = 0.5, width:
             for g, p in got:
                 before = last.get(gid[g])
                 out.append((frames[lo], gid[g], pid[p], iou[g, p], before is not None and before != pid[p]))
-                last[gid[g]] = pid[p]
+                last[gid[g]] = mine[gid[g]] = pid[p]
         done = pd.DataFrame(out, columns=["frame", "gt_id", "pred_id", "iou", "switched"])
         done.insert(0, "sequence", pdf["sequence"].iloc[0])
-        return done, json.dumps({str(k): last[k] for k in sorted(last)})
+        return done, json.dumps({str(k): mine[k] for k in sorted(mine)})
 
-    return fold(rows, ["sequence"], ["frame", "side", "obj_id", "x1", "y1"], step, MATCH)
+    # a chunk depends on the last match of the identities it holds, and of no others
+    identity = F.when(F.col("side") == 0, F.col("obj_id").cast("string"))
+    return fold(rows, ["sequence"], ["frame", "side", "obj_id", "x1", "y1"], step, MATCH, part=identity)
 
 
 def clear_mot(truth: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:
@@ -224,35 +228,21 @@ def clear_mot(truth: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFram
 def idf1(truth: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:
     """Global identity assignment per sequence over the pair counts.
 
-    Counting is native.  Only (gt, pred, frames) rows reach the assignment, which
-    is solved per connected group of identities.
+    Counting is native.  Identities that share no match do not touch each other's choice,
+    so each connected group of (gt, pred) pairs is assigned by itself, in a task of its own.
     """
-    pairs = matches.groupBy("sequence", "gt_id", "pred_id").agg(F.count("*").alias("n"))
+    node = lambda side, c: F.concat_ws(":", "sequence", F.lit(side), c)
+    pairs = cut(matches.groupBy("sequence", "gt_id", "pred_id").agg(F.count("*").alias("n")).withColumn("camera_id", node("g", "gt_id")))
+    groups = components(pairs.select(F.col("camera_id").alias("src"), node("p", "pred_id").alias("dst")))
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         g, gi = np.unique(pdf["gt_id"], return_inverse=True)
         p, pi = np.unique(pdf["pred_id"], return_inverse=True)
-        root = list(range(len(g) + len(p)))
-
-        def find(a):
-            while root[a] != a:
-                root[a] = root[root[a]]
-                a = root[a]
-            return a
-        for a, b in zip(gi.tolist(), pi.tolist()):
-            root[find(a)] = find(len(g) + b)
-        group = np.array([find(a) for a in gi.tolist()])
-        total, n = 0, pdf["n"].to_numpy()
-        for r in np.unique(group):
-            pick = group == r
-            gs, gx = np.unique(gi[pick], return_inverse=True)
-            ps, px = np.unique(pi[pick], return_inverse=True)
-            gain = np.zeros((len(gs), len(ps)))
-            gain[gx, px] = n[pick]
-            total += sum(gain[a, b] for a, b in _assign(gain))
-        return pd.DataFrame({"sequence": [pdf["sequence"].iloc[0]], "idtp": [int(total)]})
-
-    tp = pairs.groupBy("sequence").applyInPandas(best, "sequence long, idtp long")
+        gain = np.zeros((len(g), len(p)))
+        gain[gi, pi] = pdf["n"].to_numpy()
+        return pd.DataFrame({"sequence": [pdf["sequence"].iloc[0]], "idtp": [int(sum(gain[a, b] for a, b in _assign(gain)))]})
+
+    tp = pairs.join(groups, "camera_id").groupBy("component").applyInPandas(best, "sequence long, idtp long").groupBy("sequence").agg(F.sum("idtp").alias("idtp"))
     g = truth.groupBy("sequence").agg(F.count("*").alias("gt"))
     p = pred.groupBy("sequence").agg(F.count("*").alias("predicted"))
     j = g.join(p, "sequence", "full").join(tp, "sequence", "left").fillna(0)

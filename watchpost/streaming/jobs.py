@@ -138,3 +138,27 @@ def camera_outages(frames: DataFrame, silent_s: float = 5.0, watermark: str = "1
 def announce_new(events: DataFrame, watermark: str = "7 days") -> DataFrame:
     """High and critical alerts, each announced once however often it is re-sent."""
     return events.withWatermark("ts", watermark).where("alerted AND rank >= 3").dropDuplicatesWithinWatermark(["event_id"])
+
+
+def split_late(events: DataFrame, on_time: str, late: str, progress: str, delay_s: float = 600.0, available_now: bool = False) -> StreamingQuery:
+    """Part a stream before it meets a watermark: rows too late for it go to ``late``, none vanish.
+
+    A row is late when it lies more than ``delay_s`` before the newest ``ts_us`` of all earlier
+    micro-batches, as a watermark of that delay would have it.  Read ``on_time`` as the stream
+    that the stateful jobs take.  A replayed batch writes the same rows to the same places.
+    """
+    marks = f"{progress}/marks"
+
+    def handle(batch: DataFrame, batch_no: int) -> None:
+        spark = batch.sparkSession
+        rows = cut(batch.withColumn("batch_no", F.lit(batch_no)))
+        seen = spark.read.parquet(marks).where(F.col("batch_no") < batch_no).agg(F.max("top")).first()[0] if exists(spark, marks) else None
+        behind = F.lit(False) if seen is None else F.coalesce(F.col("ts_us") < F.lit(seen - int(delay_s * 1e6)), F.lit(False))
+        save = lambda df, path: (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                                 .partitionBy("batch_no").parquet(path))
+        save(rows.where(~behind), on_time)
+        save(rows.where(behind), late)
+        save(rows.groupBy("batch_no").agg(F.max("ts_us").alias("top")), marks)
+
+    writer = events.writeStream.foreachBatch(handle).option("checkpointLocation", f"{progress}/offsets")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
