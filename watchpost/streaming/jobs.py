@@ -42,7 +42,7 @@ def ingest_events(batches: DataFrame, store: str, checkpoints: str, rejected: st
             known = spark.createDataFrame([], "event_id long, sync_state string, entry_hash string")
         seen = spark.read.parquet(checkpoints) if exists(spark, checkpoints) else spark.createDataFrame([], NT.CHECKPOINT)
         kept = cut(known.select("event_id", "entry_hash"))
-        out = SY.classify(events, known, seen)
+        out = cut(SY.classify(events, known, seen))  # before the store changes
         # every copy is judged by itself; of the accepted ones the first sent is kept
         fresh = out.where("outcome = 'accepted'").drop("outcome")
         fresh = fresh.groupBy("event_id").agg(F.min_by(F.struct(*[c for c in fresh.columns if c != "event_id"]), "sent_us").alias("r")).select("event_id", "r.*")
