@@ -6,7 +6,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, exact_dedup, language, licenses, packing, quality, shuffle_shards, simhash, suffix_dedup, token_files
-from .common import read
+from .common import read, words
+
+LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = "regexp_extract_all(" + LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,13 +49,44 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_shards.shard_rows(read(spark, sf_dir, "documents"), n_shards=16)
 
 
-@query()
+@query(f"""WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS.format('text')} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(10, len(w)) AS m, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS k
+ FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents), sizes AS (SELECT DISTINCT m FROM win),
+pos AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS k FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, sizes WHERE len(w) >= m)),
+hit AS (SELECT doc_id, i, m, item FROM pos JOIN win USING (m, k)),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT doc_id, i, m FROM hit)) GROUP BY doc_id),
+its AS (SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(cov.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+ coalesce(cov.n, 0) > 0 AS contaminated FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""")
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten-word windows of benchmark items in suffix arrays of the documents."""
-    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), n=10)
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), n=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-@query()
+def _rows_sql(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
+
+
+_TOKENS = [(n, label, token) for n, (label, text) in enumerate((k, t) for k, notices in licenses.TEMPLATES.items() for t in notices)
+           for token in sorted({w.decode() for w in words(text.encode())})]
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, {WORDS.format('text')} AS w FROM documents),
+ph(phrase, label) AS (VALUES {_rows_sql((p, v) for p, v in licenses.PHRASES.items())}),
+pos AS (SELECT doc_id, label, i FROM (SELECT doc_id, label, w, string_split(phrase, ' ') AS p, unnest(range(len(w))) AS i FROM d, ph) WHERE w[i + 1:i + len(p)] = p),
+base AS (SELECT doc_id, count(*) AS n, min(i) AS f, max(i) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM pos GROUP BY doc_id),
+tok(n, label, token) AS (VALUES {_rows_sql(_TOKENS)}), size AS (SELECT n, label, count(*) AS size FROM tok GROUP BY n, label),
+lines AS (SELECT doc_id, ln, unnest(list_distinct({WORDS.format('line')})) AS token FROM (SELECT doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS ln,
+ unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d)),
+share AS (SELECT doc_id, ln, n, tok.label, count(*) / any_value(size) AS share FROM lines JOIN tok USING (token) JOIN size USING (n) GROUP BY doc_id, ln, n, tok.label
+ HAVING count(*) >= ceil(0.9 * any_value(size) - 1e-9)),
+own AS (SELECT doc_id, max(share) AS share FROM share GROUP BY doc_id),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM pos UNION ALL SELECT doc_id, label FROM share) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, base.f AS first_word, base.l AS last_word, coalesce(base.labels, '') AS base_labels,
+ coalesce(every.labels, '') AS labels, CASE WHEN base.n > 0 THEN 1e0 ELSE coalesce(own.share, 0e0) END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN every USING (doc_id)""")
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases, and notices by a set-similarity join with their templates."""
     return licenses.scan(read(spark, sf_dir, "documents"))
