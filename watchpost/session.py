@@ -1,7 +1,9 @@
 """Session helpers: a tuned local session, UTC pinning and lineage cuts."""
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -43,7 +45,9 @@ def shared_folder(spark: SparkSession) -> str:
         return shared
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="watchpost-ckpt-"))
+    folder = tempfile.mkdtemp(prefix="watchpost-ckpt-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
