@@ -120,6 +120,12 @@ def test_ingest_is_idempotent_and_refuses_rewrites(spark, tmp_path):
     drain()
     assert [r.event_id for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [9]
     assert spark.read.parquet(str(tmp_path / "store")).count() == 3
+    # of two copies of one event the first is refused and the second taken
+    batch("d.json", [{**event(4, "forged"), "ledger_index": 3}, event(4, "h4")])
+    drain()
+    assert {r.event_id: r.entry_hash for r in spark.read.parquet(str(tmp_path / "store")).collect()}[4] == "h4"
+    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == [4, 9]
+    assert sorted(r.ledger_index for r in spark.read.parquet(str(tmp_path / "cps")).collect()) == [2, 3, 4]
 
 
 def test_camera_outage_timer(spark, tmp_path):
