@@ -125,6 +125,54 @@ def test_near_copies(odd, rows):
     assert {9, 10, 11, 12, 13, 15} <= set(ids) and len(ids) == len(set(ids)) or ids.count(5) <= 2
 
 
+def plain_shingles(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("n", [9, 60, 400])
+def test_similar_pairs_by_brute_force(spark, n):
+    """Pairs at 0.70 to 0.90 end in one group exactly if their shingle sets reach 0.8."""
+    rng, rows, want = np.random.default_rng(n), [], []
+    for k in range(160):
+        own = [f"p{k}w{i}" for i in range(n + 4)]
+        lost = int(round(n * (0.3 * rng.random() + 0.09)))
+        other = own[:len(own) - lost] + [f"q{k}w{i}" for i in range(lost if k % 2 else 0)]
+        a, b = plain_shingles(" ".join(own)), plain_shingles(" ".join(other))
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+        want.append(len(a & b) >= 0.8 * len(a | b) - 1e-9)
+    rows += [(1000 + k, "ab " * 400 + f"tail {' '.join(f't{k}x{i}' for i in range(60))}") for k in range(2)]  # equal but for what counts once
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), simhash.SIMILAR).collect()}
+    assert [got[2 * k] == got[2 * k + 1] for k in range(160)] == want and {True, False} == set(want)
+    assert got[1000] != got[1001]
+
+
+@pytest.mark.parametrize("tile", [256, 5])
+def test_similar_group_dealt_in_tiles(spark, tile):
+    rng = np.random.default_rng(8)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for k in range(60):
+        w = list(base)
+        for at in rng.choice(60, rng.integers(1, 5), replace=False):
+            w[at] = f"x{rng.integers(0, 3)}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    prints = simhash.fingerprints(docs, simhash.SIMILAR).localCheckpoint()
+    node = {r["doc_id"]: r["node"] for r in prints.collect()}
+    one = prints.select("node", (prints["node"] * 0).alias("root")).distinct()  # one group of all, so only the tiles decide
+    found = {r["node"]: r["root"] for r in components.components(simhash.similar_links(docs, prints, one, simhash.SIMILAR, tile_rows=tile)).collect()}
+    sets = [plain_shingles(t) for _, t in rows]
+    bits = [simhash.fingerprint(t.encode(), simhash.SIMILAR)[:2] for _, t in rows]
+    label = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and np.bitwise_count(bits[i] ^ bits[j]).sum() <= 35:
+                label = [label[j] if x == label[i] else x for x in label]
+    for i in range(60):
+        for j in range(i):
+            assert (label[i] == label[j]) == (found.get(node[i], node[i]) == found.get(node[j], node[j]))
+
+
 def plain_repeats(rows, length=50):
     first = {}
     order = [(i if i is not None else 1 << 63, (t or "").encode()) for i, t in rows]

@@ -13,12 +13,15 @@ a pair differs in at most 4 // 3 = 1 bit in some field, so one spare bit loses n
 ``together=2`` an anchor is a pair of codewords of two fields (2 spare bits between them):
 more anchors with fewer rows each, for corpora where an anchor of one field grows too large.
 
-``SIMILAR``: for a similarity of 0.8 or more of 5-word shingles, where 64 bits differ in
-about ten.  Twenty fields of further hash bits find the pairs (at a Jaccard similarity of 0.8
-a pair shares some field up to one bit with probability 0.92, at 0.9 above 0.99), and 128
-bits of their own decide: at most 24 may differ.
-
-Equal fingerprints are one row.  A crowded anchor is dealt in tiles of at most about
+``SIMILAR``: for a Jaccard similarity of 0.8 or more of the sets of 5-word shingles, where 64
+bits differ in about ten.  Fingerprints only find candidates: 24 fields of further hash bits
+let pairs meet and at most 35 of 128 bits of their own may differ.  Simulated at a similarity
+of 0.8, a pair meets in one field with probability 0.29 and passes the bits with 0.9999
+(0.21 and 0.995 for texts of four and five shingles).  What decides is the similarity itself:
+groups of candidates get their shingle hashes, all their pairs within the bits are counted,
+and only those at 0.8 or more are links.
+
+Equal fingerprints (with ``jaccard``: equal shingle sets) are one row.  A crowded anchor is dealt in tiles of at most about
 ``tile_rows`` homes and copies, and a tile returns a spanning forest of its links, never all
 its pairs, so a large group of near copies costs rows in proportion to its size.
 """
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pick, texts, written
+from .common import pick, portions, texts, written
 from .components import components
 
 #: Length of a field, its code's generator polynomial and covering radius.
@@ -56,23 +59,21 @@ class Scheme:
     size: int  # words in a shingle
     together: int = 1
     seed: int = 42
+    jaccard: float = 0.0  # if set, shingles count once and links need this similarity of their sets
 
 
 EXACT = Scheme(1, ((0, 0, GOLAY), (0, 23, GOLAY), (0, 46, RESIDUE)), (0,), 4, 1, 4)
 EXACT_TWO = Scheme(1, EXACT.fields, (0,), 4, 2, 4, together=2)
-SIMILAR = Scheme(12, tuple((w, b, GOLAY) for w in range(2, 12) for b in (0, 23)), (0, 1), 24, 1, 5)
+SIMILAR = Scheme(14, tuple((w, b, GOLAY) for w in range(2, 14) for b in (0, 23)), (0, 1), 35, 1, 5, jaccard=0.8)
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
 
-def fingerprint(text: bytes | None, scheme: Scheme = EXACT) -> np.ndarray:
-    """Bits set in over half of the hashes of the text's shingles.
-
-    A hash is XXH64; schemes of more than a word mix it anew for each word.
-    """
+def shingles(text: bytes | None, scheme: Scheme = EXACT) -> np.ndarray:
+    """XXH64 of each of the text's shingles; with ``jaccard`` the different ones, sorted."""
     own, size, one = (text or b"").lower().split(), scheme.size, xxhash.xxh64_intdigest
     if not own:
-        return np.zeros(scheme.words, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(own)
     if len(own) <= size:
         h = np.array([one(joined, scheme.seed)], np.uint64)
@@ -80,12 +81,24 @@ def fingerprint(text: bytes | None, scheme: Scheme = EXACT) -> np.ndarray:
         end = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
         start = [0, *(end[:-size] + 1).tolist()]
         h = np.array([one(joined[a:b], scheme.seed) for a, b in zip(start, end[size - 1:].tolist())], np.uint64)
-    lane = np.arange(8 * scheme.words) * 256
-    seen = np.zeros(2048 * scheme.words, np.int64)
+    return np.unique(h) if scheme.jaccard else h
+
+
+def fingerprint(text: bytes | None, scheme: Scheme = EXACT) -> np.ndarray:
+    """Bits set in over half of the hashes of the text's shingles."""
+    return _majority(shingles(text, scheme), scheme.words)
+
+
+def _majority(h: np.ndarray, words: int) -> np.ndarray:
+    """The bits; of more than a word, hashes are mixed anew for each word."""
+    if not len(h):
+        return np.zeros(words, np.uint64)
+    lane = np.arange(8 * words) * 256
+    seen = np.zeros(2048 * words, np.int64)
     for at in range(0, len(h), 1 << 12):
         part = h[at:at + (1 << 12)]
-        if scheme.words > 1:
-            part = _mixed(part, scheme.words)
+        if words > 1:
+            part = _mixed(part, words)
         seen += np.bincount((part.astype("<u8").view(np.uint8).reshape(-1, len(lane)) + lane).ravel(), minlength=len(seen))
     bits = seen.reshape(-1, 256) @ _BITS
     return np.packbits((2 * bits > len(h)).ravel(), bitorder="little").view("<u8")
@@ -160,8 +173,28 @@ def anchors(prints: np.ndarray, scheme: Scheme) -> Iterator[tuple[int, np.ndarra
         yield choice, row[fits], anchor[fits], anchor[fits] == home[row[fits]]
 
 
-def _forest(bits: np.ndarray, n_homes: int, threshold: int, by: int = 256) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links of the first ``n_homes`` rows with all rows."""
+def _similar(sets: list[np.ndarray], jaccard: float):
+    """test(i, near): which of the sets ``near`` have at least this similarity with set i."""
+    size = np.array([len(x) for x in sets])
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    first, mark = np.cumsum(size) - size, np.zeros(len(flat) + 1, bool)
+
+    def test(i: int, near: np.ndarray) -> np.ndarray:
+        own, n = flat[first[i]:first[i] + size[i]], size[near]
+        mark[own] = True
+        at = np.repeat(first[near] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(np.repeat(np.arange(len(near)), n), mark[flat[at]], len(near))
+        mark[own] = False
+        return both >= jaccard * (n + size[i] - both) - 1e-9
+    return test
+
+
+def _forest(bits: np.ndarray, n_homes: int, threshold: int, by: int = 256, test=None, among: bool = True) -> tuple[list[int], list[int]]:
+    """A spanning forest of the links of the first ``n_homes`` rows with all rows.
+
+    ``test(row, rows)`` tells which rows within the bits are links; without ``among`` homes
+    are not compared with each other.
+    """
     label = np.arange(len(bits))
     a, b = [], []
     for at in range(0, n_homes, by):
@@ -169,9 +202,14 @@ def _forest(bits: np.ndarray, n_homes: int, threshold: int, by: int = 256) -> tu
         apart = sum(np.bitwise_count(block[:, k, None] ^ bits[None, :, k]).astype(np.int16) for k in range(bits.shape[1]))
         linked = apart <= threshold
         linked[np.arange(len(block)), at + np.arange(len(block))] = False
+        if not among:
+            linked[:, :n_homes] = False
         for i in np.flatnonzero(linked.any(1)).tolist():
             near = np.flatnonzero(linked[i])
             own = label[at + i]
+            if test is not None:
+                near = near[label[near] != own]
+                near = near[test(at + i, near)] if len(near) else near
             roots, first = np.unique(label[near], return_index=True)
             other = roots != own
             if other.any():
@@ -249,11 +287,67 @@ def near_links(prints: DataFrame, scheme: Scheme = EXACT, tile_rows: int = 2048)
     return tiles.mapInArrow(compare, "a long, b long")
 
 
+def similar_links(df: DataFrame, rows: DataFrame, groups: DataFrame, scheme: Scheme = SIMILAR, id_col: str = "doc_id", text_col: str = "text",
+                  tile_rows: int = 256, tile_bytes: int = 8 << 20) -> DataFrame:
+    """Links a < b at ``scheme.jaccard`` or more within groups (node, root), enough to connect all of them.
+
+    A group is dealt in parts of at most about ``tile_rows`` texts (more in a group of over
+    4,096) and ``tile_bytes`` of shingle hashes; each two parts meet in a tile.
+    """
+    ids = rows.join(groups, "node", "left_semi").select(F.col("doc_id").alias("__id")).distinct()
+    taken = pick(df, doc_id=id_col, text=text_col)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(batch):
+                sets = [shingles(t, scheme) for t in texts(part)]
+                yield pa.RecordBatch.from_pydict({"node": pa.array([_digest(h.tobytes()) for h in sets], pa.int64()), "shingles": pa.array([h.tobytes() for h in sets], pa.binary()),
+                                                  "bits": pa.array([_majority(h, scheme.words)[list(scheme.check)].tobytes() for h in sets], pa.binary())})
+    made = taken.join(ids, taken["doc_id"].eqNullSafe(ids["__id"]), "left_semi").mapInArrow(make, "node long, shingles binary, bits binary")
+    members = written(made.join(groups, "node").dropDuplicates(["node"]), "sets")
+    count, volume = F.count(F.lit(1)), F.sum(F.length("shingles"))
+    parts = F.ceil(F.greatest(count / F.greatest(F.lit(tile_rows), tile_rows / 64 * F.sqrt(count)), volume / tile_bytes)).cast("int")
+    crowd = members.groupBy("root").agg(parts.alias("n")).where("n > 1")  # at most a row for tile_rows texts or tile_bytes of hashes
+    k = F.pmod(F.xxhash64("node", F.lit(2)), F.col("n")).cast("int")
+    places = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least(o, k).alias("i"), F.greatest(o, k).alias("j")))
+    dealt = members.join(F.broadcast(crowd), "root", "left").withColumn("n", F.greatest(F.coalesce("n", F.lit(1)), F.lit(1))).withColumn("k", k)
+    tiles = dealt.withColumn("tile", F.explode(places)).select("root", "tile.i", "tile.j", "node", (F.col("k") == F.col("tile.i")).alias("home"), "bits", "shingles")
+    keys = ["root", "i", "j"]
+    tiles = tiles.repartition(*keys).sortWithinPartitions(*keys, F.col("home").desc())
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, []
+
+        def work() -> pa.RecordBatch:
+            node, homes = np.array([r[0] for r in held]), sum(r[1] for r in held)
+            bits = np.frombuffer(b"".join(r[2] for r in held), "<u8").reshape(len(held), -1)
+            a, b = _forest(bits, homes, scheme.threshold, test=_similar([np.frombuffer(r[3], "<u8") for r in held], scheme.jaccard), among=tile[1] == tile[2])
+            a, b = node[a], node[b]
+            return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        for batch in batches:
+            for *key, node, home, bits, own in zip(*[batch.column(c).to_pylist() for c in (*keys, "node", "home", "bits", "shingles")]):
+                if key != tile:
+                    if len(held) > 1:
+                        yield work()
+                    tile, held = key, []
+                held.append((node, home, bits, own))
+        if len(held) > 1:
+            yield work()
+    return tiles.mapInArrow(compare, "a long, b long")
+
+
+def _digest(b: bytes) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(b), "little", signed=True)
+
+
 def _fingerprints(batch: pa.RecordBatch, scheme: Scheme, text_col: str = "text") -> tuple[pa.Array, pa.Array]:
-    """Fingerprints as bytes, and the nodes that stand for them."""
+    """Fingerprints as bytes, and the nodes that stand for them or, with ``jaccard``, for the shingle sets."""
+    if scheme.jaccard:
+        sets = [shingles(t, scheme) for t in texts(batch, text_col)]
+        return pa.array([_majority(h, scheme.words).tobytes() for h in sets], pa.binary()), pa.array([_digest(h.tobytes()) for h in sets], pa.int64())
     found = [fingerprint(t, scheme).tobytes() for t in texts(batch, text_col)]
     whole = (lambda f: int.from_bytes(f, "little", signed=True)) if scheme.words == 1 else \
-        (lambda f: int.from_bytes(xxhash.xxh64_digest(f), "little", signed=True))
+        _digest
     return pa.array(found, pa.binary()), pa.array([whole(f) for f in found], pa.int64())
 
 
@@ -277,6 +371,8 @@ def near_groups(df: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_id", t
     rows = written(fingerprints(df, scheme, id_col, text_col), "prints")
     each = rows.groupBy("node", "fp").agg(F.min("doc_id").alias("low"))
     found = components(written(near_links(each, scheme), "near"))
+    if scheme.jaccard:
+        found = components(written(similar_links(df, rows, found, scheme, id_col, text_col), "similar"))
     member = each.join(found, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     named = written(member, "members")
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
