@@ -270,6 +270,30 @@ def test_phrases_that_touch_and_templates():
         assert index.find(block) == want
 
 
+def test_wrapped_notices_and_scattered_words(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated files"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    far = " ".join(w + " filler" * 30 for w in "licensed under the Apache License Version 2.0".split())
+    rows = [(1, mit), (2, bsd), (3, far), (4, "x " * 500 + mit + " y" * 500), (5, mit.replace("\n", " ")), (6, None)]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "mit", 2: "bsd", 3: "", 4: "mit", 5: "mit", 6: ""}
+
+
+def test_windows_by_brute_force():
+    templates = {"t": ["a b c d e f g h i j"], "u": ["a q r"]}
+    rng = np.random.default_rng(6)
+    index = licenses.TemplateIndex(templates, {b"a": 5, b"j": 1}, 0.8)
+    for _ in range(200):
+        own = [bytes([c]) for c in rng.choice(list(b"abcdefghijqrxyz"), rng.integers(0, 60))]
+        want = {}
+        for label, (text,) in templates.items():
+            t = [x.encode() for x in text.split()]
+            best = max((len(set(t) & set(own[i:i + 2 * len(t)])) for i in range(len(own))), default=0)
+            if best >= 0.8 * len(t):
+                want[label] = best / len(t)
+        assert index.find_near(own) == want
+
+
 def test_empty_tables(none, items):
     assert decontaminate.contamination(none, items).count() == 0
     assert decontaminate.decontaminate(none, items.limit(0)).count() == 0

@@ -1,12 +1,13 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, a template the token set of a license notice; a pair is a
-result when the block holds at least ``threshold`` of the template's tokens.  One pass
-counts in how many blocks of the whole corpus each template token stands, which orders
-tokens from rare to common.  In that order only a template's prefix, its
+A block is a window over the words of a whole text, twice as long as the notice, so notices
+that wrap are found and words far apart are not; a template is the token set of a license
+notice; a pair is a result when the block holds at least ``threshold`` of the template's
+tokens.  One pass counts in how many lines of the whole corpus each template token stands,
+which orders tokens from rare to common.  In that order only a template's prefix, its
 ``size - need + 1`` rarest tokens, has to be indexed: a block that meets the threshold
-shares one of them.  Candidates then pass the length filter and the positional filter
-before the overlap is counted, and nothing that qualifies is lost.
+shares one of them.  Candidates then pass the length filter (lines also
+the positional filter) before the overlap is counted, and nothing that qualifies is lost.
 
 The templates are a parameter, not data: they travel with the task, so the join needs no
 shuffle and no block can be hot.  Phrases that stand word by word give the base labels.
@@ -47,6 +48,7 @@ class TemplateIndex:
     def __init__(self, templates: dict[str, list[str]], frequency: dict[bytes, int], threshold: float):
         self.rows, self.index = [], {}
         sets = [(label, frozenset(words(text.encode()))) for label, notices in templates.items() for text in notices]
+        self.lengths = [len(words(text.encode())) for notices in templates.values() for text in notices]
         self.vocabulary = frozenset().union(*[s for _, s in sets])
         self.place = {t: i for i, t in enumerate(sorted(self.vocabulary, key=lambda t: (frequency.get(t, 0), t)))}
         for label, tokens in sets:
@@ -78,9 +80,37 @@ class TemplateIndex:
                     found[label] = max(found.get(label, 0.0), overlap / size)
         return found
 
+    def find_near(self, own: list[bytes], reach: int = 2) -> dict[str, float]:
+        """As ``find``, a block being any ``reach`` times a template's length of consecutive words."""
+        if self.starters.isdisjoint(own):
+            return {}
+        places: dict[bytes, list[int]] = {}
+        for p, token in enumerate(own):
+            if token in self.place:
+                places.setdefault(token, []).append(p)
+        found = {}
+        for k in sorted({k for token in places for k, _ in self.index.get(token, ())}):
+            label, tokens, size, need = self.rows[k]
+            if len(held := tokens & places.keys()) < need:
+                continue
+            span, best, left, inside = reach * self.lengths[k], 0, 0, {}
+            walk = sorted((p, token) for token in held for p in places[token])
+            for p, token in walk:
+                inside[token] = inside.get(token, 0) + 1
+                while walk[left][0] <= p - span:
+                    gone = walk[left][1]
+                    inside[gone] -= 1
+                    if not inside[gone]:
+                        del inside[gone]
+                    left += 1
+                best = max(best, len(inside))
+            if best >= need:
+                found[label] = max(found.get(label, 0.0), best / size)
+        return found
+
 
 def token_blocks(df: DataFrame, vocabulary: frozenset[bytes], text_col: str = "text") -> dict[bytes, int]:
-    """In how many blocks of the corpus each token of the templates stands (all blocks count)."""
+    """In how many lines of the corpus each token of the templates stands (all lines count)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = dict.fromkeys(vocabulary, 0)
         for batch in batches:
@@ -114,12 +144,13 @@ def phrase_places(own: list[bytes], phrases: list[bytes]) -> dict[bytes, list[in
 
 
 def scan(df: DataFrame, templates: dict[str, list[str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = 0.9,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", reach: int | None = 2) -> DataFrame:
     """Per document: n_words, n_base, first_word, last_word, base_labels, labels and score.
 
     ``score`` is 1 for a phrase, else the largest share of a template's tokens found in a
     block that meets the threshold, else 0.  Null counts as empty: no words, no labels
-    (empty strings).  Rows of equal id are rows of their own; other columns are ignored.
+    (empty strings).  A block is any ``reach`` times a template's length of consecutive words,
+    whatever the line ends; with ``reach`` None it is a line.  Rows of equal id are rows of their own; other columns are ignored.
     """
     templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
     named = {b" ".join(words(p.encode())): label for p, label in phrases.items()}
@@ -135,8 +166,10 @@ def scan(df: DataFrame, templates: dict[str, list[str]] | None = None, phrases:
                 for line in low.split(b"\n"):
                     block = line.split()
                     n_words += len(block)
-                    for label, share in index.find(block).items():
+                    for label, share in index.find(block).items() if reach is None else ():
                         shares[label] = max(shares.get(label, 0.0), share)
+                if reach is not None:
+                    shares = index.find_near(low.split(), reach)
                 places = phrase_places(low.split(), list(named)) if any(w in low for w in rarest) else {}
                 starts = [p for found in places.values() for p in found]
                 base = {named[p] for p in places}
