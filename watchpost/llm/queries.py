@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language, licenses, packing, quality, shuffle_shards, simhash, suffix_dedup, token_files
+from . import (decontaminate, exact_dedup, filter_audit, language, licenses, packing, quality, shuffle_shards, simhash, sketches, suffix_dedup, token_files,
+               whitening)
 from .common import read, words
 
 LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -116,3 +117,42 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that repeat a smaller document removed, by a merge sort of suffixes."""
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
+_ORDERS = "SELECT a || b || c || d || e AS filter_order FROM " + ", ".join(f"(SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS {x}) AS o{x}" for x in "abcde") + \
+    " WHERE " + " AND ".join(f"{x} <> {y}" for i, x in enumerate("abcde") for y in "abcde"[i + 1:])
+
+
+@query(rf"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+low AS (SELECT t, min(doc_id) AS low FROM d GROUP BY t),
+m AS (SELECT doc_id, part, t, low, regexp_extract_all(t, '[^ 	-]+') AS w FROM d JOIN low USING (t)),
+lab AS (SELECT doc_id, coalesce(max(CAST(quality = 1 AS INT)), 0) AS good, coalesce(max(CAST(toxic = 1 AS INT)), 0) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT m.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+ CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+ || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+ || CASE WHEN m.doc_id > low THEN 'E' ELSE '' END AS fails FROM m LEFT JOIN lab ON m.doc_id = lab.doc_id),
+p AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+o AS (SELECT filter_order, step, filter_order[step] AS filter, filter_order[:step - 1] AS before FROM ({_ORDERS}), (SELECT unnest(range(1, 6)) AS step) AS s),
+x AS (SELECT part, filter_order, step, filter, n, good, toxic, contains(fails, filter) AS hit, before <> '' AND translate(fails, before, '') <> fails AS gone,
+ fails = filter AS only_this FROM p, o),
+r AS (SELECT part, filter_order, step, filter, sum(CASE WHEN NOT gone AND NOT hit THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND hit THEN n ELSE 0 END) AS removed,
+ sum(CASE WHEN gone AND hit THEN n ELSE 0 END) AS redundant, sum(CASE WHEN only_this THEN n ELSE 0 END) AS unique_fails,
+ sum(CASE WHEN NOT gone AND hit THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND hit THEN toxic ELSE 0 END) AS toxic_lost FROM x GROUP BY part, filter_order, step, filter)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+ CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+ CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r""")
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all orders, by anti and semi joins of failing ids."""
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query()
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen whitened components of every vector by Golub-Kahan-Lanczos bidiagonalisation."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), components=16)
+
+
+@query()
+def op13_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-k sketches of every text and its edited text."""
+    return sketches.edited_likeness(read(spark, sf_dir, "documents"))
