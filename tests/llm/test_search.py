@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from watchpost.llm import components, decontaminate, licenses, simhash, suffix_dedup
+from watchpost.llm import components, decontaminate, exact_dedup, licenses, near_copies, simhash, suffix_dedup
 
 from .conftest import words
 
@@ -118,7 +118,7 @@ def test_components_of_paths_and_hubs(spark, n):
 
 
 def test_near_copies(odd, rows):
-    out = simhash.drop_near_copies(odd)
+    out = near_copies.drop_near_copies(odd)
     assert out.schema == odd.schema
     ids = [r["doc_id"] for r in out.collect()]
     assert ids.count(0) == 1 and 7 not in ids and 8 not in ids  # near copies of document 5
@@ -142,7 +142,7 @@ def test_similar_pairs_by_brute_force(spark, n):
         rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
         want.append(len(a & b) >= 0.8 * len(a | b) - 1e-9)
     rows += [(1000 + k, "ab " * 400 + f"tail {' '.join(f't{k}x{i}' for i in range(60))}") for k in range(2)]  # equal but for what counts once
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), simhash.SIMILAR).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert [got[2 * k] == got[2 * k + 1] for k in range(160)] == want and {True, False} == set(want)
     assert got[1000] != got[1001]
 
@@ -157,10 +157,10 @@ def test_similar_group_dealt_in_tiles(spark, tile):
             w[at] = f"x{rng.integers(0, 3)}"
         rows.append((k, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    prints = simhash.fingerprints(docs, simhash.SIMILAR).localCheckpoint()
+    prints = near_copies.written(simhash.fingerprints(docs, simhash.SIMILAR).selectExpr("*", "100L AS weight"))
     node = {r["doc_id"]: r["node"] for r in prints.collect()}
     one = prints.select("node", (prints["node"] * 0).alias("root")).distinct()  # one group of all, so only the tiles decide
-    found = {r["node"]: r["root"] for r in components.components(simhash.similar_links(docs, prints, one, simhash.SIMILAR, tile_rows=tile)).collect()}
+    found = {r["node"]: r["root"] for r in near_copies.similar(docs, prints, one, tile_rows=tile).collect()}
     sets = [plain_shingles(t) for _, t in rows]
     bits = [simhash.fingerprint(t.encode(), simhash.SIMILAR)[:2] for _, t in rows]
     label = list(range(60))
@@ -173,6 +173,73 @@ def test_similar_group_dealt_in_tiles(spark, tile):
             assert (label[i] == label[j]) == (found.get(node[i], node[i]) == found.get(node[j], node[j]))
 
 
+@pytest.mark.parametrize("tile", [2048, 30])
+def test_candidates_are_all_near_pairs_that_meet(spark, tile):
+    """The two rounds leave the groups that comparing every home with all rows of its anchor gives."""
+    rng, scheme = np.random.default_rng(11), simhash.SIMILAR
+    values = rng.integers(0, 1 << 63, (6, scheme.words), dtype=np.int64).view(np.uint64)
+    rows = []
+    for k in range(180):  # few sources, many changes: anchors hold rows near and far
+        own = values[k % 6].copy()
+        for at in rng.choice(64 * scheme.words, rng.integers(0, 260), replace=False):
+            own[at // 64] ^= np.uint64(1) << np.uint64(at % 64)
+        rows.append(own)
+    prints = np.array(rows)
+    label, meet = list(range(len(rows))), {}
+    for choice, row, anchor, home in simhash.anchors(prints, scheme):
+        for r, a, h in zip(row.tolist(), anchor.tolist(), home.tolist()):
+            meet.setdefault((choice, a), []).append((r, h))
+    for some in meet.values():
+        for i, h in some:
+            for j, _ in some:
+                if h and np.bitwise_count(prints[i, :2] ^ prints[j, :2]).sum() <= scheme.threshold and label[i] != label[j]:
+                    label = [label[j] if x == label[i] else x for x in label]
+    df = spark.createDataFrame([(k, p.tobytes()) for k, p in enumerate(rows)], "node long, fp binary").repartition(3)
+    found = {r["node"]: r["root"] for r in near_copies.candidates(df, tile_rows=tile).collect()}
+    for i in range(len(rows)):
+        for j in range(i):
+            assert (label[i] == label[j]) == (found.get(i, i) == found.get(j, j))
+    assert 1 < len(set(label)) < len(rows)
+
+
+def near_group(g, seed=1):
+    """g texts of 300 words with a few words changed each, and as many that share nothing."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(300)]
+    for k in range(g):
+        own = list(base)
+        for at in rng.choice(300, 3, replace=False):
+            own[at] = f"x{rng.integers(0, 1000)}"
+        yield k, " ".join(own)
+        yield g + k, " ".join(f"n{k}y{i}" for i in range(40))
+
+
+def test_links_in_proportion_to_a_group(spark, monkeypatch):
+    links, count = [], near_copies._tiles
+
+    def counted(*args):
+        found = near_copies.written(count(*args), "counted")
+        links.append(found.count())
+        return found
+    monkeypatch.setattr(near_copies, "_tiles", counted)
+    for g in (500, 2000):
+        links.clear()
+        docs = spark.createDataFrame(list(near_group(g)), "doc_id long, text string").repartition(4)
+        kept = near_copies.drop_near_copies(docs).collect()
+        assert {r["doc_id"] for r in kept} == {0, *range(g, 2 * g)}
+        assert sum(links) <= 6 * g, links
+
+
+@pytest.mark.parametrize("drop", [near_copies.drop_near_copies, exact_dedup.drop_exact_copies])
+def test_columns_of_any_name_pass(spark, drop):
+    names = ["__node", "__root", "__at", "__id", "__ID_", "rows", "doc_id_", "fp", "__n_bytes", "__sha256", "__keep_id", "__ties", "__own_ties", "__own_keep_id", "keep_id"]
+    rows = [(i, t, *[f"{c}{i}" for c in names]) for i, t in [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (None, "x"), (3, None), (4, "")]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    got = drop(df)
+    assert got.schema == df.schema and sorted((r["text"] or "") for r in got.collect()) == ["", "a b c d e f g", "x"]
+    assert all(tuple(r) in set(rows) for r in got.collect())
+
+
 def plain_repeats(rows, length=50):
     first = {}
     order = [(i if i is not None else 1 << 63, (t or "").encode()) for i, t in rows]

@@ -31,6 +31,14 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[source].alias(name) for name, source in columns.items()])
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have, whatever its case."""
+    have, name = {c.lower() for c in df.columns}, f"__{base}"
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -31,12 +31,33 @@ def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
+#: Edges that a task holds before it replaces them by a forest.
+HELD_EDGES = 1 << 20
+
+
 def contract(edges: DataFrame) -> DataFrame:
-    """Each batch of edges replaced by a star forest with the same groups."""
+    """The edges of each task replaced by star forests with the same groups, in bounded memory."""
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def folded() -> tuple[np.ndarray, np.ndarray]:
+            node, root = _roots(np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held]))
+            return root, node
+
+        def out(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(a), 1 << 16):
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a[at:at + (1 << 16)]), "b": pa.array(b[at:at + (1 << 16)])})
         for batch in batches:
-            node, root = _roots(batch.column("a").to_numpy(), batch.column("b").to_numpy())
-            yield pa.RecordBatch.from_pydict({"a": pa.array(root), "b": pa.array(node)})
+            held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+            n += batch.num_rows
+            if n >= HELD_EDGES:
+                held = [folded()]
+                n = len(held[0][0])
+                if n > HELD_EDGES // 2:
+                    yield from out(*held[0])
+                    held, n = [], 0
+        if n:
+            yield from out(*folded())
     return edges.mapInArrow(forest, "a long, b long")
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, texts
+from .common import free_name, pick, texts
 
 PARTIAL = "text binary, n_bytes long, h long, keep_id long, rows long, ties long"
 OWNED = "n_bytes long, text_sha256 string, keep_id long, group_size long, ties long"
@@ -213,12 +213,17 @@ def exact_groups(df: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
 
 
 def drop_exact_copies(df: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that stay, one for each different text, with all their columns."""
-    own = owners(df, keep, id_col=id_col, text_col=text_col, **options).withColumnsRenamed({c: f"__own_{c}" for c in ("n_bytes", "text_sha256", "keep_id", "group_size", "ties")})
+    """The rows of ``df`` that stay, one for each different text, with all their columns.
+
+    Null texts count as empty; a null id stays only where its group has no other; of rows
+    equal in id and text any one stays.  An empty table gives an empty one.  Columns of any
+    name pass through.
+    """
+    n_bytes, digest, ident, ties = (free_name(df, c) for c in ("n_bytes", "sha256", "keep_id", "ties"))
+    own = owners(df, keep, id_col=id_col, text_col=text_col, **options).select(
+        F.col("n_bytes").alias(n_bytes), F.col("text_sha256").alias(digest), F.col("keep_id").alias(ident), F.col("ties").alias(ties))
     text = F.coalesce(df[text_col], F.lit(""))
-    same = ((F.octet_length(text).cast("long") == own["__own_n_bytes"]) & (F.sha2(text.cast("binary"), 256) == own["__own_text_sha256"])
-            & df[id_col].eqNullSafe(own["__own_keep_id"]))
+    same = (F.octet_length(text).cast("long") == own[n_bytes]) & (F.sha2(text.cast("binary"), 256) == own[digest]) & df[id_col].eqNullSafe(own[ident])
     found = df.join(own, same)
-    many = F.col("__own_ties") > 1
-    once = found.where(many).dropDuplicates(["__own_n_bytes", "__own_text_sha256"])
-    return found.where(~many).unionByName(once).select(*[F.col(f"`{c}`") for c in df.columns])
+    once = found.where(F.col(ties) > 1).dropDuplicates([n_bytes, digest])
+    return found.where(F.col(ties) == 1).unionByName(once).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -13,17 +13,13 @@ a pair differs in at most 4 // 3 = 1 bit in some field, so one spare bit loses n
 ``together=2`` an anchor is a pair of codewords of two fields (2 spare bits between them):
 more anchors with fewer rows each, for corpora where an anchor of one field grows too large.
 
-``SIMILAR``: for a Jaccard similarity of 0.8 or more of the sets of 5-word shingles, where 64
-bits differ in about ten.  Fingerprints only find candidates: 24 fields of further hash bits
-let pairs meet and at most 35 of 128 bits of their own may differ.  Simulated at a similarity
-of 0.8, a pair meets in one field with probability 0.29 and passes the bits with 0.9999
-(0.21 and 0.995 for texts of four and five shingles).  What decides is the similarity itself:
-groups of candidates get their shingle hashes, all their pairs within the bits are counted,
-and only those at 0.8 or more are links.
-
-Equal fingerprints (with ``jaccard``: equal shingle sets) are one row.  A crowded anchor is dealt in tiles of at most about
-``tile_rows`` homes and copies, and a tile returns a spanning forest of its links, never all
-its pairs, so a large group of near copies costs rows in proportion to its size.
+``SIMILAR`` finds candidates for a Jaccard similarity of 0.8 or more of the sets of 5-word
+shingles, where 64 bits differ in about ten: 24 fields of further hash bits let pairs meet
+and at most 35 of 128 bits of their own may differ.  ``near_copies`` decides them.
+
+Equal fingerprints (with ``jaccard``: equal shingle sets) are one row.  A crowded anchor is
+dealt in tiles of at most about ``tile_rows`` homes and copies; a tile returns a spanning
+forest of its links, never all its pairs.
 """
 from __future__ import annotations
 
@@ -35,11 +31,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import pick, portions, texts, written
+from .common import pick, texts, written
 from .components import components
 
 #: Length of a field, its code's generator polynomial and covering radius.
@@ -152,9 +147,9 @@ def _near(values: np.ndarray, code: tuple, weight: int) -> tuple[np.ndarray, np.
     return row, values[row] ^ error, np.bitwise_count(error).astype(np.int64), values ^ lightest[s]
 
 
-def anchors(prints: np.ndarray, scheme: Scheme) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per choice of fields: (choice, row, anchor, at home) of fingerprints, a row each."""
-    for choice, chosen in enumerate(combinations(scheme.fields, scheme.together)):
+def anchors(prints: np.ndarray, scheme: Scheme, fields: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per choice of (the first ``fields``) fields: (choice, row, anchor, at home) of fingerprints, a row each."""
+    for choice, chosen in enumerate(combinations(scheme.fields[:fields], scheme.together)):
         n = len(prints)
         row, anchor, over, home = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for word, bit, code in chosen:
@@ -189,32 +184,32 @@ def _similar(sets: list[np.ndarray], jaccard: float):
     return test
 
 
-def _forest(bits: np.ndarray, n_homes: int, threshold: int, by: int = 256, test=None, among: bool = True) -> tuple[list[int], list[int]]:
+def _forest(bits: np.ndarray, n_homes: int, threshold: int, by: int = 256, test=None, label: np.ndarray | None = None,
+            side: np.ndarray | None = None) -> tuple[list[int], list[int]]:
     """A spanning forest of the links of the first ``n_homes`` rows with all rows.
 
-    ``test(row, rows)`` tells which rows within the bits are links; without ``among`` homes
-    are not compared with each other.
+    ``test(row, rows)`` tells which rows within the bits are links.  Rows of one ``label``
+    are known to be together, so a link only comes out if it joins two labels.  With
+    ``side`` rows are compared with those of the other side alone.
     """
-    label = np.arange(len(bits))
+    label = np.arange(len(bits)) if label is None else label.copy()
     a, b = [], []
     for at in range(0, n_homes, by):
-        block = bits[at:min(at + by, n_homes)]
-        apart = sum(np.bitwise_count(block[:, k, None] ^ bits[None, :, k]).astype(np.int16) for k in range(bits.shape[1]))
-        linked = apart <= threshold
-        linked[np.arange(len(block)), at + np.arange(len(block))] = False
-        if not among:
-            linked[:, :n_homes] = False
+        block = slice(at, min(at + by, n_homes))
+        linked = sum(np.bitwise_count(bits[block, k, None] ^ bits[None, :, k]).astype(np.int16) for k in range(bits.shape[1])) <= threshold
+        linked &= label[block, None] != label[None, :]
+        if side is not None:
+            linked &= side[block, None] != side[None, :]
         for i in np.flatnonzero(linked.any(1)).tolist():
             near = np.flatnonzero(linked[i])
             own = label[at + i]
-            if test is not None:
-                near = near[label[near] != own]
-                near = near[test(at + i, near)] if len(near) else near
+            near = near[label[near] != own]
+            if test is not None and len(near):
+                near = near[test(at + i, near)]
             roots, first = np.unique(label[near], return_index=True)
-            other = roots != own
-            if other.any():
-                a.extend([at + i] * int(other.sum()))
-                b.extend(near[first[other]].tolist())
+            if len(roots):
+                a.extend([at + i] * len(roots))
+                b.extend(near[first].tolist())
                 label[np.isin(label, roots)] = own
     return a, b
 
@@ -287,68 +282,19 @@ def near_links(prints: DataFrame, scheme: Scheme = EXACT, tile_rows: int = 2048)
     return tiles.mapInArrow(compare, "a long, b long")
 
 
-def similar_links(df: DataFrame, rows: DataFrame, groups: DataFrame, scheme: Scheme = SIMILAR, id_col: str = "doc_id", text_col: str = "text",
-                  tile_rows: int = 256, tile_bytes: int = 8 << 20) -> DataFrame:
-    """Links a < b at ``scheme.jaccard`` or more within groups (node, root), enough to connect all of them.
-
-    A group is dealt in parts of at most about ``tile_rows`` texts (more in a group of over
-    4,096) and ``tile_bytes`` of shingle hashes; each two parts meet in a tile.
-    """
-    ids = rows.join(groups, "node", "left_semi").select(F.col("doc_id").alias("__id")).distinct()
-    taken = pick(df, doc_id=id_col, text=text_col)
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in portions(batch):
-                sets = [shingles(t, scheme) for t in texts(part)]
-                yield pa.RecordBatch.from_pydict({"node": pa.array([_digest(h.tobytes()) for h in sets], pa.int64()), "shingles": pa.array([h.tobytes() for h in sets], pa.binary()),
-                                                  "bits": pa.array([_majority(h, scheme.words)[list(scheme.check)].tobytes() for h in sets], pa.binary())})
-    made = taken.join(ids, taken["doc_id"].eqNullSafe(ids["__id"]), "left_semi").mapInArrow(make, "node long, shingles binary, bits binary")
-    members = written(made.join(groups, "node").dropDuplicates(["node"]), "sets")
-    count, volume = F.count(F.lit(1)), F.sum(F.length("shingles"))
-    parts = F.ceil(F.greatest(count / F.greatest(F.lit(tile_rows), tile_rows / 64 * F.sqrt(count)), volume / tile_bytes)).cast("int")
-    crowd = members.groupBy("root").agg(parts.alias("n")).where("n > 1")  # at most a row for tile_rows texts or tile_bytes of hashes
-    k = F.pmod(F.xxhash64("node", F.lit(2)), F.col("n")).cast("int")
-    places = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least(o, k).alias("i"), F.greatest(o, k).alias("j")))
-    dealt = members.join(F.broadcast(crowd), "root", "left").withColumn("n", F.greatest(F.coalesce("n", F.lit(1)), F.lit(1))).withColumn("k", k)
-    tiles = dealt.withColumn("tile", F.explode(places)).select("root", "tile.i", "tile.j", "node", (F.col("k") == F.col("tile.i")).alias("home"), "bits", "shingles")
-    keys = ["root", "i", "j"]
-    tiles = tiles.repartition(*keys).sortWithinPartitions(*keys, F.col("home").desc())
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, held = None, []
-
-        def work() -> pa.RecordBatch:
-            node, homes = np.array([r[0] for r in held]), sum(r[1] for r in held)
-            bits = np.frombuffer(b"".join(r[2] for r in held), "<u8").reshape(len(held), -1)
-            a, b = _forest(bits, homes, scheme.threshold, test=_similar([np.frombuffer(r[3], "<u8") for r in held], scheme.jaccard), among=tile[1] == tile[2])
-            a, b = node[a], node[b]
-            return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-        for batch in batches:
-            for *key, node, home, bits, own in zip(*[batch.column(c).to_pylist() for c in (*keys, "node", "home", "bits", "shingles")]):
-                if key != tile:
-                    if len(held) > 1:
-                        yield work()
-                    tile, held = key, []
-                held.append((node, home, bits, own))
-        if len(held) > 1:
-            yield work()
-    return tiles.mapInArrow(compare, "a long, b long")
-
-
-def _digest(b: bytes) -> int:
+def digest(b: bytes) -> int:
     return int.from_bytes(xxhash.xxh64_digest(b), "little", signed=True)
 
 
-def _fingerprints(batch: pa.RecordBatch, scheme: Scheme, text_col: str = "text") -> tuple[pa.Array, pa.Array]:
-    """Fingerprints as bytes, and the nodes that stand for them or, with ``jaccard``, for the shingle sets."""
+def _fingerprints(batch: pa.RecordBatch, scheme: Scheme, text_col: str = "text") -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Fingerprints as bytes, the nodes that stand for them or, with ``jaccard``, for the shingle sets, and the sets' bytes."""
+    found = [shingles(t, scheme) for t in texts(batch, text_col)]
+    prints = [_majority(h, scheme.words).tobytes() for h in found]
     if scheme.jaccard:
-        sets = [shingles(t, scheme) for t in texts(batch, text_col)]
-        return pa.array([_majority(h, scheme.words).tobytes() for h in sets], pa.binary()), pa.array([_digest(h.tobytes()) for h in sets], pa.int64())
-    found = [fingerprint(t, scheme).tobytes() for t in texts(batch, text_col)]
-    whole = (lambda f: int.from_bytes(f, "little", signed=True)) if scheme.words == 1 else \
-        _digest
-    return pa.array(found, pa.binary()), pa.array([whole(f) for f in found], pa.int64())
+        nodes = [digest(h.tobytes()) for h in found]
+    else:
+        nodes = [int.from_bytes(f, "little", signed=True) if scheme.words == 1 else digest(f) for f in prints]
+    return pa.array(prints, pa.binary()), pa.array(nodes, pa.int64()), pa.array([h.nbytes for h in found], pa.int64())
 
 
 def fingerprints(df: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -358,7 +304,7 @@ def fingerprints(df: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_id",
     """
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *_fingerprints(batch, scheme)], names=["doc_id", "fp", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *_fingerprints(batch, scheme)[:2]], names=["doc_id", "fp", "node"])
     return pick(df, doc_id=id_col, text=text_col).mapInArrow(make, "doc_id long, fp binary, node long")
 
 
@@ -370,9 +316,11 @@ def near_groups(df: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_id", t
     """
     rows = written(fingerprints(df, scheme, id_col, text_col), "prints")
     each = rows.groupBy("node", "fp").agg(F.min("doc_id").alias("low"))
-    found = components(written(near_links(each, scheme), "near"))
-    if scheme.jaccard:
-        found = components(written(similar_links(df, rows, found, scheme, id_col, text_col), "similar"))
+    return named_groups(rows, each, components(written(near_links(each, scheme), "near")))
+
+
+def named_groups(rows: DataFrame, each: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, node) with root and component_id, from the nodes' smallest ids and the roots of those that have links."""
     member = each.join(found, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     named = written(member, "members")
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -383,28 +331,3 @@ def simhash_components(df: DataFrame, **columns) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: links at 4 or fewer of 64 bits."""
     found = near_groups(df, EXACT, **columns)
     return found.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(df: DataFrame, scheme: Scheme = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group stays, that of the smallest id, with all its columns.
-
-    Where a group has only null ids, or its smallest id on several rows, the row of the
-    smallest text among those stays.
-    """
-    found = near_groups(df, scheme, id_col=id_col, text_col=text_col)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("__rows")).withColumnRenamed("doc_id", "__id")
-    simple = stays.where("__rows = 1 AND __id IS NOT NULL").select("__id")
-    odd = stays.where("__rows > 1 OR __id IS NULL").select("__id")
-    once = df.join(simple, df[id_col] == simple["__id"], "left_semi")
-    rest = df.join(odd, df[id_col].eqNullSafe(odd["__id"]), "left_semi")
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, _fingerprints(batch, scheme, text_col)[1]], names=[*batch.schema.names, "__node"])
-    roots = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("node").alias("__node"), F.col("root").alias("__root")).distinct()
-    marked = rest.mapInArrow(mark, T.StructType([*df.schema.fields, T.StructField("__node", T.LongType())]))
-    order = F.row_number().over(Window.partitionBy("__root").orderBy(F.col(f"`{text_col}`")))
-    least = marked.join(roots, "__node").withColumn("__at", order).where("__at = 1")
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    return once.select(*columns).unionByName(least.select(*columns))
