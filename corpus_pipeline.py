@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchpost.llm import decontaminate, exact_dedup, packing, quality, simhash
+from watchpost.llm import decontaminate, exact_dedup, near_copies, packing, quality
 from watchpost.llm.common import read, written
 
 
@@ -17,9 +17,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.drop_exact_copies(docs, keep="largest")
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that SimHash over 5-word shingles finds 0.8 similar or more."""
-    return simhash.drop_near_copies(docs, simhash.SIMILAR)
+    return near_copies.drop_near_copies(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, room=1024)
 
 
-STAGES = [("quality classifier", good_quality), ("exact dedup", exact_copies), ("SimHash near-dedup", near_copies),
+STAGES = [("quality classifier", good_quality), ("exact dedup", exact_copies), ("SimHash near-dedup", without_near_copies),
           ("benchmark decontamination", benchmark_free), ("best-fit packing", packed)]
 #: Trained scores, fingerprints and token ids are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
