@@ -14,6 +14,7 @@ from watchpost.operators import ledger as LG
 from watchpost.operators import metrics as M
 from watchpost.operators import normalcy as N
 from watchpost.operators import profiling as P
+from watchpost.operators import reid as RE
 from watchpost.operators.matching import take_turns
 from watchpost.streaming import jobs as J
 
@@ -136,9 +137,9 @@ def test_weighted_pooled_gap_and_trials(spark):
     p = M.pooled_mot(s).first()
     assert p["mota"] == pytest.approx(round(1 - (40 - 35 + 41 - 35 + 1) / 40, 4)) and p["recall"] == 0.875
     r = spark.createDataFrame([("a", 0.9, 0.5), ("b", 0.6, 0.1)], "way string, rank1 double, map double")
-    g = M.modality_gap(r, "a", "b", "way").first()
+    g = RE.modality_gap(r, "a", "b", "way").first()
     assert g["rank1_drop"] == pytest.approx(0.3) and g["map_drop"] == pytest.approx(0.4)
-    t = M.mean_of_trials(r.withColumn("k", F.lit(1)), ["k"]).first()
+    t = RE.mean_of_trials(r.withColumn("k", F.lit(1)), ["k"]).first()
     assert (t["trials"], t["rank1"], t["map"]) == (2, pytest.approx(0.75), pytest.approx(0.3))
 
 
@@ -181,3 +182,52 @@ def test_matches_in_chunks_equal_whole_and_settle_fast(spark, monkeypatch):
         assert sorted(map(tuple, M.mot_matches(t, p, width=1, target_rows=target).collect())) == whole
         rounds[target] = (len(calls) - 3) // 2
     assert rounds[60] <= rounds[400] + 2  # seven times the chunks, hardly more rounds
+
+
+def plain_ranks(queries, gallery, junk):
+    out = {}
+    unit = lambda v: np.array(v) / max(np.linalg.norm(v), 1e-12)
+    for q, qi, qc, qv in queries:
+        row = [(-round(float(unit(qv) @ unit(v)), 10), g, gi) for g, gi, gc, v in gallery if not junk or not (gi == qi and gc == qc or gi in (0, -1))]
+        out.update({(q, g): n for n, (_, g, gi) in enumerate(sorted(row), 1) if gi == qi})
+    return out
+
+
+@pytest.mark.parametrize("junk", [True, False])
+@pytest.mark.parametrize("small", [True, False])
+def test_places_of_right_answers_from_counts(spark, monkeypatch, junk, small):
+    """Equal vectors, one identity that holds a third of all rows, nobodies; blocks of five rows and rows of three thresholds."""
+    if small:
+        for name, value in (("BLOCK", 5), ("CHUNK", 3), ("BLOCK_THRESHOLDS", 11)):
+            monkeypatch.setattr(RE, name, value)
+    r = random.Random(7)
+    vectors = [[float(r.randrange(-2, 3)) for _ in range(4)] for _ in range(25)]
+    rows = [(i, 7 if i % 3 == 0 else r.randrange(-1, 9), r.randrange(3), r.choice(vectors)) for i in range(90)]
+    table = lambda rs: spark.createDataFrame(rs, "vec_id long, identity int, camera int, vector array<float>").repartition(3)
+    queries, gallery = rows[::4], [x for k, x in enumerate(rows) if k % 4]
+    got = RE.ranked_answers(table(queries), table(gallery), junk)
+    want = plain_ranks(queries, gallery, junk)
+    assert {(x["q_id"], x["g_id"]): x["rank"] for x in got.collect()} == want and got.count() == len(want)
+    score = RE.reid_scores(got).first()
+    per = {}
+    for (q, _), n in sorted(want.items(), key=lambda x: x[1]):
+        per.setdefault(q, []).append(n)
+    assert score["queries"] == len(per) and score["rank1"] == pytest.approx(np.mean([n[0] == 1 for n in per.values()]))
+    assert score["map"] == pytest.approx(np.mean([np.mean([k / n for k, n in enumerate(ns, 1)]) for ns in per.values()]))
+
+
+def test_every_right_answer_is_placed_once(spark):
+    vector = ", ".join(f"CAST(xxhash64(id, {k}) % 1000 AS FLOAT)" for k in range(3))
+    rows = spark.range(400).selectExpr("id AS vec_id", "CAST(id % 40 AS INT) AS identity", "CAST(id % 3 AS INT) AS camera", f"array({vector}) AS vector")
+    queries, gallery = rows.where("vec_id div 40 % 2 = 0"), rows.where("vec_id div 40 % 2 = 1")
+    got = RE.ranked_answers(queries, gallery, junk=False)
+    assert got.count() == got.select("q_id", "g_id").distinct().count() == 40 * 5 * 5
+    assert got.groupBy("q_id").agg(F.countDistinct("rank").alias("n")).where("n <> 5").isEmpty()
+
+
+def test_trials_hold_all_crops_and_both_directions(spark):
+    crops = spark.range(300).selectExpr("id AS vec_id", "CAST(id % 30 AS INT) AS identity", "CAST((id div 30) % 2 AS INT) AS camera", "array(CAST(id % 7 AS FLOAT), CAST(1 AS FLOAT)) AS vector")
+    got = RE.trial_ranks(crops, range(4), F.col("camera") == 0, ("there", "back"))
+    per = {(x["trial"], x["direction"]): x["n"] for x in got.groupBy("trial", "direction").agg(F.countDistinct("q_id").alias("n")).collect()}
+    assert len(per) == 8 and all(per[t, "there"] == per[t, "back"] for t in range(4)) and len({per[t, "there"] for t in range(4)}) > 1
+    assert RE.trial_ranks(crops, [2], F.col("camera") == 0, ("there", "back")).groupBy("q_id", "direction").count().agg(F.min("count"), F.max("count")).first() == (5, 5)

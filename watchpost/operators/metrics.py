@@ -392,77 +392,3 @@ def link_regions(regions: DataFrame, min_iou: float = 0.3, width: int = 1 << 20,
         return out, json.dumps({"frame": prev, "live": live})
 
     return fold(rows, ["clip"], ["frame", "id"], step, "clip long, frame long, id string, track string")
-
-
-# --- re-identification -----------------------------------------------------------------------
-def similarity_rows(queries: DataFrame, gallery: DataFrame, kind: str = "embedding", block: int = 4096) -> DataFrame:
-    """Similarity of every query with every gallery vector, block by block.
-
-    Both sides are gathered into blocks of at most ``block`` vectors and each
-    pair of blocks is one matrix product inside a task, so the shuffle moves
-    blocks, not pairs.
-    """
-    def blocks(d, p):
-        key = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
-        n = F.greatest(F.lit(1), F.ceil(F.count("*") / block))
-        size = d.agg(n.cast("long").alias("_n"))
-        return d.crossJoin(F.broadcast(size)).withColumn("_blk", key % F.col("_n")).groupBy("_blk").agg(
-            F.collect_list(F.struct("vec_id", "identity", "camera", "vector")).alias(p)).drop("_blk")
-
-    pairs = blocks(queries, "q").crossJoin(blocks(gallery, "g"))
-
-    def product(batches):
-        for pdf in batches:
-            for qs, gs in zip(pdf["q"], pdf["g"]):
-                a = np.array([r["vector"] for r in qs], dtype=np.float64)
-                b = np.array([r["vector"] for r in gs], dtype=np.float64)
-                if kind == "embedding":
-                    a = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
-                    b = b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
-                    sim = a @ b.T
-                else:
-                    sim = np.stack([np.minimum(row, b).sum(axis=1) / 2.0 for row in a])
-                nq, ng = sim.shape
-                col = lambda rows, k: np.array([r[k] for r in rows])
-                yield pd.DataFrame({
-                    "q_id": np.repeat(col(qs, "vec_id"), ng), "q_identity": np.repeat(col(qs, "identity"), ng),
-                    "q_camera": np.repeat(col(qs, "camera"), ng), "g_id": np.tile(col(gs, "vec_id"), nq),
-                    "g_identity": np.tile(col(gs, "identity"), nq), "g_camera": np.tile(col(gs, "camera"), nq), "sim": sim.ravel()})
-
-    return pairs.mapInPandas(product, "q_id long, q_identity int, q_camera int, g_id long, g_identity int, g_camera int, sim double")
-
-
-def reid_scores(sims: DataFrame, junk: bool = True, group: Sequence[str] = (), gallery: DataFrame | None = None) -> DataFrame:
-    """Rank-1 and mean average precision per ``group`` of queries.
-
-    With ``junk``, same identity on the same camera and the distractor identities
-    0 and -1 leave the ranking.  Queries with no right answer are not scored.
-    ``gallery``, when given, bounds the ranking length without ranking twice.
-    """
-    s = sims
-    if junk:
-        s = s.where("NOT (g_identity = q_identity AND g_camera = q_camera) AND g_identity NOT IN (0, -1)")
-    key = [*group, "q_id"]
-    s = s.withColumns({"_hit": F.col("g_identity") == F.col("q_identity"), "_at": _place(-F.round(F.col("sim") * 1_000_000), F.col("g_id")), "_neg": -F.col("sim")})
-    s = running(with_chunks(s, key, "_at", 1000 << _LOW, bound=None if gallery is None else (gallery, [])), key, ["_at", "_neg", "g_id"], {"rank": ("count", F.lit(True)), "hits": ("count", F.col("_hit"))})
-    per = s.where("_hit").groupBy(*key).agg(F.min("rank").alias("_first"), F.avg(F.col("hits") / F.col("rank")).alias("_ap"))
-    agg = [F.count("*").alias("queries"), F.avg(F.when(F.col("_first") == 1, 1.0).otherwise(0.0)).alias("rank1"), F.avg("_ap").alias("map")]
-    return per.groupBy(*group).agg(*agg) if group else per.agg(*agg)
-
-
-def first_as_query(crops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """First crop of each identity queries, the rest is the gallery; lone crops go."""
-    firsts = crops.groupBy("identity").agg(F.min("vec_id").alias("_f"), F.count("*").alias("_n")).where("_n >= 2")
-    j = crops.join(firsts, "identity")
-    return j.where("vec_id = _f").drop("_f", "_n"), j.where("vec_id <> _f").drop("_f", "_n")
-
-
-def modality_gap(scores: DataFrame, base: str, other: str, group: str) -> DataFrame:
-    """Loss of rank-1 and mean average precision from the ``base`` row of ``group`` to the ``other``."""
-    of = lambda value, column: F.max(F.when(F.col(group) == value, F.col(column)))
-    return scores.agg(*[(of(base, c) - of(other, c)).alias(f"{c}_drop") for c in ("rank1", "map")])
-
-
-def mean_of_trials(scores: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Average of rank-1 and mean average precision over the trials of each group."""
-    return scores.groupBy(*group).agg(F.count("*").alias("trials"), F.avg("rank1").alias("rank1"), F.avg("map").alias("map"))

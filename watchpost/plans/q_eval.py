@@ -1,8 +1,6 @@
 """Queries for tracking, camera integrity and evaluation metrics."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,6 +9,7 @@ from ..operators import datasets as DS
 from ..operators import integrity as IN
 from ..operators import matching as MA
 from ..operators import metrics as M
+from ..operators import reid as RE
 from ..operators import tracking as TR
 from ..session import cut
 from ..values import Params
@@ -307,14 +306,14 @@ def _shown(df, *group):
 @query("eval_reid_junk_rules", _reid_sql("a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0", "NOT (gi = qi AND gc = qc) AND gi NOT IN (0, -1)"))
 def eval_reid_junk_rules(spark, sf):
     c = X.crops(spark, sf)
-    return _shown(M.reid_scores(M.similarity_rows(c.where("vec_id % 5 = 0"), c.where("vec_id % 5 <> 0")), gallery=c))
+    return _shown(RE.reid_scores(RE.ranked_answers(c.where("vec_id % 5 = 0"), c.where("vec_id % 5 <> 0"))))
 
 
 @query("eval_reid_first_query", _reid_sql(
     "a.vec_id IN (SELECT min(vec_id) FROM crops GROUP BY identity) AND b.vec_id NOT IN (SELECT min(vec_id) FROM crops GROUP BY identity)", "TRUE"))
 def eval_reid_first_query(spark, sf):
-    q, g = M.first_as_query(X.crops(spark, sf))
-    return _shown(M.reid_scores(M.similarity_rows(q, g), junk=False, gallery=g))
+    q, g = RE.first_as_query(X.crops(spark, sf))
+    return _shown(RE.reid_scores(RE.ranked_answers(q, g, junk=False)))
 
 
 @query("eval_reid_cross_modal", _reid_sql("a.camera % 2 <> b.camera % 2", "TRUE", "direction"))
@@ -326,11 +325,12 @@ def eval_reid_cross_modal(spark, sf):
 MODAL = _reid_sql("a.camera % 2 <> b.camera % 2", "TRUE", "direction")
 
 
+DIRECTIONS = ("visible_to_thermal", "thermal_to_visible")
+
+
 def _cross_modal(spark, sf):
     c = X.crops(spark, sf)
-    even, odd = c.where("camera % 2 = 0"), c.where("camera % 2 = 1")
-    return M.reid_scores(M.similarity_rows(even, odd).withColumn("direction", F.lit("visible_to_thermal")).unionByName(
-        M.similarity_rows(odd, even).withColumn("direction", F.lit("thermal_to_visible"))), junk=False, group=["direction"], gallery=c)
+    return RE.reid_scores(RE.both_directions(c.where("camera % 2 = 0"), c.where("camera % 2 = 1"), DIRECTIONS), ["direction"])
 
 
 @query("eval_modality_gap", f"""WITH s AS ({MODAL.replace('round(avg(CASE WHEN f = 1 THEN 1 ELSE 0 END), 6) AS rank1, round(avg(ap), 5) AS "map"', 'avg(CASE WHEN f = 1 THEN 1 ELSE 0 END) AS rank1, avg(ap) AS "map"')})
@@ -338,32 +338,32 @@ SELECT round(a.rank1 - b.rank1, 4) AS rank1_drop, round(a."map" - b."map", 4) AS
 WHERE a.direction = 'visible_to_thermal' AND b.direction = 'thermal_to_visible'""")
 def eval_modality_gap(spark, sf):
     """What is lost between the two directions of matching across modalities."""
-    g = M.modality_gap(_cross_modal(spark, sf), "visible_to_thermal", "thermal_to_visible", "direction")
+    g = RE.modality_gap(_cross_modal(spark, sf), *DIRECTIONS, "direction")
     return g.select(F.round("rank1_drop", 4).alias("rank1_drop"), F.round("map_drop", 4).alias("map_drop"))
 
 
 TRIALS = 3
+IN_TRIAL = "substr(sha256(CAST(t AS VARCHAR) || '|' || CAST({} AS VARCHAR)), 1, 1) < '8'"
 
 
-@query("eval_reid_trials", X.with_sql(X.CROPS, SIM.replace("{where}", f"a.camera % 2 = 0 AND b.camera % 2 = 1 AND a.vec_id % {TRIALS} = b.vec_id % {TRIALS}")) + f""", rk AS (SELECT *, q % {TRIALS} AS trial, gi = qi AS hit FROM sm),
-r2 AS (SELECT *, row_number() OVER w AS n, count(*) FILTER (hit) OVER w AS h FROM rk WINDOW w AS (PARTITION BY q ORDER BY round(sim, 6) DESC, sim DESC, g ROWS UNBOUNDED PRECEDING)),
-pq AS (SELECT trial, q, min(n) AS f, avg(h / n) AS ap FROM r2 WHERE hit GROUP BY trial, q), t AS (SELECT trial, avg(CASE WHEN f = 1 THEN 1 ELSE 0 END) AS r, avg(ap) AS m FROM pq GROUP BY trial)
-SELECT count(*) AS trials, round(avg(r), 4) AS rank1, round(avg(m), 4) AS "map" FROM t""")
+@query("eval_reid_trials", X.with_sql(X.CROPS, SIM.replace("{where}", "a.camera % 2 <> b.camera % 2")) + f""", rk AS (SELECT *, gi = qi AS hit, {GROUPS['direction']}
+ FROM sm, (SELECT unnest(range({TRIALS})) AS t) AS tr WHERE {IN_TRIAL.format('qi')} AND {IN_TRIAL.format('gi')}),
+r2 AS (SELECT *, row_number() OVER w AS n, count(*) FILTER (hit) OVER w AS h FROM rk WINDOW w AS (PARTITION BY t, q ORDER BY round(sim, 6) DESC, sim DESC, g ROWS UNBOUNDED PRECEDING)),
+pq AS (SELECT t, direction, q, min(n) AS f, avg(h / n) AS ap FROM r2 WHERE hit GROUP BY t, direction, q),
+s AS (SELECT t, direction, avg(CASE WHEN f = 1 THEN 1 ELSE 0 END) AS r, avg(ap) AS m FROM pq GROUP BY t, direction)
+SELECT direction, count(*) AS trials, round(avg(r), 4) AS rank1, round(avg(m), 4) AS "map" FROM s GROUP BY direction""")
 def eval_reid_trials(spark, sf):
-    """The protocol of repeated trials: each crop belongs to one, scores are averaged over them."""
-    c = X.crops(spark, sf)
-    of = lambda t, side: c.where((F.col("vec_id") % TRIALS == t) & (F.col("camera") % 2 == side))
-    sims = reduce(DataFrame.unionByName, [M.similarity_rows(of(t, 0), of(t, 1)).withColumn("trial", F.lit(t)) for t in range(TRIALS)])
-    m = M.mean_of_trials(M.reid_scores(sims, junk=False, group=["trial"], gallery=c).withColumn("all_trials", F.lit(1)), ["all_trials"])
-    return m.select("trials", F.round("rank1", 4).alias("rank1"), F.round("map", 4).alias("map"))
+    """Repeated trials over all crops: each draws its identities, scores both directions, and scores are averaged."""
+    ranks = RE.trial_ranks(X.crops(spark, sf), range(TRIALS), F.col("camera") % 2 == 0, DIRECTIONS)
+    m = RE.mean_of_trials(RE.reid_scores(ranks, ["trial", "direction"]), ["direction"])
+    return m.select("direction", "trials", F.round("rank1", 4).alias("rank1"), F.round("map", 4).alias("map"))
 
 
 @query("eval_similarity_best", X.with_sql(X.CROPS, SIM.replace("{where}", "a.vec_id % 7 = 0 AND b.vec_id % 7 <> 0")) + """SELECT q AS q_id, count(*) AS compared,
  round(max(sim), 5) AS best FROM sm GROUP BY q""")
 def eval_similarity_best(spark, sf):
     c = X.crops(spark, sf)
-    s = M.similarity_rows(c.where("vec_id % 7 = 0"), c.where("vec_id % 7 <> 0"))
-    return s.groupBy("q_id").agg(F.count("*").alias("compared"), F.round(F.max("sim"), 5).alias("best"))
+    return RE.best_matches(c.where("vec_id % 7 = 0"), c.where("vec_id % 7 <> 0")).select("q_id", "compared", F.round("best", 5).alias("best"))
 
 
 # --- splits ------------------------------------------------------------------------------------------
