@@ -22,15 +22,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.streaming import StatefulProcessor
 
-from ..session import cut
+from ..session import cut, timers
 from .ordered import CHUNK
 
 Step = Callable[[pd.DataFrame, "str | None"], "tuple[pd.DataFrame, str]"]
 
 
 def fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step,
-         schema: str, part: Column | None = None) -> DataFrame:
+         schema: str, part: Column | None = None, resume: DataFrame | None = None, ttl_s: float | None = None) -> DataFrame:
     """Fold ``step`` over each key in ``order``; see ``with_chunks``.
 
     ``step(chunk_rows, state)`` gets one chunk sorted by ``order`` and the JSON
@@ -43,7 +44,24 @@ def fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step,
     where a row touches no part) the state is a JSON object by part: a chunk gets
     the latest value of the parts its own rows name, returns only those it set,
     and runs again only when one of *them* changed.
+
+    On a stream the state lives in the state store.  ``resume`` (the keys and state, as
+    ``last_states`` gives them) is what the keys start from, so a stream can take over where
+    a batch ended; with ``ttl_s`` the state of a key that stays silent for so long is dropped.
     """
+    if rows.isStreaming:
+        fields = [p.strip().rsplit(" ", 1)[0].strip("`") for p in _split(schema)]
+        return _fold_stream(rows, list(keys), list(order), step, schema, fields, part is not None, resume, ttl_s)
+    return _fold_batch(rows, keys, order, step, schema, part)[0]
+
+
+def last_states(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, schema: str, part: Column | None = None) -> DataFrame:
+    """The keys with the state (JSON) that ``fold`` over these rows ends in."""
+    return _fold_batch(rows, keys, order, step, schema, part)[1]
+
+
+def _fold_batch(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, schema: str, part: Column | None) -> tuple[DataFrame, DataFrame]:
+    """Output rows, and the last state of each key."""
     keys, order = list(keys), list(order)
     names = [*keys, CHUNK]
     fields = [p.strip().rsplit(" ", 1)[0].strip("`") for p in _split(schema)]
@@ -53,15 +71,17 @@ def fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step,
     full += "".join(f", {k} {key_types[k]}" for k in missing)
     columns = [*fields, CHUNK, "_state", "_mark", *missing]
 
-    if rows.isStreaming:
-        return _fold_stream(rows, keys, order, step, schema, fields, part is not None)
-
     def run_whole(pdf: pd.DataFrame) -> pd.DataFrame:
         out, _ = step(pdf.sort_values(order, kind="stable"), None)
         return out[fields]
 
+    def end_whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, state = step(pdf.sort_values(order, kind="stable"), None)
+        return pdf[keys].head(1).assign(state=state)
+
     if CHUNK not in rows.columns:      # every key is bounded: one lazy pass
-        return rows.groupBy(*keys).applyInPandas(run_whole, schema)
+        ends = ", ".join(f"{k} {key_types[k]}" for k in keys) + ", state string"
+        return rows.groupBy(*keys).applyInPandas(run_whole, schema), rows.groupBy(*keys).applyInPandas(end_whole, ends)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         state = right["_in"].iloc[0] if len(right) else None
@@ -111,7 +131,14 @@ def fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step,
     if round_no:
         final = states.groupBy(*names).agg(F.max("_round").alias("_round"))
         everything = everything.join(final, [*names, "_round"], "left_semi")
-    return everything.where("not _mark").select(*fields)
+    now = states.groupBy(*names).agg(F.max_by("_state", "_round").alias("state"))
+    if part is None:
+        ends = now.groupBy(*keys).agg(F.max_by("state", CHUNK).alias("state"))
+    else:
+        each = now.select(*names, F.explode(F.from_json("state", "map<string,string>")).alias("_part", "_value"))
+        last = each.groupBy(*keys, "_part").agg(F.max_by("_value", CHUNK).alias("_value"))
+        ends = last.groupBy(*keys).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_part", "_value"))))).alias("state"))
+    return everything.where("not _mark").select(*fields), ends
 
 
 def _carried(held: DataFrame, now: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
@@ -123,22 +150,51 @@ def _carried(held: DataFrame, now: DataFrame, keys: list[str], names: list[str])
     return seen.groupBy(*names).agg(entries.alias("_e")).select(*names, F.when(F.size("_e") > 0, F.to_json(F.map_from_entries("_e"))).alias("_in"))
 
 
-def _fold_stream(rows, keys, order, step, schema, fields, by_part=False) -> DataFrame:
+class _Resumed(StatefulProcessor):
+    """``step`` per key, from a given state on."""
+
+    def __init__(self, fold_rows: Callable, ttl_ms: int | None) -> None:
+        self.fold_rows, self.ttl_ms = fold_rows, ttl_ms
+
+    def init(self, handle) -> None:
+        self.saved = handle.getValueState("state", "state string", self.ttl_ms)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.saved.update((initialState["state"].iloc[0],))
+
+    def handleInputRows(self, key, rows, timerValues):
+        out, new = self.fold_rows(rows, self.saved.get()[0] if self.saved.exists() else None)
+        self.saved.update((new,))
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def _fold_stream(rows, keys, order, step, schema, fields, by_part=False, resume=None, ttl_s=None) -> DataFrame:
     """The same step over a stream: its JSON state lives in the state store.
 
     Rows of one micro-batch are put in order; a row that arrives in a later batch
     is folded then, as a node that reconnects late would be.
     """
-    def run(_, batches, state):
+    def fold_rows(batches, saved):
         pdf = pd.concat(list(batches), ignore_index=True)
-        saved = state.get[0] if state.exists else None
         out, new = step(pdf.sort_values(order, kind="stable").reset_index(drop=True), saved)
         if by_part and saved:
             new = json.dumps({**json.loads(saved), **json.loads(new)}, sort_keys=True)
-        state.update((new,))
-        yield out[fields]
+        return out[fields], new
 
-    return rows.groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", "NoTimeout")
+    def run(_, batches, state):
+        out, new = fold_rows(batches, state.get[0] if state.exists else None)
+        state.update((new,))
+        yield out
+
+    if resume is None and ttl_s is None:
+        return rows.groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", "NoTimeout")
+    timers(rows.sparkSession)
+    start = None if resume is None else resume.select(*keys, "state").groupBy(*keys)
+    return rows.groupBy(*keys).transformWithStateInPandas(
+        _Resumed(fold_rows, None if ttl_s is None else int(ttl_s * 1000)), schema, "append", "none" if ttl_s is None else "processingTime", start)
 
 
 def _split(schema: str) -> list[str]:

@@ -9,23 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..values import DEFAULTS, Params
-from .fold import fold
+from .fold import fold, last_states
 from .ordered import running, trailing_counts, with_chunks
 
 HOUR_US = 3_600_000_000
 RANK_CRITICAL = 4
 
 
-def ration(events: DataFrame, params: Params = DEFAULTS, width: int = 24 * HOUR_US,
-           target_rows: int = 400_000) -> DataFrame:
-    """Decide every event of a node in time order.
+RATION = "node_id string, event_id long, ts_us long, alerted boolean, threshold double, alerts_last_hour long"
 
-    Needs ``node_id, event_id, ts_us, score, rank``.  Critical events always
-    alert but still use budget.  Returns the keys with ``alerted``,
-    ``threshold`` after adapting, and ``alerts_last_hour`` seen at decision time.
-    """
-    rows = with_chunks(events.select("node_id", "event_id", "ts_us", "score", "rank"),
-                       ["node_id"], "ts_us", width, target_rows)
+
+def _ration_step(params: Params):
     budget = max(1, params.budget_per_hour)
     floor, ceiling = params.floor, params.ceiling
 
@@ -53,10 +47,28 @@ def ration(events: DataFrame, params: Params = DEFAULTS, width: int = 24 * HOUR_
             alerted=alerted, threshold=bars, alerts_last_hour=recent)
         end = int(pdf["ts_us"].iloc[-1])
         return out, json.dumps({"bar": bar, "rung": [t for t in rung if t >= end - HOUR_US]})
+    return step
+
+
+def _ration_rows(events: DataFrame, width: int, target_rows: int) -> DataFrame:
+    return with_chunks(events.select("node_id", "event_id", "ts_us", "score", "rank"), ["node_id"], "ts_us", width, target_rows)
+
+
+def ration(events: DataFrame, params: Params = DEFAULTS, width: int = 24 * HOUR_US, target_rows: int = 400_000,
+           resume: DataFrame | None = None, ttl_s: float | None = None) -> DataFrame:
+    """Decide every event of a node in time order.
+
+    Needs ``node_id, event_id, ts_us, score, rank``.  Critical events always
+    alert but still use budget.  Returns the keys with ``alerted``,
+    ``threshold`` after adapting, and ``alerts_last_hour`` seen at decision time.
+    A stream starts from ``resume``, the ``ration_states`` of what a batch has decided.
+    """
+    return fold(_ration_rows(events, width, target_rows), ["node_id"], ["ts_us", "event_id"], _ration_step(params), RATION, resume=resume, ttl_s=ttl_s)
+
 
-    return fold(rows, ["node_id"], ["ts_us", "event_id"], step,
-                "node_id string, event_id long, ts_us long, alerted boolean, "
-                "threshold double, alerts_last_hour long")
+def ration_states(events: DataFrame, params: Params = DEFAULTS, width: int = 24 * HOUR_US, target_rows: int = 400_000) -> DataFrame:
+    """node_id and state: the bar and the alerts of the last hour after these events."""
+    return last_states(_ration_rows(events, width, target_rows), ["node_id"], ["ts_us", "event_id"], _ration_step(params), RATION)
 
 
 def status(decided: DataFrame, width: int = 24 * HOUR_US) -> DataFrame:

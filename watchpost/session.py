@@ -35,6 +35,11 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def timers(spark: SparkSession) -> None:
+    """State with timers, time to live or an initial state needs a store with column families."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for cut lineage: the cluster's ``spark.checkpoint.dir`` when it names
     one.  Only a local session (tests) gets a folder of its own.
