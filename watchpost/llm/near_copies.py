@@ -39,7 +39,8 @@ def _part(n: str, salt: int) -> F.Column:
 def with_pivots(rows: DataFrame) -> DataFrame:
     """Rows of ``n`` parts as tiles (part, own): each part with all its rows and those of part 0, which are not its own."""
     part = _part("n", 2)
-    places = F.when(part == 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("n"), F.lit(1)) - 1), lambda k: F.struct(k.alias("part"), (k == 0).alias("own")))).otherwise(
+    one = F.array(F.struct(F.lit(0).alias("part"), F.lit(True).alias("own")))  # most groups are one part: no lambda runs for them
+    places = F.when(F.col("n") <= 1, one).when(part == 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("n"), F.lit(1)) - 1), lambda k: F.struct(k.alias("part"), (k == 0).alias("own")))).otherwise(
         F.array(F.struct(part.alias("part"), F.lit(True).alias("own"))))
     return rows.withColumn("tile", F.explode(places)).select(*[c for c in rows.columns if c != "n"], "tile.part", "tile.own")
 
@@ -54,7 +55,9 @@ def across_labels(rows: DataFrame) -> DataFrame:
     own = F.when(F.col("big"), small + _part("n_big", 3)).otherwise(_part("n_small", 3)).cast("int")
     upto = F.when(F.col("big") & F.col("one_big"), small).otherwise(every)
     other = F.when(upto > 0, F.sequence(F.lit(0), F.greatest(upto.cast("int"), F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
-    places = F.transform(other, lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"), (own > k).cast("int").alias("side")))
+    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))
+    places = F.when((every <= 1) & ~F.col("big"), one).otherwise(
+        F.transform(other, lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"), (own > k).cast("int").alias("side"))))
     return rows.withColumn("tile", F.explode(places)).select(*[c for c in rows.columns if c not in ("n_small", "n_big", "one_big", "big")], "tile.i", "tile.j", "tile.side")
 
 
@@ -74,35 +77,53 @@ def with_labels(nodes: DataFrame, found: DataFrame, tile_rows: int) -> DataFrame
         *nodes.columns, F.coalesce("root", "node").alias("label"), F.coalesce("big", F.lit(False)).alias("big"))
 
 
-def _tiles(rows: DataFrame, keys: list[str], first: str, work, wide: bool) -> DataFrame:
-    """Links a < b that ``work(columns)`` finds in each tile of ``keys``; rows with ``first`` lead a tile."""
-    names = rows.columns
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, F.col(first).desc())
+def _tiles(rows: DataFrame, keys: list[str], work) -> DataFrame:
+    """Links a < b that ``work(columns)`` finds in each tile of ``keys``; rows marked ``lead`` come first in a tile.
 
-    def links(held: list) -> pa.RecordBatch:
-        a, b = work({c: np.concatenate([h[k] for h in held]) for k, c in enumerate(names)})
+    Tiles of one row, without a leading row or with one label alone are passed over.
+    """
+    names = rows.columns
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, F.col("lead").desc())
+
+    def links(columns: list[np.ndarray], change: np.ndarray) -> pa.RecordBatch:
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(columns[0])]
+        lead, label = columns[names.index("lead")], columns[names.index("label")] if "label" in names else None
+        found = [(np.zeros(0, np.int64),) * 2]
+        for start, stop in zip(cuts[:-1], cuts[1:]):
+            if stop - start > 1 and lead[start] and (label is None or (label[start + 1:stop] != label[start]).any()):
+                found.append(work({c: v[start:stop] for c, v in zip(names, columns)}))
+        a, b = (np.concatenate(x) for x in zip(*found))
         return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
+    def changes(columns: list[np.ndarray]) -> np.ndarray:
+        """Whether the row after each row is of another tile."""
+        change = np.zeros(max(0, len(columns[0]) - 1), bool)
+        for c in keys:
+            k = columns[names.index(c)]
+            change |= k[1:] != k[:-1]
+        return change
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, tile = [], None
+        held: list[list[np.ndarray]] = []  # of the last tile, which may go on
         for batch in batches:
             columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
             if not len(columns[0]):
                 continue
-            change = np.zeros(batch.num_rows, bool)
-            for k in (columns[names.index(c)] for c in keys):
-                change[1:] |= k[1:] != k[:-1]
-            cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-            for start, stop in zip(cuts[:-1], cuts[1:]):
-                at = tuple(columns[names.index(c)][start] for c in keys)
-                if at != tile and held:
-                    if sum(len(h[0]) for h in held) > 1:
-                        yield links(held)
-                    held = []
-                tile = at
-                held.append([c[start:stop] for c in columns])
-        if held and sum(len(h[0]) for h in held) > 1:
-            yield links(held)
+            change = changes(columns)
+            same = held and all(held[-1][names.index(c)][-1] == columns[names.index(c)][0] for c in keys)
+            if held and (not same or change.any()):  # the held tile ends in this batch
+                first = (int(np.flatnonzero(change)[0]) + 1 if change.any() else len(columns[0])) if same else 0
+                whole = [np.concatenate([*(h[k] for h in held), c[:first]]) for k, c in enumerate(columns)]
+                yield links(whole, changes(whole))
+                held, columns, change = [], [c[first:] for c in columns], change[first:]
+            if not held and change.any():
+                last = int(np.flatnonzero(change)[-1]) + 1
+                yield links([c[:last] for c in columns], change[:last - 1])
+                columns = [c[last:] for c in columns]
+            held.append(columns)
+        if held:
+            whole = [np.concatenate([h[k] for h in held]) for k in range(len(names))]
+            yield links(whole, changes(whole))
     return dealt.mapInArrow(compare, "a long, b long")
 
 
@@ -149,12 +170,12 @@ def candidates(each: DataFrame, scheme: Scheme = SIMILAR, tile_rows: int = 2048)
     crowd = once.groupBy("choice", "anchor").agg(parts(F.lit(True)).alias("n")).where("n > 1")
     dealt = with_pivots(once.join(F.broadcast(crowd), ["choice", "anchor"], "left").withColumn("n", F.coalesce("n", F.lit(1))))
     dealt = dealt.select("choice", "anchor", "part", "node", F.col("own").alias("lead"), *check)
-    found = _joined(None, _tiles(dealt, ["choice", "anchor", "part"], "lead", work, False))
+    found = _joined(None, _tiles(dealt, ["choice", "anchor", "part"], work))
     labelled = written(with_labels(each.select("node", "fp"), found, tile_rows), "labelled")
     every = covered(labelled, len(scheme.fields), False, ["label", "big"])
     mixed = _group_parts(every, ["choice", "anchor"], parts)
     dealt = across_labels(every.join(F.broadcast(mixed), ["choice", "anchor"])).select("choice", "anchor", "i", "j", "side", "node", "label", F.col("home").alias("lead"), *check)
-    return _joined(found, _tiles(dealt, ["choice", "anchor", "i", "j"], "lead", work, False))
+    return _joined(found, _tiles(dealt, ["choice", "anchor", "i", "j"], work))
 
 
 def similar(df: DataFrame, rows: DataFrame, groups: DataFrame, scheme: Scheme = SIMILAR, id_col: str = "doc_id", text_col: str = "text",
@@ -191,14 +212,14 @@ def similar(df: DataFrame, rows: DataFrame, groups: DataFrame, scheme: Scheme =
     crowded = groups.join(crowd, "root").select("node", "n")
     dealt = with_pivots(sets.join(crowded, "node", "left").withColumn("n", F.coalesce("n", F.lit(1))))
     dealt = dealt.select("root", "part", "node", F.col("own").alias("lead"), "bits", "shingles")
-    found = _joined(None, _tiles(dealt, ["root", "part"], "lead", work, True))
+    found = _joined(None, _tiles(dealt, ["root", "part"], work))
     labelled = written(with_labels(weights.join(crowd.select("root"), "root", "left_semi").select("node", F.col("root").alias("within"), "weight"), found, tile_rows), "labelled")
     if labelled.isEmpty():  # every group was one part: round one has compared all
         return found
     mixed = _group_parts(labelled, ["within"], parts)
     still = labelled.join(mixed, "within").select("node", "label", "big", "n_small", "n_big", "one_big")
     dealt = across_labels(sets.join(still, "node")).select("root", "i", "j", "side", "node", "label", (F.col("side") == 0).alias("lead"), "bits", "shingles")
-    return _joined(found, _tiles(dealt, ["root", "i", "j"], "lead", work, True))
+    return _joined(found, _tiles(dealt, ["root", "i", "j"], work))
 
 
 def near_groups(df: DataFrame, scheme: Scheme = SIMILAR, id_col: str = "doc_id", text_col: str = "text", **tiles) -> DataFrame:

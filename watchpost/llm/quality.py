@@ -45,7 +45,9 @@ def features(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     n = np.maximum(np.bincount(row, minlength=rows), 1)
     slot = (h >> np.uint64(53)).astype(np.int64)
     counts = np.bincount(row * WORDS + slot, minlength=rows * WORDS).reshape(rows, WORDS)
-    out[:, :WORDS] = np.log1p(100 * counts / n[:, None]) / 4
+    np.multiply(counts, (100 / n[:, None]).astype(np.float32), out=out[:, :WORDS], casting="unsafe")
+    np.log1p(out[:, :WORDS], out=out[:, :WORDS])
+    out[:, :WORDS] /= 4
     # equal neighbours, also two and three words apart, and words seen before in the text
     same = np.zeros(rows)
     for gap in (1, 2, 3):
@@ -141,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
 def _scores(batch: pa.RecordBatch, model: FactorisationMachine | None, text_col: str) -> np.ndarray:
     found = [np.zeros(0)]
-    for part in portions(batch, text_col, 2 << 20, 500):
+    for part in portions(batch, text_col, 512 << 10, 128):  # a worker's scratch memory is some hundred bytes per byte of text
         found.append(model.score(features(*flat(part, text_col))) if model is not None else np.ones(part.num_rows))
     return np.concatenate(found)
 

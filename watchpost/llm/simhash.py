@@ -197,6 +197,9 @@ def _forest(bits: np.ndarray, n_homes: int, threshold: int, by: int = 256, test=
     for at in range(0, n_homes, by):
         block = slice(at, min(at + by, n_homes))
         linked = sum(np.bitwise_count(bits[block, k, None] ^ bits[None, :, k]).astype(np.int16) for k in range(bits.shape[1])) <= threshold
+        linked[np.arange(len(linked)), at + np.arange(len(linked))] = False
+        if not linked.any():
+            continue
         linked &= label[block, None] != label[None, :]
         if side is not None:
             linked &= side[block, None] != side[None, :]
