@@ -15,6 +15,7 @@ from watchpost.operators import metrics as M
 from watchpost.operators import normalcy as N
 from watchpost.operators import profiling as P
 from watchpost.operators import reid as RE
+from watchpost.operators import slopes as SL
 from watchpost.operators.matching import take_turns
 from watchpost.streaming import jobs as J
 
@@ -36,6 +37,31 @@ def test_median_slope_of_all_pairs(spark, seed, size):
         assert got[c]["intercept"] == pytest.approx(statistics.median(y - slope * x for x, y in own), abs=1e-8)
 
 
+def test_median_slope_over_many_tasks(spark):
+    """A camera parted in chunks and buckets, with a crowded foot row and a crowded line, fits as in one task."""
+    r = random.Random(9)
+    line = [(0, float(x), 2.0 * x + 1) for x in range(40)]
+    rows = [(0, r.uniform(0, 50), r.uniform(0, 90)) for _ in range(150)] + [(0, 17.0, r.uniform(0, 90)) for _ in range(120)] + line * 2
+    rows += [(1, float(r.randrange(6)), float(r.randrange(9))) for _ in range(60)] + [(2, 5.0, float(k)) for k in range(50)]
+    df = spark.createDataFrame(rows, "camera_id int, foot_v double, px_height double")
+    whole = {x["camera_id"]: x for x in P.line_fit(df).collect()}
+    parted = {x["camera_id"]: x for x in P.line_fit(df, task_points=30).collect()}
+    assert set(whole) == set(parted) == {0, 1}
+    for c in (0, 1):
+        assert parted[c]["slope"] == pytest.approx(whole[c]["slope"], abs=1e-11) and parted[c]["intercept"] == pytest.approx(whole[c]["intercept"], abs=1e-9)
+
+
+@pytest.mark.parametrize("slope", [-1.5, 0.0, 0.31, 2.0])
+def test_pairs_counted_by_chunk_and_bucket(spark, slope):
+    r = random.Random(5)
+    pts = sorted({(float(r.randrange(15)), float(r.randrange(12))) for _ in range(90)} | {(float(x), 2.0 * x) for x in range(9)})
+    own = [(1, x, y, r.randrange(1, 4)) for x, y in pts]
+    want = sum(a[3] * b[3] for a in own for b in own if a[1] < b[1] and b[2] - slope * b[1] <= a[2] - slope * a[1])
+    points = spark.createDataFrame(own, "camera_id int, x double, y double, n long").withColumn("chunk", SL._between(F.col("x"), F.array(F.lit(3.0), F.lit(7.0), F.lit(7.5))))
+    trials = spark.createDataFrame([(1, 0, slope, [(x, y) for x, y in pts[::9]], 4)], "camera_id int, trial int, slope double, sampled array<struct<x:double,y:double>>, parts int")
+    assert [int(x["pairs"]) for x in SL.counted(points, trials).collect()] == [want]
+
+
 def test_no_steeper_counts_pairs():
     rng = np.random.default_rng(0)
     p = sorted({(float(a), float(b)) for a, b in rng.integers(0, 8, (30, 2))})
@@ -43,7 +69,7 @@ def test_no_steeper_counts_pairs():
     x, y = np.array([a for a, _ in p]), np.array([b for _, b in p])
     for slope in (-2.0, -0.3, 0.0, 0.37, 5.0):
         want = sum(int(n[i] * n[j]) for i in range(len(p)) for j in range(i + 1, len(p)) if x[i] < x[j] and (y[j] - y[i]) <= slope * (x[j] - x[i]))
-        assert P.no_steeper(x, y, n, slope) == want
+        assert SL.no_steeper(x, y, n, slope) == want
 
 
 def test_as_of(spark, hot):

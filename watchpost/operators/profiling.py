@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import dori_density, dori_of_density
 from ..values import CAPABILITY_RULES, DEFAULTS, ROLE_CAPABILITIES, Params
+from ..session import cut
 from .ordered import quantiles
+from .slopes import median_lines, median_slope, weighted_median
 
 
 # --- measurements -------------------------------------------------------------------
@@ -63,15 +65,17 @@ def readiness(frames: DataFrame, lever: DataFrame, params: Params = DEFAULTS) ->
         fit | (F.col("frames") >= params.min_frames * params.deadline_factor)))
 
 
-def line_fit(samples: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+def line_fit(samples: DataFrame, params: Params = DEFAULTS, task_points: int = 500_000) -> DataFrame:
     """Median of the slopes of all pairs of samples, then median intercept, per camera.
 
     Samples are first counted by (foot row, height) with partial sums, so repeats on the pixel
     grid cost nothing.  No pair is listed: for a trial slope the pairs that are no steeper
-    are counted by sorting, and bisection closes in on the middle one to the last bits.  A
-    task holds the different points of one camera.
+    are counted, and bisection closes in on the middle one to the last bits.  A camera of at
+    most ``task_points`` different points is bisected within a task; a larger one in jobs that
+    count over all of the cluster (``slopes.median_lines``).  Both count every pair.
     """
-    points = samples.groupBy("camera_id", "foot_v", "px_height").agg(F.count("*").alias("n"))
+    points = cut(samples.where("foot_v IS NOT NULL AND px_height IS NOT NULL").groupBy("camera_id", "foot_v", "px_height").agg(F.count("*").alias("n")))
+    large = points.groupBy("camera_id").count().where(F.col("count") > task_points).select("camera_id")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values(["foot_v", "px_height"], kind="stable")
@@ -80,52 +84,10 @@ def line_fit(samples: DataFrame, params: Params = DEFAULTS) -> DataFrame:
         out = pd.DataFrame({"camera_id": p["camera_id"].iloc[:1]})
         return out.assign(slope=slope, intercept=weighted_median(y - slope * x, n)) if slope is not None else out.iloc[:0].assign(slope=0.0, intercept=0.0)
     kind = samples.schema["camera_id"].dataType.simpleString()
-    return points.groupBy("camera_id").applyInPandas(fit, f"camera_id {kind}, slope double, intercept double")
-
-
-def weighted_median(values: np.ndarray, n: np.ndarray) -> float:
-    """Middle value (mean of the two middle ones) of values that occur ``n`` times."""
-    order = np.argsort(values, kind="stable")
-    upto = np.cumsum(n[order])
-    low, high = (int(upto[-1]) - 1) // 2, int(upto[-1]) // 2
-    return float(values[order][np.searchsorted(upto, low, "right")] + values[order][np.searchsorted(upto, high, "right")]) / 2
-
-
-def no_steeper(x: np.ndarray, y: np.ndarray, n: np.ndarray, slope: float) -> int:
-    """How many pairs of samples with different ``x`` (points in order of x, then y) have at most this slope."""
-    rest, total, width = y - slope * x, 0, 1
-    _, rank = np.unique(rest, return_inverse=True)
-    place = np.arange(len(x))
-    while width < len(x):
-        block, right = place // (2 * width), (place // width) % 2 == 1
-        order = np.lexsort((~right, rank, block))  # of equal rests the right one counts for the left one
-        seen = np.cumsum(np.where(right[order], n[order], 0))
-        start = np.concatenate([[0], seen])[np.searchsorted(block[order], block[order], "left")]
-        left = ~right[order]
-        total += int((n[order][left] * (seen - start)[left]).sum())
-        width *= 2
-    return total
-
-
-def median_slope(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float | None:
-    """Median of the slopes of all pairs with different ``x``; None where there is no such pair."""
-    _, first = np.unique(x, return_index=True)
-    per_x = np.add.reduceat(n, first).astype(object)
-    pairs = int((int(n.sum()) ** 2 - int((per_x ** 2).sum())) // 2)
-    if not pairs:
-        return None
-
-    def nth(k: int) -> float:
-        low, high = -1.0, 1.0
-        while no_steeper(x, y, n, low) >= k:
-            low *= 4
-        while no_steeper(x, y, n, high) < k:
-            high *= 4
-        while high - low > 1e-13 * max(1.0, abs(low), abs(high)):
-            middle = (low + high) / 2
-            low, high = (low, middle) if no_steeper(x, y, n, middle) >= k else (middle, high)
-        return high
-    return nth((pairs + 1) // 2) if pairs % 2 else (nth(pairs // 2) + nth(pairs // 2 + 1)) / 2
+    small = points.join(large, "camera_id", "left_anti").groupBy("camera_id").applyInPandas(fit, f"camera_id {kind}, slope double, intercept double")
+    if large.isEmpty():
+        return small
+    return small.unionByName(median_lines(points.join(large, "camera_id", "left_semi"), task_points))
 
 
 def ground_plane(samples: DataFrame, params: Params = DEFAULTS) -> DataFrame:
