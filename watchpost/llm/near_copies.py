@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free_name, pick, portions, texts, written
-from .components import components, contract
+from .components import components
 from .simhash import SIMILAR, Scheme, _fingerprints, _forest, _majority, _similar, anchors, digest, named_groups, shingles
 
 #: Fields of the first round; only homes take part in it.
@@ -82,7 +82,7 @@ def _tiles(rows: DataFrame, keys: list[str], work) -> DataFrame:
 
     Tiles of one row, without a leading row or with one label alone are passed over.
     """
-    names = rows.columns
+    names, step = rows.columns, 512 if "shingles" in rows.columns else 1 << 14
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, F.col("lead").desc())
 
     def links(columns: list[np.ndarray], change: np.ndarray) -> pa.RecordBatch:
@@ -105,7 +105,7 @@ def _tiles(rows: DataFrame, keys: list[str], work) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []  # of the last tile, which may go on
-        for batch in batches:
+        for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
             columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
             if not len(columns[0]):
                 continue
@@ -129,7 +129,7 @@ def _tiles(rows: DataFrame, keys: list[str], work) -> DataFrame:
 
 def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
     """Roots of all nodes linked so far (node, root)."""
-    links = written(contract(links), "links")
+    links = written(links, "links")
     if found is not None:
         if links.isEmpty():
             return found
@@ -190,7 +190,7 @@ def similar(df: DataFrame, rows: DataFrame, groups: DataFrame, scheme: Scheme =
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in portions(batch):
+            for part in portions(batch, limit=1 << 20):
                 sets = [shingles(t, scheme) for t in texts(part)]
                 yield pa.RecordBatch.from_pydict({"node": pa.array([digest(h.tobytes()) for h in sets], pa.int64()), "shingles": pa.array([h.tobytes() for h in sets], pa.binary()),
                                                   "bits": pa.array([_majority(h, scheme.words)[list(scheme.check)].tobytes() for h in sets], pa.binary())})
@@ -230,7 +230,7 @@ def near_groups(df: DataFrame, scheme: Scheme = SIMILAR, id_col: str = "doc_id",
     """
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in portions(batch):
+            for part in portions(batch, limit=1 << 20):
                 prints, nodes, sizes = _fingerprints(part, scheme)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), prints, nodes, sizes], names=["doc_id", "fp", "node", "weight"])
     rows = written(pick(df, doc_id=id_col, text=text_col).mapInArrow(make, "doc_id long, fp binary, node long, weight long"), "prints")
