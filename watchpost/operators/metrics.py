@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .corridor import components
 from .fold import fold
+from .graph import connected
 from .matching import greedy_pairs, overlaps, take_turns
 from .ordered import neighbours, running, with_chunks
 
@@ -232,8 +232,8 @@ def idf1(truth: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:
     so each connected group of (gt, pred) pairs is assigned by itself, in a task of its own.
     """
     node = lambda side, c: F.concat_ws(":", "sequence", F.lit(side), c)
-    pairs = cut(matches.groupBy("sequence", "gt_id", "pred_id").agg(F.count("*").alias("n")).withColumn("camera_id", node("g", "gt_id")))
-    groups = components(pairs.select(F.col("camera_id").alias("src"), node("p", "pred_id").alias("dst")))
+    pairs = cut(matches.groupBy("sequence", "gt_id", "pred_id").agg(F.count("*").alias("n")).withColumn("node", node("g", "gt_id")))
+    groups = connected(pairs.select(F.col("node").alias("src"), node("p", "pred_id").alias("dst")))
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         g, gi = np.unique(pdf["gt_id"], return_inverse=True)
@@ -242,7 +242,7 @@ def idf1(truth: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:
         gain[gi, pi] = pdf["n"].to_numpy()
         return pd.DataFrame({"sequence": [pdf["sequence"].iloc[0]], "idtp": [int(sum(gain[a, b] for a, b in _assign(gain)))]})
 
-    tp = pairs.join(groups, "camera_id").groupBy("component").applyInPandas(best, "sequence long, idtp long").groupBy("sequence").agg(F.sum("idtp").alias("idtp"))
+    tp = pairs.join(groups, "node").groupBy("root").applyInPandas(best, "sequence long, idtp long").groupBy("sequence").agg(F.sum("idtp").alias("idtp"))
     g = truth.groupBy("sequence").agg(F.count("*").alias("gt"))
     p = pred.groupBy("sequence").agg(F.count("*").alias("predicted"))
     j = g.join(p, "sequence", "full").join(tp, "sequence", "left").fillna(0)
