@@ -133,3 +133,14 @@ def certificate(chain: DataFrame) -> DataFrame:
     """Period covered, entry count, head and validity per node."""
     period = chain.groupBy("node_id").agg(F.min("ts_us").alias("from_us"), F.max("ts_us").alias("to_us"))
     return verify(chain).join(period, "node_id")
+
+
+def certificate_records(chain: DataFrame, events: DataFrame) -> DataFrame:
+    """One row per sealed entry for the certificate: its hash and what it commits to.
+
+    Entries whose event is gone stay, without camera, type and time.
+    """
+    facts = events.select("event_id", "camera_id", "event_type", F.col("ts_us").alias("_ts"))
+    found = chain.select("node_id", "ledger_index", "event_id", F.col("entry_hash").alias("entry_sha256")).join(facts, "event_id", "left")
+    at = F.date_format(F.timestamp_micros("_ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return found.select("node_id", "ledger_index", "event_id", "entry_sha256", "camera_id", "event_type", at.alias("timestamp"))

@@ -218,6 +218,16 @@ def _mot(spark, sf):
     return t, p, cut(M.mot_matches(t, p))
 
 
+@query("eval_identified", X.with_sql(X.BOXES) + """SELECT frame, box_id, CASE WHEN clip % 3 = 0 THEN NULL ELSE obj END AS track_id, coalesce(CASE WHEN clip % 3 = 0 THEN NULL ELSE obj END,
+ CASE WHEN clip % 3 = 1 THEN NULL ELSE obj + 1000 END) AS gt_id FROM boxes WHERE object_class = 'person' AND NOT (clip % 3 = 0 AND obj % 5 = 0)""")
+def eval_identified(spark, sf):
+    """True people that carry an identity, under the one name or the other."""
+    c = F.col("clip") % 3
+    t = pred(spark, sf).select("frame", F.col("id").alias("box_id"), "object_class", F.when(c != 0, F.col("obj")).alias("track_id"),
+                               F.when((c != 1) & ~((c == 0) & (F.col("obj") % 5 == 0)), F.col("obj") + 1000).alias("actor_id"))
+    return M.identified(t).select("frame", "box_id", "track_id", "gt_id")
+
+
 @query("eval_clear_mot")
 def eval_clear_mot(spark, sf):
     t, p, m = _mot(spark, sf)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import labels as L
 from ..functions import signature as S
+from ..functions import sql as sql_functions
 from ..functions import text as T
 from ..functions import timefn as TF
 from ..operators.ordered import neighbours, with_chunks
@@ -235,3 +236,14 @@ def fn_mask_refinement(spark, sf):
     return m.select("camera_id", "track_id", "zone_id", X.r6(F.col("f")).alias("mask_fraction"), "mask_points",
                     "contact_in_zone", L.refinement_adjustment(
                         F.col("f"), F.col("contact_in_zone"), F.col("track_id") % 2 == 0).alias("adjustment"))
+
+
+@query("fn_sql_functions", X.with_sql(X.OBS, X.ZONES) + f"""SELECT event_id, zone_id, {X.sql_inside('x', 'y', 'points')} AS inside, round({X.sql_distance('x', 'y', 'points')}, 6) AS distance,
+ CASE WHEN hour(ts) * 60 + minute(ts) >= 1350 OR hour(ts) * 60 + minute(ts) <= 75 THEN 0e0 ELSE CAST(least(abs(hour(ts) * 60 + minute(ts) - 1350), 1440 - abs(hour(ts) * 60 + minute(ts) - 1350),
+ abs(hour(ts) * 60 + minute(ts) - 75), 1440 - abs(hour(ts) * 60 + minute(ts) - 75)) AS DOUBLE) END AS minutes_off FROM obs JOIN zones USING (camera_id) WHERE enabled""")
+def fn_sql_functions(spark, sf):
+    """The session's SQL functions in a plain SQL query."""
+    sql_functions.register(spark)
+    return spark.sql("""SELECT event_id, zone_id, point_in_polygon(x, y, points) AS inside, round(distance_to_polyline(x, y, points), 6) AS distance,
+        minutes_outside(ts, CAST(array() AS ARRAY<INT>), 1350, 75) AS minutes_off
+        FROM {obs} JOIN {zones} USING (camera_id) WHERE enabled""", obs=X.obs(spark, sf), zones=X.zones(spark))

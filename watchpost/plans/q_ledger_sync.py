@@ -99,6 +99,13 @@ def ledger_certificate(spark, sf):
     return LG.certificate(_chain(spark, sf)).select("node_id", "entries", "head", "valid", "from_us", "to_us")
 
 
+@query("ledger_certificate_records", CHAIN + """ SELECT c.node_id, c.n AS ledger_index, c.event_id, c.entry_hash AS entry_sha256, s.camera_id, s.event_kind AS event_type,
+ strftime(make_timestamp(s.ts_us), '%Y-%m-%dT%H:%M:%S.%f') AS timestamp FROM chain c JOIN seq s ON s.event_id = c.event_id AND s.node_id = c.node_id""")
+def ledger_certificate_records(spark, sf):
+    """The hash of every sealed entry and the event behind it."""
+    return LG.certificate_records(_chain(spark, sf), _sealed(spark, sf))
+
+
 # --- notary -------------------------------------------------------------------------
 _IPAD = bytes(b ^ 0x36 for b in SECRET.encode().ljust(64, b"\0")).hex()
 _OPAD = bytes(b ^ 0x5C for b in SECRET.encode().ljust(64, b"\0")).hex()

@@ -147,6 +147,14 @@ def patrol_roster(spark, sf):
     return X.obs(spark, sf).join(cover, "camera_id").groupBy("patrol_id").agg(F.count("*").alias("events_on_route"))
 
 
+@query("patrol_roster_summary", X.with_sql(X.OBS) + """, pr AS (SELECT track_id AS patrol_id, track_id % 3 <> 0 AND count(*) > 1 AS active, list(DISTINCT camera_id) AS cams FROM obs GROUP BY track_id)
+SELECT count(*) FILTER (active) AS active, count(*) AS total, (SELECT string_agg(DISTINCT camera_id, ',' ORDER BY camera_id) FROM obs JOIN pr ON track_id = patrol_id WHERE active) AS cameras_covered FROM pr""")
+def patrol_roster_summary(spark, sf):
+    """Active and total profiles, one per observed track, and the cameras that active ones cover."""
+    p = X.obs(spark, sf).groupBy(F.col("track_id").alias("patrol_id")).agg(F.collect_set("camera_id").alias("cameras"), F.count("*").alias("n"))
+    return P.roster_summary(p.withColumn("active", (F.col("patrol_id") % 3 != 0) & (F.col("n") > 1)))
+
+
 # --- plates ---------------------------------------------------------------------------
 _BAND = lambda t: [(0.0, t), (1.0, t), (1.0, 1.0), (0.0, 1.0)]
 REGIONS = [("click", _BAND(0.5)), ("error", None), ("purchase", []), ("signup", _BAND(0.3)), ("view", _BAND(0.9))]

@@ -227,11 +227,14 @@ def score_events(spark, sf):
     return scored(spark, sf).select("event_id", "score", "priority")
 
 
-@query("score_factor_totals", LOGSQL + SCORED + """, u AS (SELECT unnest([{'n': 'event type', 'w': f1}, {'n': 'object class', 'w': f2},
+FACTORS = """[{'n': 'event type', 'w': f1}, {'n': 'object class', 'w': f2},
  {'n': 'night conditions', 'w': f3}, {'n': CASE WHEN f4 > 0 THEN 'unusual for this time' ELSE 'routine for this camera' END, 'w': f4},
  {'n': 'operator feedback', 'w': f5}, {'n': 'detection confidence', 'w': f6}, {'n': 'outside certified region', 'w': f7},
  {'n': 'group size', 'w': f8}, {'n': 'extended dwell', 'w': f9}, {'n': 'high speed', 'w': f10},
- {'n': 'proximity to boundary', 'w': f11}, {'n': 'low-profile posture', 'w': f12}, {'n': 'inbound crossing', 'w': f13}]) AS f FROM parts)
+ {'n': 'proximity to boundary', 'w': f11}, {'n': 'low-profile posture', 'w': f12}, {'n': 'inbound crossing', 'w': f13}]"""
+
+
+@query("score_factor_totals", LOGSQL + SCORED + f", u AS (SELECT unnest({FACTORS}) AS f FROM parts)" + """
 SELECT f.n AS factor, count(*) AS events, round(sum(f.w), 3) AS total_weight FROM u WHERE abs(f.w) > 1e-6 GROUP BY f.n""")
 def score_factor_totals(spark, sf):
     """How often each factor of the explanation applied, and its total weight."""
@@ -241,7 +244,9 @@ def score_factor_totals(spark, sf):
         F.count("*").alias("events"), F.round(F.sum("f.weight"), 3).alias("total_weight"))
 
 
-@query("score_explanations")
+@query("score_explanations", LOGSQL + SCORED + f""", t AS (SELECT event_id, array_to_string(list_transform(list_filter({FACTORS}, lambda q: abs(q.w) > 1e-6),
+ lambda q: q.n || CASE WHEN q.w < 0 THEN ' -' ELSE ' +' END || printf('%.2f', CAST(round(abs(CAST(q.w AS DECIMAL(12, 6))), 2) AS DOUBLE))), ' ') AS line FROM parts)
+SELECT event_id, CASE WHEN line = '' THEN 'no contributing factors' ELSE line END AS explanation FROM t""")
 def score_explanations(spark, sf):
     """One line per event that reads as the arithmetic of its score."""
     return scored(spark, sf).select("event_id", L.explain(F.col("factors")).alias("explanation"))
