@@ -18,28 +18,27 @@ from ..operators import notary as NT
 from ..operators import sync as SY
 from ..operators.rules import zone_readings
 from ..session import cut
+from ..sources import deltas as DL
 from ..sources.sinks import exists, upsert
 from ..values import DEFAULTS, Params
 
 
 # --- ingest -------------------------------------------------------------------------
 def ingest_events(batches: DataFrame, store: str, checkpoints: str, rejected: str, progress: str, secret: str,
-                  params: Params = DEFAULTS, available_now: bool = False) -> StreamingQuery:
+                  params: Params = DEFAULTS, available_now: bool = False, compact_every: int = 50) -> StreamingQuery:
     """Idempotent ingest: classify, correct clocks, upsert, refuse rewrites, witness.
 
-    Replaying a micro-batch leaves the same tables: known events are duplicates,
-    upserts keep one row per event, and a head that did not move is not signed
-    again.
+    ``store`` merges on read (``deltas``): a batch writes what it brought, and every
+    ``compact_every`` batches the touched buckets are merged.  Replaying a micro-batch leaves
+    the same tables: known events are duplicates, one row per event counts, and a head that
+    did not move is not signed again.
     """
     def handle(batch: DataFrame, batch_no: int) -> None:
         spark = batch.sparkSession
         events = SY.correct_clock(SY.flatten(batch), params)
         events = events.withColumn("date", F.to_date(F.timestamp_micros("node_ts_us")))
-        if exists(spark, store):
-            days = events.select("node_id", "date").distinct()
-            known = spark.read.parquet(store).join(days, ["node_id", "date"], "left_semi").select("event_id", "sync_state", "entry_hash")
-        else:
-            known = spark.createDataFrame([], "event_id long, sync_state string, entry_hash string")
+        known = DL.read_keys(spark, store, events, ["event_id"], "synced_us")
+        known = spark.createDataFrame([], "event_id long, sync_state string, entry_hash string") if known is None else known
         seen = spark.read.parquet(checkpoints) if exists(spark, checkpoints) else spark.createDataFrame([], NT.CHECKPOINT)
         kept = cut(known.select("event_id", "entry_hash"))
         out = cut(SY.classify(events, known, seen))  # before the store changes
@@ -49,7 +48,9 @@ def ingest_events(batches: DataFrame, store: str, checkpoints: str, rejected: st
         fresh = cut(fresh.withColumns({"sync_state": F.lit("synced"), "synced_us": F.col("received_us")}))
         refused = out.where("outcome = 'rejected'").withColumn("batch_no", F.lit(batch_no))
         refused.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_no").parquet(rejected)
-        upsert(store, fresh, ["event_id"], "synced_us", ["date", "node_id"])
+        DL.write_delta(store, fresh, batch_no)
+        if (batch_no + 1) % compact_every == 0:
+            DL.compact(spark, store, ["event_id"], "synced_us", batch_no)
         # the head can only move to an entry just accepted, or accepted by a run of this batch that
         # broke off before it signed: history is not read again
         again = out.where("outcome = 'duplicate'").join(kept, ["event_id", "entry_hash"], "left_semi")
