@@ -173,3 +173,29 @@ def test_evidence_layout_and_reports(spark, tmp_path):
     assert [r.event_id for r in back.collect()] == [8]
     SK.write_report(rows.select("event_id", "s"), str(tmp_path / "rep"))
     assert spark.read.parquet(str(tmp_path / "rep/parquet")).count() == spark.read.json(str(tmp_path / "rep/json")).count() == 2
+
+
+SITE = """
+node_id: N1
+cameras:
+  - {id: C1, name: North, source: "rtsp://x/1", fps: 12, capabilities: {thermal: false}}
+  - {id: C2, name: East, source: "rtsp://x/2", fps: 10, capabilities: {thermal: true}, zones: [{zone_id: Z2, kind: line, points: [[0, 0], [1, 1]]}]}
+zones:
+  - {id: Z1, name: Approach, camera_id: C1, polygon: [[100, 200], [500, 200], [500, 600]]}
+patrols:
+  - {id: P1, name: Walk, schedule: "06:00-07:00", path: [{camera_id: C2, direction: left_to_right}, {camera_id: C1}]}
+  - {id: P2, name: Night, cameras: [C1], windows: [{days: [mon, Fri], start: "22:30", end: "01:15", tolerance_min: 45}, {time: "10:00-12:00"}], plates: [A1], active: false}
+"""
+
+
+def test_site_file_with_patrols(spark, tmp_path):
+    (tmp_path / "site.yaml").write_text(SITE)
+    site = FS.read_site(spark, f"file://{tmp_path}/site.yaml")
+    cams = {r.camera_id: r for r in site["cameras"].collect()}
+    assert (cams["C1"].sensor_type, cams["C2"].sensor_type, cams["C1"].node_id, cams["C2"].claimed_fps) == ("visible", "thermal", "N1", 10.0)
+    zones = {r.zone_id: (r.camera_id, r.kind, len(r.points)) for r in site["zones"].collect()}
+    assert zones == {"Z1": ("C1", "polygon", 3), "Z2": ("C2", "line", 2)}
+    p = {r.patrol_id: r for r in site["patrols"].collect()}
+    assert (p["P1"].cameras, [tuple(w) for w in p["P1"].windows], p["P1"].expected_heading) == (["C2", "C1"], [([], 360, 420, 20)], 0.0)
+    assert [tuple(w) for w in p["P2"].windows] == [([0, 4], 1350, 75, 45), ([], 600, 720, 20)]
+    assert (p["P2"].active, p["P2"].identity_enabled, p["P2"].plates, p["P2"].roster_pos) == (False, True, ["A1"], 2)

@@ -2,12 +2,12 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import crop_camera, crop_identity
+from ..operators.patrol import PROFILE_SCHEMA
 from . import schemas as S
 
 PEDESTRIAN = 1
@@ -77,26 +77,64 @@ def read_annotations(spark: SparkSession, path: str, split: str, labels: list[st
                     ((b[0] + b[2]) * F.col("w")).alias("x2"), ((b[1] + b[3]) * F.col("h")).alias("y2"))
 
 
+#: Weekday names of site files, Monday first, and the defaults of a patrol.
+WEEKDAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
+PATROL = {"heading_tolerance": 70.0, "max_group": 8, "min_speed": 0.0, "max_speed": 3.0, "max_suppressions": 6, "tolerance_min": 20}
+DIRECTIONS = {"left_to_right": 0.0, "right_to_left": 180.0, "away": 90.0, "towards": 270.0}
+
+
+def _minute(text: str) -> int:
+    hour, minute = str(text).strip().split(":")[:2]
+    return int(hour) * 60 + int(minute)
+
+
+def _windows(patrol: dict) -> list[tuple]:
+    """Weekly windows (days, start, end, tolerance) from ``windows`` or a ``HH:MM-HH:MM`` schedule; no days: every day."""
+    given = patrol.get("windows") or ([{"time": patrol["schedule"]}] if patrol.get("schedule") else [])
+    out = []
+    for w in given:
+        start, end = (w["time"].split("-", 1) if "time" in w else (w["start"], w["end"]))
+        days = [WEEKDAYS.index(str(d).lower()[:3]) if not isinstance(d, int) else d for d in w.get("days", [])]
+        out.append((days, _minute(start), _minute(end), int(w.get("tolerance_min", PATROL["tolerance_min"]))))
+    return out
+
+
 def read_site(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Declarative site file (YAML when available, else JSON): cameras and zones."""
-    text = Path(path).read_text()
+    """Declarative site file (YAML, or JSON, which YAML contains): cameras, zones and patrols.
+
+    The file is read by Spark, so it may lie wherever the session reads from.  Zones and
+    patrols stand beside the cameras or, zones, under them.  A camera is thermal if its
+    capabilities say so and visible otherwise, unless it names its sensor.
+    """
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())  # one configuration file
     try:
         import yaml
         site = yaml.safe_load(text)
     except ImportError:
         site = json.loads(text)
-    cams, zones = [], []
+    cams, zones, patrols = [], [], []
     for c in site.get("cameras", []):
-        cams.append((c["camera_id"], c.get("name"), c.get("node_id", site.get("node_id")), c.get("profile", "fenced"),
-                     c.get("role", "perimeter"), c.get("sensor_type", "optical"), c.get("stream_url"), c.get("claimed_width", 1920),
-                     c.get("claimed_height", 1080), float(c.get("claimed_fps", 12)), c.get("enabled", True)))
-        for z in c.get("zones", []):
-            pts = [(float(p[0]), float(p[1])) for p in z["points"]]
-            if len(pts) < 2:
-                raise ValueError(f"zone {z['zone_id']} needs at least two points")
-            zones.append((z["zone_id"], c["camera_id"], z.get("name", z["zone_id"]), z.get("kind", "polygon"), pts, z.get("direction_deg"),
-                          float(z.get("tolerance", 60)), z.get("enabled", True), z.get("is_lawful_route", False)))
-    return {"cameras": spark.createDataFrame(cams, S.CAMERAS), "zones": spark.createDataFrame(zones, S.ZONES)}
+        name, can = c.get("camera_id", c.get("id")), c.get("capabilities") or {}
+        cams.append((name, c.get("name"), c.get("node_id", site.get("node_id")), c.get("profile", "fenced"), c.get("role", "perimeter"),
+                     c.get("sensor_type", "thermal" if can.get("thermal") else "visible"), c.get("stream_url", c.get("source")), c.get("claimed_width", 1920),
+                     c.get("claimed_height", 1080), float(c.get("claimed_fps", c.get("fps", 12))), c.get("enabled", True)))
+        zones += [{**z, "camera_id": name} for z in c.get("zones", [])]
+    rows = []
+    for z in [*zones, *site.get("zones", [])]:
+        name, corners = z.get("zone_id", z.get("id")), z.get("points", z.get("polygon"))
+        if not corners or len(corners) < 2:
+            raise ValueError(f"zone {name} needs at least two points")
+        rows.append((name, z["camera_id"], z.get("name", name), z.get("kind", "polygon"), [(float(p[0]), float(p[1])) for p in corners], z.get("direction_deg"),
+                     float(z.get("tolerance", 60)), z.get("enabled", True), z.get("is_lawful_route", False)))
+    for n, p in enumerate(site.get("patrols", []), 1):
+        path_ = p.get("path", [])
+        heading = p.get("expected_heading", next((DIRECTIONS[s["direction"]] for s in path_ if s.get("direction") in DIRECTIONS), None))
+        plates = list(p.get("plates", []))
+        patrols.append((p.get("patrol_id", p.get("id")), p.get("name"), p.get("active", True), list(p.get("cameras", [s["camera_id"] for s in path_])), list(p.get("zones", [])),
+                        _windows(p), None if heading is None else float(heading), float(p.get("heading_tolerance", PATROL["heading_tolerance"])), list(p.get("classes", ["person"])),
+                        int(p.get("max_group", PATROL["max_group"])), float(p.get("min_speed", PATROL["min_speed"])), float(p.get("max_speed", PATROL["max_speed"])),
+                        bool(plates), plates, int(p.get("max_suppressions", PATROL["max_suppressions"])), n))
+    return {"cameras": spark.createDataFrame(cams, S.CAMERAS), "zones": spark.createDataFrame(rows, S.ZONES), "patrols": spark.createDataFrame(patrols, PROFILE_SCHEMA)}
 
 
 def read_event_batches(spark: SparkSession, path: str, streaming: bool = False, files_per_trigger: int = 100) -> DataFrame:
