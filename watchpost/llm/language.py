@@ -5,9 +5,9 @@ hashed byte 1- to 3-grams of the letters, predicts that bit of the codeword.  De
 weighs each bit by the loss of its margin and takes the language whose codeword costs
 least; a close second flags the document as ambiguous.
 
-Training reads labelled rows outside the held-out fold, at most ``sample_rows`` of them in
-about equal shares per language (documented bound; chosen by a hash of text).  Scoring is
-one pass over all documents without a shuffle.
+Training reads labelled rows outside the held-out fold: of each language the same number of
+different texts, those of smallest hash, ``sample_rows`` in all (documented bound; one text
+at least of every language).  Scoring is one pass over all documents without a shuffle.
 """
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import flat, held_out, pick, portions
@@ -81,22 +81,23 @@ class CodeModel:
 
 
 def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 3000) -> CodeModel | None:
-    """Fit on at most about ``sample_rows`` rows; None where nothing is labelled."""
+    """Fit on at most ``sample_rows`` different texts (more languages than that: one each); None where nothing is labelled."""
     known = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not sizes:
+    n = known.agg(F.count_distinct("lang")).first()[0]
+    if not n:
         return None
-    each = max(1, sample_rows // len(sizes))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    shares = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, each / n))])
-    sample = known.where(draw < shares[F.col("lang")]).select("text", "lang")
+    each = max(1, sample_rows // n)
+    # copies of a text are one draw, so no text can crowd out its language or another
+    drawn = known.select("lang", F.xxhash64("text").alias("h")).distinct()
+    chosen = drawn.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("at") <= each).select("lang", "h")
+    sample = known.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in portions(whole, limit=2 << 20, rows=500):
                 x = grams(*flat(batch)).astype(np.float16)
                 yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
-    rows = sorted((r["lang"], bytes(r["x"])) for r in sample.mapInArrow(features, "lang string, x binary").limit(2 * sample_rows).collect())
+    rows = sorted((r["lang"], bytes(r["x"])) for r in sample.select("text", "lang").mapInArrow(features, "lang string, x binary").collect())
     if not rows:
         return None
     languages = sorted({lang for lang, _ in rows})
