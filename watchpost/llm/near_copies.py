@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free_name, pick, portions, texts, written
-from .components import components
+from .components import components, contract
 from .simhash import SIMILAR, Scheme, _fingerprints, _forest, _majority, _similar, anchors, digest, named_groups, shingles
 
 #: Fields of the first round; only homes take part in it.
 FIRST_FIELDS = 2
+#: Links that one task folds before the rounds of components.
+FOLDED = 250_000
 
 
 def _part(n: str, salt: int) -> F.Column:
@@ -130,9 +132,12 @@ def _tiles(rows: DataFrame, keys: list[str], work) -> DataFrame:
 def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
     """Roots of all nodes linked so far (node, root)."""
     links = written(links, "links")
+    n = links.count()
+    if found is not None and not n:
+        return found
+    # folded in larger parts first, the rounds that follow have little left to join
+    links = contract(links.coalesce(max(8, -(-n // FOLDED))))
     if found is not None:
-        if links.isEmpty():
-            return found
         links = links.unionByName(found.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
     return written(components(links), "found")
 
