@@ -1,3 +1,4 @@
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +117,85 @@ def test_tracker_in_chunks_equals_whole(spark):
     assert whole == parts and len(whole) > 150
 
 
+def plain_tracks(dets, p, coasted):
+    """Two-pass tracking as a loop over frames and tracks."""
+    iou = lambda a, b: M.overlap_matrix(np.array([a]), np.array([b]))[0, 0]
+    tracks, out, last = [], [], None
+    for frame in sorted({d[1] for d in dets}):
+        def lost_rows(at, skip=()):
+            for t in tracks:
+                gap = at - t["seen"]
+                if coasted and t["key"] not in skip and 0 < gap <= p.max_lost:
+                    out.append((at, None, t["key"], t["cls"], t["hits"], gap, tuple(round(b + v * gap, 6) for b, v in zip(t["box"], t["vel"] * 2))))
+        if last is not None:
+            for gap in range(last + 1, min(frame, last + p.max_lost + 2)):
+                lost_rows(gap)
+        tracks = sorted((t for t in tracks if frame - 1 - t["seen"] <= p.max_lost), key=lambda t: (t["seen"], t["box"]))
+        ahead = {t["key"]: [b + v * (frame - t["seen"]) for b, v in zip(t["box"], t["vel"] * 2)] for t in tracks}
+        here, used, hit = sorted((d for d in dets if d[1] == frame), key=lambda d: d[2]), set(), set()
+        for strong, floor in ((True, p.match_iou), (False, p.low_match_iou)):
+            some = [(n, d) for n, d in enumerate(here) if (d[4] >= p.high_confidence) == strong]
+            pairs = sorted((-iou(ahead[t["key"]], d[5:9]), i, n) for i, t in enumerate(tracks) if t["key"] not in hit for n, d in some)
+            for over, i, n in pairs:
+                t, d = tracks[i], here[n]
+                if -over < floor or t["key"] in hit or n in used:
+                    continue
+                was = [b + v * (frame - 1 - t["seen"]) for b, v in zip(t["box"], t["vel"] * 2)]
+                t["vel"] = [0.7 * t["vel"][0] + 0.3 * ((d[5] + d[7]) / 2 - (was[0] + was[2]) / 2), 0.7 * t["vel"][1] + 0.3 * (d[8] - was[3])]
+                t["box"], t["seen"], t["hits"] = list(d[5:9]), frame, t["hits"] + 1
+                t["votes"][d[3]] = t["votes"].get(d[3], 0) + 1
+                t["cls"] = min(t["votes"], key=lambda c: (-t["votes"][c], c))
+                used.add(n)
+                hit.add(t["key"])
+                out.append((frame, d[2], t["key"], t["cls"], t["hits"], 0, tuple(round(b, 6) for b in d[5:9])))
+        lost_rows(frame, hit)
+        for n, d in enumerate(here):
+            if n not in used and d[4] >= p.high_confidence:
+                tracks.append({"key": d[2], "cls": d[3], "hits": 1, "votes": {d[3]: 1}, "box": list(d[5:9]), "vel": [0.0, 0.0], "seen": frame})
+                out.append((frame, d[2], d[2], d[3], 1, 0, tuple(round(b, 6) for b in d[5:9])))
+        last = frame
+    return sorted(out, key=repr)
+
+
+def crowd(seed, frames):
+    """Walkers that turn, pass one another, flicker and are seen as this or that; and one parked car."""
+    import random
+    r, rows = random.Random(seed), []
+    for f in range(frames):
+        if f % 17 == 9:
+            continue
+        for k in range(5):
+            if r.random() < 0.15:
+                continue
+            x, y = 60 + 90 * k + 40 * np.sin(f / (5 + k)) + r.random() * 3, 40.0 + 12 * k
+            rows.append(("C", f, f"d{f:04d}-{k}", r.choice(["person", "person", "car"]), 0.35 + 0.65 * r.random(), float(x), y, float(x) + 40.0, y + 90.0))
+        rows.append(("C", f, f"d{f:04d}-p", "car", 0.95, 800.0, 300.0, 900.0, 380.0))
+    return rows
+
+
+@pytest.mark.parametrize("coasted,target_rows", [(False, None), (True, None), (True, 60)])
+def test_tracker_equals_a_loop(spark, coasted, target_rows):
+    p, dets = Params(max_lost=4), crowd(3, 70)
+    got = TR.track(spark.createDataFrame(dets, DET), p, coasted=coasted, width=10, target_rows=target_rows).collect()
+    rows = sorted(((r.frame, r.det_id, r.track_key, r.object_class, r.hits, r.lost_frames, tuple(round(b, 6) for b in (r.x1, r.y1, r.x2, r.y2))) for r in got), key=repr)
+    assert rows == plain_tracks(dets, p, coasted) and all(r.confirmed == (r.hits >= p.min_hits) for r in got)
+
+
+def test_a_parked_object_does_not_run_chunks_again(spark, monkeypatch):
+    """Rounds of the fold don't grow with the number of chunks, and the car keeps its name through all."""
+    from watchpost.operators import fold as FO
+    rounds, real = [], FO.cut
+    monkeypatch.setattr(FO, "cut", lambda df, *a: rounds.append(1) or real(df, *a))
+    took = {}
+    for frames in (450, 1350):  # chunks of some 150 frames: walkers' velocities forget how they began
+        rounds.clear()
+        got = TR.track(spark.createDataFrame(crowd(5, frames), DET), Params(max_lost=4), width=50, target_rows=750).collect()
+        took[frames] = len(rounds)
+        car = [r for r in got if r.det_id.endswith("-p")]
+        assert {r.track_key for r in car} == {"d0000-p"} and max(r.hits for r in car) == len(car) == frames - sum(f % 17 == 9 for f in range(frames))
+    assert took[1350] <= took[450] + 2, took
+
+
 # --- rules on hot keys -------------------------------------------------------------------
 def test_rules_same_on_hot_keys(spark, sf, monkeypatch):
     from watchpost.operators import ordered

@@ -7,11 +7,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from ..session import cut
 from ..values import DEFAULTS, OBJECT_CLASSES, Params
 from .fold import fold
 from .metrics import overlap_matrix
-from .ordered import running, with_chunks
+from .ordered import CHUNK, running, with_chunks
 from .rules import ORDER, TRACK, WIDTH_US
 
 
@@ -44,11 +46,18 @@ def track(detections: DataFrame, params: Params = DEFAULTS, coasted: bool = Fals
     nothing was seen.  With ``coasted`` the predicted boxes of lost tracks are
     returned too (``lost_frames`` > 0, no detection id).
 
+    Tracks are held in order of their last sighting and box, so equal overlaps are settled
+    alike whatever came before.  What chunks of a long timeline hand on is boxes, velocities
+    and last frames only: a parked object that was always there leaves the same state as one
+    that a chunk has just found.  Names, hits and class votes are worked out afterwards, by
+    doubling the step back over chunk borders (``_named``).
+
     ``detections``: camera_id, frame, det_id, object_class, confidence, box.
     """
     p = params
     rows = with_chunks(detections.select("camera_id", "frame", "det_id", "object_class", "confidence", "x1", "y1", "x2", "y2"),
                        ["camera_id"], "frame", width, target_rows)
+    chunked = CHUNK in rows.columns
 
     def pair_up(ahead, boxes, floor):
         if not len(ahead) or not len(boxes):
@@ -69,14 +78,21 @@ def track(detections: DataFrame, params: Params = DEFAULTS, coasted: bool = Fals
         # a lost track moves on with its velocity: its box at any frame follows
         # from the last observed one, so nothing is updated while it is lost
         meta, last = st["meta"], st["frame"]
+        if chunked:
+            meta = [{"key": f"{INHERITED}{i}", "cls": None, "conf": None, "hits": 0, "votes": {}} for i in range(len(st["seen"]))]
         box = np.array(st["box"], dtype=float).reshape(-1, 4)
         vel = np.array(st["vel"], dtype=float).reshape(-1, 2)
         seen = np.array(st["seen"], dtype=np.int64)
         cam, out = pdf["camera_id"].iloc[0], []
 
+        def in_order():
+            nonlocal meta, box, vel, seen
+            order = np.lexsort((box[:, 3], box[:, 2], box[:, 1], box[:, 0], seen))
+            meta, box, vel, seen = [meta[i] for i in order.tolist()], box[order], vel[order], seen[order]
+
         def report(i, frame, det, at, lost):
             m = meta[i]
-            out.append((cam, frame, det, m["key"], m["cls"], m["conf"], *at, m["hits"], lost, m["hits"] >= p.min_hits,
+            out.append((cam, frame, det, m["key"], m.get("now") if chunked else m["cls"], m["conf"], *at, m["hits"], lost, m["hits"] >= p.min_hits,
                         float(vel[i, 0]), float(vel[i, 1])))
 
         def report_lost(frame, skip=()):
@@ -98,6 +114,7 @@ def track(detections: DataFrame, params: Params = DEFAULTS, coasted: bool = Fals
             if not keep.all():
                 meta = [m for m, k in zip(meta, keep.tolist()) if k]
                 box, vel, seen = box[keep], vel[keep], seen[keep]
+            in_order()
             lost = (frame - 1 - seen)[:, None]
             drift = np.hstack([vel, vel])
             ahead = box + drift * (lost + 1)
@@ -114,7 +131,7 @@ def track(detections: DataFrame, params: Params = DEFAULTS, coasted: bool = Fals
                 vel[a, 0] = 0.7 * vel[a, 0] + 0.3 * ((now[0] + now[2]) / 2 - (was[0] + was[2]) / 2)
                 vel[a, 1] = 0.7 * vel[a, 1] + 0.3 * (now[3] - was[3])
                 box[a], seen[a] = now, frame
-                m["conf"] = float(conf[d])
+                m["conf"], m["now"] = float(conf[d]), classes[d]
                 m["hits"] += 1
                 m["votes"][classes[d]] = m["votes"].get(classes[d], 0) + 1
                 m["cls"] = min(m["votes"], key=lambda c: (-m["votes"][c], c))
@@ -127,13 +144,52 @@ def track(detections: DataFrame, params: Params = DEFAULTS, coasted: bool = Fals
                 box, vel = np.vstack([box, boxes[fresh]]), np.vstack([vel, np.zeros((len(fresh), 2))])
                 seen = np.concatenate([seen, np.full(len(fresh), frame)])
                 for d in fresh:
-                    meta.append({"key": str(dets[d]), "cls": classes[d], "conf": float(conf[d]), "hits": 1, "votes": {classes[d]: 1}})
+                    meta.append({"key": str(dets[d]), "cls": classes[d], "now": classes[d], "conf": float(conf[d]), "hits": 1, "votes": {classes[d]: 1}})
                     report(len(meta) - 1, frame, dets[d], boxes[d].tolist(), 0)
             last = frame
+        in_order()
         live = last - seen <= p.max_lost
+        left = [m for m, k in zip(meta, live.tolist()) if k]
         done = pd.DataFrame(out, columns=[f.strip().split(" ")[0] for f in TRACK_SCHEMA.split(",")])
-        return done, json.dumps({
-            "frame": last, "meta": [m for m, k in zip(meta, live.tolist()) if k], "box": box[live].tolist(),
-            "vel": vel[live].tolist(), "seen": seen[live].tolist()}, sort_keys=True)
-
-    return fold(rows, ["camera_id"], ["frame", "det_id"], step, TRACK_SCHEMA)
+        if chunked:  # where each name went: the place of the track among those handed on
+            done["part"], done["slot"] = pdf[CHUNK].iloc[0], None
+            slots = pd.DataFrame({"camera_id": cam, "track_key": [m["key"] for m in left], "part": pdf[CHUNK].iloc[0], "slot": range(len(left))})
+            done = pd.concat([done.astype(object), slots.astype(object)], ignore_index=True)
+        return done, json.dumps({"frame": last, "meta": [] if chunked else left, "box": box[live].tolist(), "vel": vel[live].tolist(), "seen": seen[live].tolist()}, sort_keys=True)
+
+    if not chunked:
+        return fold(rows, ["camera_id"], ["frame", "det_id"], step, TRACK_SCHEMA)
+    return _named(fold(rows, ["camera_id"], ["frame", "det_id"], step, f"{TRACK_SCHEMA}, part long, slot int"), p)
+
+
+#: Marks the name of a track that a chunk got from the one before: the place it had there follows.
+INHERITED = "\x00"
+
+
+def _named(found: DataFrame, params: Params) -> DataFrame:
+    """Tracks of chunks under their first detection's name, with hits, votes and last confidence over all chunks."""
+    found = cut(found)
+    chunk = ["camera_id", "part"]
+    before = found.select(*chunk).distinct().withColumn("_prev", F.lag("part").over(W.partitionBy("camera_id").orderBy("part")))
+    inherited = F.col("track_key").startswith(INHERITED)
+    slot = F.when(inherited, F.substring("track_key", F.lit(2), F.length("track_key")).cast("int"))
+    steps = found.where("slot IS NOT NULL").join(before, chunk).select(
+        *chunk, "slot", F.when(~inherited, F.col("track_key")).alias("name"), F.when(inherited, F.col("_prev")).alias("to_part"), slot.alias("to_slot"))
+    steps = cut(steps)
+    while not steps.where("name IS NULL").isEmpty():  # twice as far back each time
+        back = steps.select("camera_id", F.col("part").alias("to_part"), F.col("slot").alias("to_slot"), F.col("name").alias("_n"), F.col("to_part").alias("_p"), F.col("to_slot").alias("_s"))
+        steps = cut(steps.join(back, ["camera_id", "to_part", "to_slot"], "left").select(
+            *chunk, "slot", F.coalesce("name", "_n").alias("name"), F.col("_p").alias("to_part"), F.col("_s").alias("to_slot")))
+    names = steps.select("camera_id", F.col("part").alias("_prev"), F.col("slot").alias("_slot"), "name")
+    rows = found.where("slot IS NULL").join(before, chunk).withColumn("_slot", slot).join(names, ["camera_id", "_prev", "_slot"], "left")
+    rows = rows.withColumn("track_key", F.coalesce("name", "track_key")).select(*[c for c in found.columns if c not in ("part", "slot")])
+    key, own = ["camera_id", "track_key"], F.col("det_id").isNotNull()
+    rows = rows.withColumns({"object_class": F.when(own, F.col("object_class")), "confidence": F.when(own, F.col("confidence"))})
+    tally = {f"_v_{c}": ("count", own & (F.col("_det_class") == c)) for c in OBJECT_CLASSES}
+    rows = running(with_chunks(rows.withColumn("_det_class", F.col("object_class")), key, "frame", WIDTH_US), key, ["frame"],
+                   {"_hits": ("count", own), "_conf": ("last", F.col("confidence")), "_last": ("last", F.col("_det_class")), **tally})
+    votes = F.array(*[F.struct((-F.col(f"_v_{c}")).alias("n"), F.lit(c).alias("c")) for c in sorted(OBJECT_CLASSES)])
+    known = F.greatest(*[F.col(f"_v_{c}") for c in OBJECT_CLASSES]) > 0
+    return rows.select(
+        "camera_id", "frame", "det_id", "track_key", F.when(known, F.array_min(votes)["c"]).otherwise(F.col("_last")).alias("object_class"), F.col("_conf").alias("confidence"),
+        "x1", "y1", "x2", "y2", F.col("_hits").alias("hits"), "lost_frames", (F.col("_hits") >= params.min_hits).alias("confirmed"), "vx", "vy")
