@@ -202,7 +202,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, result: str, n: int = 10
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared, first=first) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for batch in portions(whole, text_col, 16 << 20):
+                for batch in portions(whole, text_col, 4 << 20):  # words as objects take some twelve times the bytes of their text
                     own = [words(t or b"") for t in texts(batch, text_col)]
                     before = [None] * len(own) if first else batch.column(result).to_pylist()
                     rows = []
