@@ -187,13 +187,13 @@ def test_a_parked_object_does_not_run_chunks_again(spark, monkeypatch):
     rounds, real = [], FO.cut
     monkeypatch.setattr(FO, "cut", lambda df, *a: rounds.append(1) or real(df, *a))
     took = {}
-    for frames in (450, 1350):  # chunks of some 150 frames: walkers' velocities forget how they began
+    for frames in (300, 900):  # chunks of some 150 frames: walkers' velocities forget how they began
         rounds.clear()
         got = TR.track(spark.createDataFrame(crowd(5, frames), DET), Params(max_lost=4), width=50, target_rows=750).collect()
         took[frames] = len(rounds)
         car = [r for r in got if r.det_id.endswith("-p")]
         assert {r.track_key for r in car} == {"d0000-p"} and max(r.hits for r in car) == len(car) == frames - sum(f % 17 == 9 for f in range(frames))
-    assert took[1350] <= took[450] + 2, took
+    assert took[900] <= took[300] + 2, took
 
 
 # --- rules on hot keys -------------------------------------------------------------------
