@@ -222,7 +222,7 @@ def test_links_in_proportion_to_a_group(spark, monkeypatch):
         links.append(found.count())
         return found
     monkeypatch.setattr(near_copies, "_tiles", counted)
-    for g in (300, 1200):
+    for g in (200, 800):
         links.clear()
         docs = spark.createDataFrame(list(near_group(g)), "doc_id long, text string").repartition(4)
         kept = near_copies.drop_near_copies(docs).collect()
