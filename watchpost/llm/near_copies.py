@@ -16,6 +16,7 @@ that could join two groups.
 """
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,6 +35,14 @@ FIRST_FIELDS = 2
 FOLDED = 250_000
 
 
+def give_back() -> None:
+    """Freed memory returns to the system: a reused worker would keep what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _part(n: str, salt: int) -> F.Column:
     return F.pmod(F.xxhash64("node", F.lit(salt)), F.greatest(F.col(n), F.lit(1))).cast("int")
 
@@ -126,6 +135,7 @@ def _tiles(rows: DataFrame, keys: list[str], work) -> DataFrame:
         if held:
             whole = [np.concatenate([h[k] for h in held]) for k in range(len(names))]
             yield links(whole, changes(whole))
+        give_back()
     return dealt.mapInArrow(compare, "a long, b long")
 
 
@@ -199,6 +209,7 @@ def similar(df: DataFrame, rows: DataFrame, groups: DataFrame, scheme: Scheme =
                 sets = [shingles(t, scheme) for t in texts(part)]
                 yield pa.RecordBatch.from_pydict({"node": pa.array([digest(h.tobytes()) for h in sets], pa.int64()), "shingles": pa.array([h.tobytes() for h in sets], pa.binary()),
                                                   "bits": pa.array([_majority(h, scheme.words)[list(scheme.check)].tobytes() for h in sets], pa.binary())})
+            give_back()
     made = taken.join(ids, taken["doc_id"].eqNullSafe(ids["__id"]), "left_semi").mapInArrow(make, "node long, shingles binary, bits binary")
     sets = written(made.join(groups, "node").dropDuplicates(["node"]), "sets")
     weights = groups.join(rows.groupBy("node").agg(F.first("weight").alias("weight")), "node")
@@ -238,6 +249,7 @@ def near_groups(df: DataFrame, scheme: Scheme = SIMILAR, id_col: str = "doc_id",
             for part in portions(batch, limit=1 << 20):
                 prints, nodes, sizes = _fingerprints(part, scheme)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), prints, nodes, sizes], names=["doc_id", "fp", "node", "weight"])
+            give_back()
     rows = written(pick(df, doc_id=id_col, text=text_col).mapInArrow(make, "doc_id long, fp binary, node long, weight long"), "prints")
     each = written(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp")), "nodes")
     found = candidates(each, scheme)
