@@ -364,7 +364,7 @@ def test_windows_by_brute_force():
 def test_empty_tables(none, items):
     assert decontaminate.contamination(none, items).count() == 0
     assert decontaminate.decontaminate(none, items.limit(0)).count() == 0
-    assert simhash.simhash_components(none).count() == 0 and simhash.drop_near_copies(none).count() == 0
+    assert simhash.simhash_components(none).count() == 0 and near_copies.drop_near_copies(none).count() == 0
     assert suffix_dedup.remove_repeats(none).count() == 0
     assert licenses.scan(none).count() == 0
 
