@@ -12,15 +12,6 @@ S = 1_000_000
 EDGES = [("gate", "yard", 30.0, 6.0), ("yard", "gate", 30.0, 6.0), ("yard", "dock", 20.0, 4.0), ("dock", "gate", 300.0, 40.0)]
 
 
-@pytest.fixture(autouse=True)
-def one_partition(spark):
-    """A state store per partition and batch is most of the time of these small streams."""
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
-    yield
-    spark.conf.set("spark.sql.shuffle.partitions", old)
-
-
 def stream(spark, folder, batches, schema):
     """A stream that brings one of ``batches`` (lists of rows) per micro-batch, in this order."""
     for n, rows in enumerate(batches):
